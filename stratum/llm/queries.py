@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, orctokens, quality, substring, urlfilter
+from . import bpe, decontam, orctokens, quality, substring, urlfilter
 from .common import Scratch
 
 
@@ -24,6 +24,10 @@ def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("b_n").alias("n_tokens"), F.col("b_ids_sha256").alias("ids_sha256"), F.col("b_decoded_sha256").alias("decoded_sha256"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
+
+
 def op4_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Scratch(spark, "tokens").path("orc")
     orctokens.write(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), path)
@@ -48,7 +52,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("q_words").alias("n_words"), F.col("q_chars").alias("word_chars"), F.col("q_symbols").alias("n_symbols"), F.col("q_dup_lines").alias("n_dup_lines"), F.col("q_repeat").alias("n_repeat_words"), F.col("q_base_failed").alias("base_failed"), F.col("q_kept").alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_codec, op4_token_orc, op7_url_filter, op9_substring_dedup, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_bpe_codec, op3_decontamination, op4_token_orc, op7_url_filter, op9_substring_dedup, op10_quality_rules)}
 
 _VALUES = ", ".join(f"('{h}', '{p}', '{a}')" for h, p, a in RULES)
 _UP, _LOW = urlfilter.UPPER, urlfilter.LOWER
