@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, orctokens, quality, substring, urlfilter
+from . import bpe, decontam, jaccard, orctokens, quality, substring, urlfilter
 from .common import Scratch
 
 
@@ -42,6 +42,11 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", F.col("u_host").alias("host"), F.col("u_path").alias("path"), F.col("u_rule").alias("rule"), F.col("u_verdict").alias("verdict"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = jaccard.join(table(spark, sf_dir, "documents"), ["doc_id"])
+    return out.select("doc_id", F.col("j_shingles").alias("n_shingles"), F.col("j_component").alias("component_id"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring.dedup(table(spark, sf_dir, "documents"), ["doc_id"])
     return out.select("doc_id", F.col("s_words").alias("n_words"), F.col("s_removed").alias("n_removed"), F.col("s_kept_sha256").alias("kept_sha256"))
@@ -52,7 +57,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("q_words").alias("n_words"), F.col("q_chars").alias("word_chars"), F.col("q_symbols").alias("n_symbols"), F.col("q_dup_lines").alias("n_dup_lines"), F.col("q_repeat").alias("n_repeat_words"), F.col("q_base_failed").alias("base_failed"), F.col("q_kept").alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_codec, op3_decontamination, op4_token_orc, op7_url_filter, op9_substring_dedup, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_bpe_codec, op3_decontamination, op4_token_orc, op7_url_filter, op8_jaccard_join, op9_substring_dedup, op10_quality_rules)}
 
 _VALUES = ", ".join(f"('{h}', '{p}', '{a}')" for h, p, a in RULES)
 _UP, _LOW = urlfilter.UPPER, urlfilter.LOWER
