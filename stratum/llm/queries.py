@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, jaccard, orctokens, quality, substring, urlfilter
+from . import bpe, decontam, jaccard, orctokens, quality, substring, suffix, urlfilter
 from .common import Scratch
 
 
@@ -34,6 +34,11 @@ def op4_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orctokens.checksums(orctokens.read(spark, path))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix.strip(table(spark, sf_dir, "documents"), ["doc_id"])
+    return out.select("doc_id", F.col("s_bytes").alias("n_bytes"), F.col("s_removed").alias("n_removed"), F.col("s_spans").alias("n_spans"), F.col("s_kept_sha256").alias("kept_sha256"))
+
+
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
 
@@ -57,7 +62,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("q_words").alias("n_words"), F.col("q_chars").alias("word_chars"), F.col("q_symbols").alias("n_symbols"), F.col("q_dup_lines").alias("n_dup_lines"), F.col("q_repeat").alias("n_repeat_words"), F.col("q_base_failed").alias("base_failed"), F.col("q_kept").alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_codec, op3_decontamination, op4_token_orc, op7_url_filter, op8_jaccard_join, op9_substring_dedup, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_bpe_codec, op3_decontamination, op4_token_orc, op6_suffix_dedup, op7_url_filter, op8_jaccard_join, op9_substring_dedup, op10_quality_rules)}
 
 _VALUES = ", ".join(f"('{h}', '{p}', '{a}')" for h, p, a in RULES)
 _UP, _LOW = urlfilter.UPPER, urlfilter.LOWER
