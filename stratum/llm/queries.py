@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, jaccard, orctokens, quality, substring, suffix, urlfilter
+from . import bpe, decontam, jaccard, lmscore, orctokens, quality, substring, suffix, urlfilter
 from .common import Scratch
 
 
@@ -24,6 +24,12 @@ def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("b_n").alias("n_tokens"), F.col("b_ids_sha256").alias("ids_sha256"), F.col("b_decoded_sha256").alias("decoded_sha256"))
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").where("quality = 1")
+    out = lmscore.score(table(spark, sf_dir, "documents"), good, tokenizer("byte_bpe_50k.json"))
+    return out.select("doc_id", "n_tokens", F.round("loss_background", 6).alias("loss_background"), F.round("loss_target", 6).alias("loss_target"), F.round("score", 6).alias("score"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
@@ -62,7 +68,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("q_words").alias("n_words"), F.col("q_chars").alias("word_chars"), F.col("q_symbols").alias("n_symbols"), F.col("q_dup_lines").alias("n_dup_lines"), F.col("q_repeat").alias("n_repeat_words"), F.col("q_base_failed").alias("base_failed"), F.col("q_kept").alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_codec, op3_decontamination, op4_token_orc, op6_suffix_dedup, op7_url_filter, op8_jaccard_join, op9_substring_dedup, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_bpe_codec, op2_lm_score, op3_decontamination, op4_token_orc, op6_suffix_dedup, op7_url_filter, op8_jaccard_join, op9_substring_dedup, op10_quality_rules)}
 
 _VALUES = ", ".join(f"('{h}', '{p}', '{a}')" for h, p, a in RULES)
 _UP, _LOW = urlfilter.UPPER, urlfilter.LOWER
