@@ -22,6 +22,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import SPACE, Rolling, Scratch, buffers, byte_values, mix, signed, slices, word_hashes, word_spans
@@ -233,12 +234,24 @@ def clusters(docs: DataFrame, scratch: Scratch, size: int = 3, num: int = 90, de
     return sets.join(linked, sets["doc"] == linked["node"], "left").groupBy("doc", "tie").agg(F.max("n").alias("n"), F.min(F.coalesce("root", "doc")).alias("root"))
 
 
-def join(docs: DataFrame, keep: list[str], doc_id: str = "doc_id", text: str = "text", size: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """`keep`, j_shingles, j_component and j_first (this row stands for its component; of repeated rows one does) for each row."""
+def _known(docs: DataFrame, doc_id: str, text: str, size: int, num: int, den: int) -> DataFrame:
+    """doc, tie, n, root, is_first."""
     scratch = Scratch(docs.sparkSession, "jaccard")
     found = scratch.save(clusters(keyed(docs, doc_id, text), scratch, size, num, den), "found")
     lead = found.where("n > 0").groupBy("root").agg(F.min(F.struct("doc", "tie")).alias("lead"))
-    known = found.join(lead, "root", "left").select("doc", "tie", "n", "root", F.coalesce((F.col("n") == 0) | ((F.col("lead.doc") == F.col("doc")) & (F.col("lead.tie") == F.col("tie"))), F.lit(True)).alias("is_first"))
-    rows = keyed(docs, doc_id, text, keep).drop("text").join(known, ["doc", "tie"])
+    return found.join(lead, "root", "left").select("doc", "tie", "n", "root", F.coalesce((F.col("n") == 0) | ((F.col("lead.doc") == F.col("doc")) & (F.col("lead.tie") == F.col("tie"))), F.lit(True)).alias("is_first"))
+
+
+def join(docs: DataFrame, keep: list[str], doc_id: str = "doc_id", text: str = "text", size: int = 3, num: int = 90, den: int = 100) -> DataFrame:
+    """`keep`, j_shingles, j_component and j_first (this row stands for its component) for each row."""
+    rows = keyed(docs, doc_id, text, keep).drop("text").join(_known(docs, doc_id, text, size, num, den), ["doc", "tie"])
     root = F.when(F.col("root") == -(1 << 63), None).otherwise(F.col("root"))
     return rows.select(*[F.col(f"s_keep{i}").alias(c) for i, c in enumerate(keep)], F.col("n").alias("j_shingles"), root.alias("j_component"), F.col("is_first").alias("j_first"))
+
+
+def first_of_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of docs, one for each component; of repeated rows one stays. Documents without words all stay."""
+    names = [f"s_keep{i}" for i in range(len(docs.columns))]
+    rows = keyed(docs, doc_id, text, docs.columns).drop("text").join(_known(docs, doc_id, text, size, num, den), ["doc", "tie"]).where("is_first")
+    once = rows.withColumn("copy", F.row_number().over(W.partitionBy("doc", "tie").orderBy("root"))).where("copy = 1 or n = 0")
+    return once.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, jaccard, lmscore, orctokens, quality, substring, suffix, urlfilter
+from . import bpe, decontam, jaccard, lmscore, orctokens, quality, substring, suffix, urlfilter, warc
 from .common import Scratch
 
 
@@ -40,6 +40,14 @@ def op4_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orctokens.checksums(orctokens.read(spark, path))
 
 
+def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "warc")
+    warc.write_responses(table(spark, sf_dir, "pages"), scratch.path("responses"))
+    warc.derive(spark, scratch.path("responses"), scratch.path("derived"))
+    out = warc.linked(warc.read_records(spark, scratch.path("derived")))
+    return out.select("page_id", "refers_to", "uri", "metadata_id", "metadata_digest", "conversion_id", "conversion_digest", (F.col("concurrent_to") == F.col("metadata_id")).alias("linked"), F.length("text").cast("long").alias("text_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix.strip(table(spark, sf_dir, "documents"), ["doc_id"])
     return out.select("doc_id", F.col("s_bytes").alias("n_bytes"), F.col("s_removed").alias("n_removed"), F.col("s_spans").alias("n_spans"), F.col("s_kept_sha256").alias("kept_sha256"))
@@ -68,7 +76,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("q_words").alias("n_words"), F.col("q_chars").alias("word_chars"), F.col("q_symbols").alias("n_symbols"), F.col("q_dup_lines").alias("n_dup_lines"), F.col("q_repeat").alias("n_repeat_words"), F.col("q_base_failed").alias("base_failed"), F.col("q_kept").alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_codec, op2_lm_score, op3_decontamination, op4_token_orc, op6_suffix_dedup, op7_url_filter, op8_jaccard_join, op9_substring_dedup, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_bpe_codec, op2_lm_score, op3_decontamination, op4_token_orc, op5_warc_derivatives, op6_suffix_dedup, op7_url_filter, op8_jaccard_join, op9_substring_dedup, op10_quality_rules)}
 
 _VALUES = ", ".join(f"('{h}', '{p}', '{a}')" for h, p, a in RULES)
 _UP, _LOW = urlfilter.UPPER, urlfilter.LOWER

@@ -186,7 +186,7 @@ def keyed(docs: DataFrame, doc_id: str, text: str, keep: list[str] | None = None
 
 
 def dedup(docs: DataFrame, keep: list[str], doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, seed: int = SEED) -> DataFrame:
-    """`keep`, s_words, s_removed, s_text (kept words joined by single spaces; the text itself, untouched, where nothing is removed), s_kept_sha256 and s_ranges (removed word ranges, half open)."""
+    """`keep`, s_words, s_removed, s_text (kept stretches as they stand, a line end between them; the text itself where nothing is removed), s_kept_sha256 and s_ranges (removed word ranges, half open)."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "substring")
     gone = removed_ranges(keyed(docs, doc_id, text), scratch, window, seed)
@@ -199,7 +199,7 @@ def dedup(docs: DataFrame, keep: list[str], doc_id: str = "doc_id", text: str =
         for part, body, at in slices(batches, "text"):
             index = {n: i for i, n in enumerate(part.schema.names)}
             starts, ends, doc_words = word_spans(body, at, SPACE)
-            data = body.tobytes()
+            data, valid = body.tobytes(), part.column(index["text"]).is_valid().to_pylist()
             lists = part.column(index["gone"])
             flat = lists.flatten()
             f, t = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
@@ -214,9 +214,11 @@ def dedup(docs: DataFrame, keep: list[str], doc_id: str = "doc_id", text: str =
                     kept[x:y] = False
                 left = np.flatnonzero(kept) + lo
                 joined = b" ".join([data[x:y] for x, y in zip(starts[left].tolist(), ends[left].tolist(), strict=True)])
+                runs = np.flatnonzero(np.r_[True, left[1:] != left[:-1] + 1]) if len(left) else left
+                parts = [data[x:y] for x, y in zip(starts[left[runs]].tolist(), ends[left[np.r_[runs[1:] - 1, len(left) - 1]]].tolist(), strict=True)] if len(a) and len(left) else []
                 out["words"].append(int(hi - lo))
                 out["removed"].append(int(hi - lo - len(left)))
-                out["text"].append(joined.decode() if len(a) else data[at[i] : at[i + 1]].decode())
+                out["text"].append(b"\n".join(parts).decode() if len(a) else data[at[i] : at[i + 1]].decode() if valid[i] else None)
                 out["sha"].append(hashlib.sha256(joined).hexdigest())
                 out["ranges"].append([{"first": int(x), "last": int(y)} for x, y in zip(a, b, strict=True)])
             columns = [*[part.column(index[n]) for n in names], pa.array(out["words"], pa.int64()), pa.array(out["removed"], pa.int64()), pa.array(out["text"], pa.string()), pa.array(out["sha"], pa.string()), pa.array(out["ranges"], pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))]
