@@ -226,7 +226,7 @@ def clusters(docs: DataFrame, scratch: Scratch, size: int = 3, num: int = 90, de
     # Each block meets every block of its component, itself included: unit (least, greatest).
     units = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("rep", "a", F.xxhash64("root", F.least("block", "other"), F.greatest("block", "other")).alias("unit"))
     units = scratch.save(units, "units")
-    texts = units.join(docs, units["rep"] == docs["doc"]).select("unit", "rep", "a", "text")
+    texts = units.hint("merge").join(docs, units["rep"] == docs["doc"]).select("unit", "rep", "a", "text")
     links = texts.repartition("unit").sortWithinPartitions("unit", "rep").mapInArrow(_verify(size, num, den), "a long, b long")
     # Copies join their class by its least id.
     copies = sets.where("n > 0").join(classes.withColumnsRenamed({"n": "cn", "a": "ca", "b": "cb"}), (F.col("n") == F.col("cn")) & (F.col("a") == F.col("ca")) & (F.col("b") == F.col("cb"))).where("doc <> rep").select(F.col("rep").alias("a"), F.col("doc").alias("b"))
