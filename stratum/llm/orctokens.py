@@ -20,17 +20,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .bpe import Cache
-from .common import slices
+from .common import Rolling, mix, slices
 
 STRIPE_BYTES = 32 << 20
 ROW_INDEX_STRIDE = 2000
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-SAME_SPACE = r"[^\x1C-\x1F]*"  # outside it, the two pattern libraries could disagree on white space
+CACHE_PIECES = 1_500_000  # about 40 bytes each
+#: Fixed values of the byte-level splitting pattern: the endings that an apostrophe at the start of a piece takes with it.
+ENDINGS = ["s", "t", "re", "ve", "m", "ll", "d"]
+#: Code points whose class all pattern libraries agree on; texts with others are left to the library as a whole.
+USUAL = r"[\x00-\x1B\x20-\u024F\u0391-\u03C9\u0410-\u044F\u2010-\u2027]"
+LETTER, NUMBER, SPACE_, OTHER, UNUSUAL = range(5)
 
 
 class BytePieces:
-    """Encodes with a byte-level file of the tokenizers library; equal pieces of a block are encoded once."""
+    """Encodes with a byte-level file of the tokenizers library. Texts are cut into the library's own pieces, a block at a time;
+    the library encodes each new piece once, and a bounded table keeps its ids by the piece's hash."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -39,18 +43,119 @@ class BytePieces:
 
         self.library = tokenizers.Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.split = regex.compile(PATTERN).findall
-        self.usual = regex.compile(r"[\x00-\x1B\x20-ɏΑ-ωА-я‐-‧]*").fullmatch
-        self.cache = Cache()
-
-    def values(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    def encode_block(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit integers."""
-        parsed = [self.split(t) if self.usual(t) and not any(s in t for s in self.special) else None for t in texts]
-        known = self.cache.fetch({w for p in parsed if p is not None for w in p}, self.values)
-        return [b"".join([known[w] for w in p]) if p is not None else self.values([t])[0] for p, t in zip(parsed, texts, strict=True)]
+        every = "".join(map(chr, range(0x2100)))
+        self.classes = np.full(0x110000, UNUSUAL, np.uint8)
+        for kind, pattern in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (SPACE_, r"\s"), (OTHER, r"[^\s\p{L}\p{N}]")):
+            hits = np.array([m.start() for m in regex.finditer(pattern, every)])
+            self.classes[hits] = kind
+        usual = np.zeros(0x110000, bool)
+        usual[[m.start() for m in regex.finditer(USUAL, every)]] = True
+        self.classes[~usual] = UNUSUAL
+        self.values = mix(np.arange(1, 0x2101, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        self.line = self.library.encode("\n", add_special_tokens=False).ids
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool, self.used = np.zeros(1 << 16, np.int32), 0
+
+    def starts(self, code: np.ndarray, cls: np.ndarray, head: np.ndarray) -> np.ndarray:
+        """Where pieces start. head: where texts start (one more place at the end)."""
+        n = len(code)
+        first = head[:n]
+        space, blank = cls == SPACE_, code == 0x20
+        before, after = np.r_[False, space[:-1]] & ~first, np.r_[space[1:], True] | head[1:]
+        change = np.r_[True, cls[1:] != cls[:-1]] | first
+        begin = np.where(space, change | (before & ~after), change & ~(np.r_[False, blank[:-1]] & ~first))
+        # An apostrophe that starts a piece may end with its ending, within a run of letters.
+        tick = np.flatnonzero((code == 0x27) & begin)
+        if len(tick):
+            follow = np.full(n + 4, 0, code.dtype)
+            follow[:n] = code
+            ends = np.r_[head, True, True, True]
+            done = np.zeros(len(tick), bool)
+            for e in ENDINGS:
+                fits = ~done
+                for k, ch in enumerate(e, 1):
+                    fits &= (follow[tick + k] == ord(ch)) & ~ends[np.minimum(tick + k, n)] & (tick + k < n)
+                hit = tick[fits]
+                begin[hit + 1] = False
+                rest = hit + 1 + len(e)
+                rest = rest[rest < n]
+                begin[rest[cls[rest] != SPACE_]] = True
+                done |= fits
+        return np.flatnonzero(begin)
+
+    def learn(self, pieces: list[str], plain: np.ndarray, keys: np.ndarray) -> None:
+        """plain: pieces without white space but for a blank before a character; between line ends these stay pieces of their own."""
+        size, parts = np.zeros(len(pieces), np.int64), []
+        order = np.r_[np.flatnonzero(plain), np.flatnonzero(~plain)]
+        n = int(plain.sum())
+        if n:
+            whole = np.array(self.library.encode("\n".join([pieces[i] for i in order[:n].tolist()]), add_special_tokens=False).ids, np.int32)
+            line = np.flatnonzero(whole == self.line[0])
+            if len(line) == n - 1 and len(self.line) == 1:
+                size[order[:n]] = np.diff(np.r_[-1, line, len(whole)]) - 1
+                parts.append(np.delete(whole, line))
+            else:
+                n = 0
+        rest = [np.array(e.ids, np.int32) for e in self.library.encode_batch_fast([pieces[i] for i in order[n:].tolist()], add_special_tokens=False)]
+        size[order[n:]] = np.fromiter(map(len, rest), np.int64, len(rest))
+        new = np.concatenate([*parts, *rest])
+        while self.used + len(new) > len(self.pool):
+            self.pool = np.r_[self.pool, np.zeros_like(self.pool)]
+        self.pool[self.used : self.used + len(new)] = new
+        at = np.empty(len(pieces), np.int64)
+        at[order] = self.used + np.cumsum(size[order]) - size[order]
+        self.used += len(new)
+        place = np.searchsorted(self.keys, keys)
+        self.keys, self.at, self.size = np.insert(self.keys, place, keys), np.insert(self.at, place, at), np.insert(self.size, place, size)
+
+    def encode_block(self, body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts of a block, one after another, and the number of each."""
+        text = body.tobytes().decode()
+        code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        n_docs = len(at) - 1
+        if not len(code):
+            return np.zeros(0, np.int32), np.zeros(n_docs, np.int64)
+        place = np.r_[0, np.cumsum((body & 0xC0) != 0x80)][at]  # of the texts, in code points
+        head = np.zeros(len(code) + 1, bool)
+        head[place] = True
+        cls = self.classes[code]
+        odd = np.zeros(n_docs, bool)
+        if (cls == UNUSUAL).any():
+            odd[np.searchsorted(place, np.flatnonzero(cls == UNUSUAL), "right") - 1] = True
+        if any(t in text for t in self.special):
+            for i in range(n_docs):
+                odd[i] |= any(t in text[place[i] : place[i + 1]] for t in self.special)
+        start = self.starts(code, cls, head)
+        end = np.r_[start[1:], len(code)]
+        doc = np.searchsorted(place, start, "right") - 1
+        keep = ~odd[doc]
+        start, end, doc = start[keep], end[keep], doc[keep]
+        key = mix(Rolling(self.values[np.minimum(code, 0x20FF)]).of(start, end))
+        distinct, one, which = np.unique(key, return_index=True, return_inverse=True)
+        if len(self.keys) > CACHE_PIECES:
+            self.forget()
+        k = np.searchsorted(self.keys, distinct)
+        new = np.flatnonzero((k >= len(self.keys)) | (self.keys[np.minimum(k, len(self.keys) - 1)] != distinct)) if len(self.keys) else np.arange(len(distinct))
+        if len(new):
+            a, b = start[one[new]], end[one[new]]
+            blanks = np.r_[0, np.cumsum(cls == SPACE_)]
+            plain = (blanks[b] == blanks[a + 1]) & ((cls[a] != SPACE_) | ((code[a] == 0x20) & (b > a + 1)))
+            self.learn([text[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)], plain, distinct[new])
+            k = np.searchsorted(self.keys, distinct)
+        size = self.size[k][which]
+        edge = np.cumsum(size)
+        ids = self.pool[np.repeat(self.at[k][which] - edge + size, size) + np.arange(edge[-1] if len(edge) else 0)]
+        count = np.bincount(doc, size, n_docs).astype(np.int64)
+        if odd.any():
+            parts = np.split(ids, np.cumsum(count)[:-1])
+            for i in np.flatnonzero(odd).tolist():
+                parts[i] = np.array(self.library.encode(text[place[i] : place[i + 1]], add_special_tokens=False).ids, np.int32)
+                count[i] = len(parts[i])
+            ids = np.concatenate(parts)
+        return ids, count
 
 
 _PIECES: dict[str, BytePieces] = {}
@@ -69,12 +174,11 @@ def write(docs: DataFrame, tokenizer: str, to: str, doc_id: str = "doc_id", text
         from pyspark import TaskContext
 
         coder, place, part_no = pieces(tokenizer), 0, TaskContext.get().partitionId()
-        end = np.array([end_id], "<u4").tobytes()
-        for part, _, _ in slices(batches, "o_text"):
-            ids = [b + end for b in coder.encode_block([t or "" for t in part.column(1).to_pylist()])]
-            n = np.array([len(b) // 4 for b in ids], np.int64)
+        for part, body, offsets in slices(batches, "o_text"):
+            ids, n = coder.encode_block(body, offsets)
+            ids, n = np.insert(ids, np.cumsum(n), end_id).astype(np.int32), n + 1
             at = np.r_[0, np.cumsum(n)]
-            values = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+            values = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.full(len(n), part_no, np.int32)), pa.array(at[:-1] + place), pa.array(n), values], ["doc_id", "part", "place", "n_tokens", "ids"])
             place += int(at[-1])
 
