@@ -28,6 +28,7 @@ from .common import Rolling, Scratch, byte_values, mix, signed, slices, union_sp
 WINDOW = 13
 BUCKETS = 16
 CHUNK_BYTES = 4 << 20
+ROW_GROUP_BYTES = 4 << 20  # what a reader of the index holds at once
 
 #: Bytes outside words: all but digits, letters and what is not ASCII.
 BREAKS = np.ones(256, bool)
@@ -73,7 +74,7 @@ def build_index(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text:
             yield pa.RecordBatch.from_pydict(rows, INDEX)
             block += 1
 
-    return scratch.save(docs.select(F.col(doc_id).cast("long").alias("d_id"), F.col(text).alias("d_text")).mapInArrow(run, INDEX_SQL), "index")
+    return scratch.save(docs.select(F.col(doc_id).cast("long").alias("d_id"), F.col(text).alias("d_text")).mapInArrow(run, INDEX_SQL), "index", **{"parquet.block.size": ROW_GROUP_BYTES})
 
 
 def phrases_of(items: list[tuple[str, str]], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -148,19 +149,20 @@ def search(index: DataFrame, items: list[tuple[str, str]], window: int = WINDOW,
 
     def trim(batches):
         """Lists of the searched terms only."""
+        schema = pa.schema([INDEX.field(n) for n in ("block", "terms", "counts", "places", "docs", "bounds")])
         for b in batches:
-            rows = {n: [] for n in ("block", "terms", "counts", "places", "docs", "bounds")}
-            for r in b.to_pylist():
-                if r["bucket"] >= 0:
-                    keys, n = np.frombuffer(r["terms"], "<u8"), np.frombuffer(r["counts"], "<i4")
-                    keep = np.isin(keys, vocabulary)
-                    if not keep.any():
-                        continue
-                    places = np.frombuffer(r["places"], "<i4")[np.repeat(keep, n)]
-                    r |= {"terms": keys[keep].tobytes(), "counts": n[keep].tobytes(), "places": places.tobytes()}
-                for k in rows:
-                    rows[k].append(r[k])
-            yield pa.RecordBatch.from_pydict(rows, pa.schema([INDEX.field(n) for n in rows]))
+            for i in range(b.num_rows):
+                row = b.slice(i, 1)
+                terms, counts, places = (row.column(k)[0].as_buffer() for k in (1, 2, 3))
+                if terms is None:
+                    yield pa.RecordBatch.from_arrays(row.columns, schema=schema)
+                    continue
+                keys, n = np.frombuffer(terms, "<u8"), np.frombuffer(counts, "<i4")
+                keep = np.isin(keys, vocabulary)
+                if keep.any():
+                    mine = np.frombuffer(places, "<i4")[np.repeat(keep, n)]
+                    cells = [row.column(0), *(pa.array([x.tobytes()], pa.binary()) for x in (keys[keep], n[keep], mine)), row.column(4), row.column(5)]
+                    yield pa.RecordBatch.from_arrays(cells, schema=schema)
 
     def match(key, found):
         head = next(r for r in found.select(["docs", "bounds"]).to_pylist() if r["docs"] is not None)
@@ -199,7 +201,7 @@ def search(index: DataFrame, items: list[tuple[str, str]], window: int = WINDOW,
         return pa.Table.from_pydict(rows, HITS_SCHEMA)
 
     wanted = index.where(F.col("bucket").isin([-1, *used]))
-    trimmed = wanted.mapInArrow(trim, "block long, terms binary, counts binary, places binary, docs array<long>, bounds array<int>")
+    trimmed = wanted.select("block", "terms", "counts", "places", "docs", "bounds").mapInArrow(trim, "block long, terms binary, counts binary, places binary, docs array<long>, bounds array<int>")
     return trimmed.groupBy("block").applyInArrow(match, HITS)
 
 
