@@ -14,35 +14,34 @@ from stratum.llm.common import Scratch
 from stratum.llm.queries import table, tokenizer
 
 
-def _kept(docs: DataFrame, whole: DataFrame) -> DataFrame:
-    return whole.select(*[F.col(f"`{c}`") for c in docs.columns])
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and their group's bounds let pass."""
-    judged = quality.judge(docs, docs.columns)
-    return _kept(docs, judged.where("q_kept"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text", "lang", "source")
+    return quality.judge(rows, ["row"]).where("q_kept").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of near duplicates: five-word shingles, similarity of 0.8 or more."""
-    joined = jaccard.first_of_groups(docs, size=5, num=80, den=100)
-    return _kept(docs, joined)
+    return jaccard.first_of_groups(docs, size=5, num=80, den=100)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that stand earlier in the corpus; documents of which nothing is left go."""
-    out = substring.dedup(docs, [c for c in docs.columns if c != "text"]).where("s_removed = 0 or s_removed < s_words").withColumn("text", F.col("s_text"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("s_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return _kept(docs, out)
+    rest = [c for c in docs.columns if c != "text"]
+    rows = docs.select(F.struct(*rest).alias("row"), "doc_id", "text")
+    out = substring.dedup(rows, ["row"]).where("s_removed = 0 or s_removed < s_words")
+    n_chars = F.when(F.col("s_removed") > 0, F.length("s_text")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    made = {"text": F.col("s_text"), "n_chars": n_chars}
+    return out.select(*[made.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which benchmark passages are less than a twentieth of the words."""
-    found = decontam.report(docs, table(spark, sf_dir, "benchmark"))
-    bad = found.where("contaminated").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")
+    key = F.xxhash64("doc_id", "text")
+    found = decontam.report(docs.select(key.alias("key"), "text"), table(spark, sf_dir, "benchmark"), doc_id="key")
+    bad = found.where("contaminated").select("doc_id").distinct()
+    hit = bad.withColumnRenamed("doc_id", "hit")
+    return docs.join(hit, key == hit["hit"], "left_anti")
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices
+from .common import schema_of, slices
 
 CACHE_PIECES = 250_000  # pieces in each of two generations
 CHUNK_CHARS = 1 << 16
@@ -167,8 +167,8 @@ def codec(path: str) -> ForcedBoundaryCodec:
 def round_trip(docs: DataFrame, path: str, keep: list[str], text: str = "text", with_ids: bool = False) -> DataFrame:
     """`keep`, b_n, b_ids_sha256, b_decoded_sha256 (and b_ids, b_decoded with with_ids) of each row."""
     rows = docs.selectExpr(*[f"`{c}` as b_keep{i}" for i, c in enumerate(keep)], f"`{text}` as b_text")
-    kinds = [f"b_keep{i} {rows.schema[f'b_keep{i}'].dataType.simpleString()}" for i in range(len(keep))]
-    schema = ", ".join([*kinds, "b_n long", "b_ids_sha256 string", "b_decoded_sha256 string", *(["b_ids array<int>", "b_decoded string"] if with_ids else [])])
+    made = "b_n long, b_ids_sha256 string, b_decoded_sha256 string" + ", b_ids array<int>, b_decoded string" * with_ids
+    schema = schema_of(rows, [f"b_keep{i}" for i in range(len(keep))], made)
 
     def run(batches):
         coder = codec(path)

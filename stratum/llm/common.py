@@ -13,19 +13,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+
+from stratum.plans.scratch import scratch_root
 
 BLOCK_BYTES = 2 << 20
-DEFAULT_SCRATCH = "file:///tmp/checkpoints/stratum"
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 # ---------------------------------------------------------------- scratch tables
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the session names in spark.checkpoint.dir; a local one only where it is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_SCRATCH).rstrip("/")
-
-
 class Scratch:
     """Tables written to the shared folder. They cut lineage, so a lost executor costs one stage and not the whole plan."""
 
@@ -46,6 +43,11 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def schema_of(rows: DataFrame, names: list[str], ddl: str) -> T.StructType:
+    """Some columns of rows, then those of a DDL string."""
+    return T.StructType([*[rows.schema[n] for n in names], *T.StructType.fromDDL(ddl)])
+
+
 # ---------------------------------------------------------------- blocks of texts
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and 64-bit offsets of a string column; a null is an empty text."""

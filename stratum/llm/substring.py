@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, Rolling, Scratch, byte_values, mix, signed, slices, sliding_min, union_spans, word_hashes, word_spans
+from .common import SPACE, Rolling, Scratch, byte_values, mix, schema_of, signed, slices, sliding_min, union_spans, word_hashes, word_spans
 from .runs import distinct_rows, map_runs, with_neighbours
 
 WINDOW = 20
@@ -192,8 +192,7 @@ def dedup(docs: DataFrame, keep: list[str], doc_id: str = "doc_id", text: str =
     gone = removed_ranges(keyed(docs, doc_id, text), scratch, window, seed)
     rows = keyed(docs, doc_id, text, keep).join(gone, ["doc", "tie"], "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<struct<first:int,last:int>>")))
     names = [f"s_keep{i}" for i in range(len(keep))]
-    kinds = [f"{n} {rows.schema[n].dataType.simpleString()}" for n in names]
-    schema = ", ".join([*kinds, "s_words long", "s_removed long", "s_text string", "s_kept_sha256 string", "s_ranges array<struct<first:int,last:int>>"])
+    schema = schema_of(rows, names, "s_words long, s_removed long, s_text string, s_kept_sha256 string, s_ranges array<struct<first:int,last:int>>")
 
     def run(batches):
         for part, body, at in slices(batches, "text"):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, byte_values, mix, signed, slices, union_spans
+from .common import Scratch, byte_values, mix, schema_of, signed, slices, union_spans
 from .induced import repeated
 from .runs import _columns, map_runs, with_neighbours
 from .substring import keyed, stretches
@@ -174,7 +174,7 @@ def strip(docs: DataFrame, keep: list[str], doc_id: str = "doc_id", text: str =
     gone = repeated_ranges(keyed(docs, doc_id, text), scratch, length, seed)
     names = [f"s_keep{i}" for i in range(len(keep))]
     rows = keyed(docs, doc_id, text, keep).join(gone, ["doc", "tie"], "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<struct<first:int,last:int>>"))).select(*names, "text", "gone")
-    schema = ", ".join([*[f"{n} {rows.schema[n].dataType.simpleString()}" for n in names], "s_bytes long", "s_removed long", "s_spans long", "s_kept_sha256 string", *(["s_kept binary"] if with_bytes else [])])
+    schema = schema_of(rows, names, "s_bytes long, s_removed long, s_spans long, s_kept_sha256 string" + ", s_kept binary" * with_bytes)
 
     def run(batches):
         for part, body, at in slices(batches, "text"):
