@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import slices
 from .orctokens import pieces
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 MASS = 2.0
 UNIGRAM = np.int64(0xFFFFFFFF)  # in place of a second token
 TOTAL = np.int64(-1)
@@ -32,12 +32,11 @@ TOTAL = np.int64(-1)
 GRAMS = pa.schema([("blk", pa.int64()), ("g", pa.int64()), ("c_all", pa.int64()), ("c_target", pa.int64())])
 
 
-def _counted(keys: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys, their numbers, and their numbers where weight is 1."""
-    order = np.argsort(keys, kind="stable")
-    ranked = keys[order]
+def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and their numbers."""
+    ranked = np.sort(keys)
     head = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]]) if len(keys) else np.zeros(0, np.int64)
-    return ranked[head], np.diff(np.r_[head, len(keys)]), np.add.reduceat(weight[order], head) if len(head) else head
+    return ranked[head], np.diff(np.r_[head, len(keys)])
 
 
 def _merged(parts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -64,12 +63,20 @@ class Sequences:
         return (first << np.int64(32)) | second, n + 1
 
 
-def _block_counts(seq: Sequences, table: pa.RecordBatch, targets: np.ndarray):
+def _block_counts(seq: Sequences, table: pa.RecordBatch, targets: np.ndarray, sequences: list | None = None):
+    """Bigrams of a block with their numbers in all and in target documents; `sequences` gets the ids and bigrams of its texts."""
     parts = []
     for part, body, at in slices([table], "text"):
         keys, n = seq.bigrams(body, at)
-        chosen = np.isin(part.column(part.schema.get_field_index("doc")).to_numpy(zero_copy_only=False), targets).astype(np.int64)
-        parts.append(_counted(keys, np.repeat(chosen, n)))
+        ids = part.column(part.schema.get_field_index("doc"))
+        every, count = _counted(keys)
+        parts.append((every, count, np.zeros_like(count)))
+        chosen = np.isin(ids.to_numpy(zero_copy_only=False), targets)
+        if chosen.any():
+            some, count = _counted(keys[np.repeat(chosen, n)])
+            parts.append((some, np.zeros_like(count), count))
+        if sequences is not None:
+            sequences.append((ids, keys, n))
     return _merged(parts) if parts else (np.zeros(0, np.int64),) * 3
 
 
@@ -105,27 +112,24 @@ def score(docs: DataFrame, targets: DataFrame, tokenizer: str, doc_id: str = "do
     def judge(key, table, sums):
         seq = Sequences(tokenizer)
         batch, marked = is_target(table)
-        keys, a, b = _with_unigrams(*_block_counts(seq, batch, marked))
+        sequences: list = []
+        keys, a, b = _with_unigrams(*_block_counts(seq, batch, marked, sequences))
         order = np.argsort(keys)
         keys, a, b = keys[order], a[order].copy(), b[order].copy()
         place = np.searchsorted(keys, sums.column("g").to_numpy())
         a[place], b[place] = sums.column("t_all").to_numpy(), sums.column("t_target").to_numpy()
         size, out = seq.size + 1, {n: [] for n in ("doc", "n", "background", "target")}
-        for part, body, at in slices([batch], "text"):
-            grams, n = seq.bigrams(body, at)
-            losses = []
-            for c in (a, b):
-                total = float(c[np.searchsorted(keys, TOTAL)])
-                at_ = lambda k, c=c: c[np.searchsorted(keys, k)].astype(np.float64)
-                before = np.minimum(np.searchsorted(keys, (grams & ~UNIGRAM) | UNIGRAM), len(keys) - 1)
-                after_key = ((grams & UNIGRAM) << np.int64(32)) | UNIGRAM
-                one = (at_(after_key) + 1.0) / (total + size)
-                losses.append(-np.log((at_(grams) + MASS * one) / (c[before] + MASS)))
-            edge = np.cumsum(n) - n
-            out["doc"].append(part.column(0).to_numpy(zero_copy_only=False) if not part.column(0).null_count else np.array(part.column(0).to_pylist(), object))
+        for ids, grams, n in sequences:
+            out["doc"].append(np.array(ids.to_pylist(), object) if ids.null_count else ids.to_numpy(zero_copy_only=False))
             out["n"].append(n)
-            for name, x in zip(("background", "target"), losses, strict=True):
-                out[name].append(np.add.reduceat(x, edge) / n if len(n) else np.zeros(0))
+            distinct, which = np.unique(grams, return_inverse=True)
+            own, before = np.searchsorted(keys, distinct), np.searchsorted(keys, (distinct & ~UNIGRAM) | UNIGRAM)
+            after = np.searchsorted(keys, ((distinct & UNIGRAM) << np.int64(32)) | UNIGRAM)
+            edge = np.cumsum(n) - n
+            for name, c in (("background", a), ("target", b)):
+                one = (c[after] + 1.0) / (float(c[np.searchsorted(keys, TOTAL)]) + size)
+                loss = -np.log((c[own] + MASS * one) / (c[before] + MASS))
+                out[name].append(np.add.reduceat(loss[which], edge) / n)
         cat = lambda x, t: pa.array([v for y in x for v in y.tolist()], t)
         return pa.Table.from_arrays([cat(out["doc"], pa.int64()), cat(out["n"], pa.int64()), cat(out["background"], pa.float64()), cat(out["target"], pa.float64())], names=["doc_id", "n_tokens", "loss_background", "loss_target"])
 
