@@ -13,6 +13,7 @@ target; a payload that is not UTF-8 is read with replacement characters; repeate
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import html as html_
 import re
@@ -26,7 +27,8 @@ from pyspark.sql import functions as F
 #: Fixed values of the format.
 VERSION, END = b"WARC/1.1", b"\r\n\r\n"
 DATE = "2026-01-01T00:00:00Z"
-FILE_BYTES = 32 << 20
+FILE_BYTES, MOST_BYTES = 16 << 20, 1 << 30
+PER_FILE = 4000  # derivatives in a file, if the caller does not say
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # of URLs
 
 _DROP = re.compile(r"(?is)<!--.*?-->|<(script|style|noscript|template|head)\b[^>]*>.*?</\1\s*>|<!doctype[^>]*>")
@@ -101,14 +103,18 @@ def derivatives(headers: dict[str, str], block: bytes) -> list[tuple[str, str, b
     return [("metadata", meta_id, meta), ("conversion", text_id, text)]
 
 
-def _write(lines: DataFrame, to: str, total: int) -> None:
-    """A column `value` of records, as files; each record ends with two line ends."""
-    lines.repartition(max(1, -(-total // FILE_BYTES))).write.mode("overwrite").option("lineSep", END.decode()).text(to)
+def _write(lines: DataFrame, to: str, per_file: int) -> None:
+    """A column `value` of records, as compressed files; each record ends with two line ends. There is no shuffle: tasks start a new file when one is full."""
+    writer = lines.write.mode("overwrite").option("lineSep", END.decode()).option("maxRecordsPerFile", per_file)
+    writer.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(to)
 
 
-def write_responses(pages: DataFrame, to: str, page_id: str = "page_id", url: str = "url", html: str = "html") -> None:
+def write_responses(pages: DataFrame, to: str, page_id: str = "page_id", url: str = "url", html: str = "html") -> int:
+    """Returns the number of records for a file: FILE_BYTES on average, MOST_BYTES if all were as long as the longest."""
     rows = pages.select(F.col(page_id).alias("p"), F.col(url).alias("u"), F.col(html).alias("h"))
-    total = rows.agg(F.sum(F.octet_length("h") + 700)).first()[0] or 0
+    size = F.coalesce(F.octet_length("h"), F.lit(0)) + 700
+    mean, most = rows.agg(F.avg(size), F.max(size)).first()
+    per_file = max(1, min(FILE_BYTES // int(mean or 700), MOST_BYTES // int(most or 700)))
 
     def run(batches):
         for b in batches:
@@ -117,7 +123,8 @@ def write_responses(pages: DataFrame, to: str, page_id: str = "page_id", url: st
                 out = [response(*x) for x in zip(*(c.to_pylist() for c in part.columns), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([x.decode() for x in out], pa.string())], ["value"])
 
-    _write(rows.mapInArrow(run, "value string"), to, int(total))
+    _write(rows.mapInArrow(run, "value string"), to, per_file)
+    return per_file
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
@@ -128,7 +135,8 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for data in b.column(0):
                 held, n = [], 0
-                for h, x in records(data.as_buffer().to_pybytes()):
+                raw = data.as_buffer().to_pybytes()
+                for h, x in records(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw):
                     held.append((list(h.items()), x))
                     n += len(x)
                     if n > 4 << 20:
@@ -141,25 +149,29 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return files.select("content").mapInArrow(run, "headers map<string,string>, block binary")
 
 
-def derive(spark: SparkSession, source: str, to: str) -> None:
+def derive(spark: SparkSession, source: str, to: str, per_file: int = PER_FILE) -> None:
     """Writes the derivatives of all responses in the files of `source` to files in `to`."""
 
     def run(batches):
         for b in batches:
-            for i in range(b.num_rows):
-                made = derivatives(dict(b.column(0)[i].as_py()), b.column(1)[i].as_buffer().to_pybytes())
+            for i in range(0, b.num_rows, 64):
+                part = b.slice(i, 64)
+                made = [x.decode() for h, block in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for _, _, x in derivatives(dict(h), block)]
                 if made:
-                    yield pa.RecordBatch.from_arrays([pa.array([x.decode() for _, _, x in made], pa.string())], ["value"])
+                    yield pa.RecordBatch.from_arrays([pa.array(made, pa.string())], ["value"])
 
-    size = spark.read.format("binaryFile").load(source).agg(F.sum("length")).first()[0] or 0
-    _write(read_records(spark, source).mapInArrow(run, "value string"), to, int(size))
+    _write(read_records(spark, source).mapInArrow(run, "value string"), to, per_file)
 
 
-def linked(derived: DataFrame) -> DataFrame:
-    """One row for each source record: page_id, refers_to, uri, the ids and digests of both derivatives, the text and the metadata fields."""
+def linked(derived: DataFrame, bodies: bool = True) -> DataFrame:
+    """One row for each source record: page_id, refers_to, uri, ids and digests of both derivatives, concurrent_to, text_chars, text_sha256, and the text
+    and the metadata fields if `bodies`. Without them only digests are shuffled."""
     h = lambda k: F.col("headers")[k]
-    rows = derived.select(h("x-page-id").try_cast("long").alias("page_id"), h("warc-refers-to").alias("refers_to"), h("warc-target-uri").alias("uri"), h("warc-type").alias("kind"), h("warc-record-id").alias("id"), h("warc-block-digest").alias("digest"), h("warc-concurrent-to").alias("with_"), F.col("block").cast("string").alias("body"))
-    pick = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
-    return rows.groupBy("page_id", "refers_to", "uri").agg(
-        pick("metadata", "id").alias("metadata_id"), pick("metadata", "digest").alias("metadata_digest"), pick("conversion", "id").alias("conversion_id"), pick("conversion", "digest").alias("conversion_digest"), pick("conversion", "with_").alias("concurrent_to"), pick("conversion", "body").alias("text"), pick("metadata", "body").alias("fields")
-    )
+    body = F.col("block").cast("string")
+    is_text = F.col("kind") == "conversion"
+    rows = derived.select(h("x-page-id").try_cast("long").alias("page_id"), h("warc-refers-to").alias("refers_to"), h("warc-target-uri").alias("uri"), h("warc-type").alias("kind"), h("warc-record-id").alias("id"), h("warc-block-digest").alias("digest"), h("warc-concurrent-to").alias("with_"), *([body.alias("body")] if bodies else []), F.length(body).cast("long").alias("chars"), F.sha2("block", 256).alias("sha"))
+    pick = lambda which, c: F.max(F.when(which, F.col(c)))
+    made = [pick(~is_text, "id").alias("metadata_id"), pick(~is_text, "digest").alias("metadata_digest"), pick(is_text, "id").alias("conversion_id"), pick(is_text, "digest").alias("conversion_digest"), pick(is_text, "with_").alias("concurrent_to"), pick(is_text, "chars").alias("text_chars"), pick(is_text, "sha").alias("text_sha256")]
+    if bodies:
+        made += [pick(is_text, "body").alias("text"), pick(~is_text, "body").alias("fields")]
+    return rows.groupBy("page_id", "refers_to", "uri").agg(*made)
