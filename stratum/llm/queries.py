@@ -81,7 +81,41 @@ QUERIES = {f.__name__: f for f in (op1_bpe_codec, op2_lm_score, op3_decontaminat
 _VALUES = ", ".join(f"('{h}', '{p}', '{a}')" for h, p, a in RULES)
 _UP, _LOW = urlfilter.UPPER, urlfilter.LOWER
 
+_WORDS = r"list_filter(string_split_regex({0}, '{1}'), lambda x: x <> '')"
+_SPLIT = _WORDS.format("coalesce(text, '')", r"[\x20\x09-\x0D]+")
+_LOWER = f"translate(coalesce(text, ''), '{_UP}', '{_LOW}')"
+_LOWER_SPLIT = _WORDS.format(_LOWER, r"[\x20\x09-\x0D]+")
+_ALNUM_SPLIT = _WORDS.format(_LOWER, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
 ORACLE = {
+    "op3_decontamination": f"""
+WITH d AS (SELECT doc_id, {_ALNUM_SPLIT} AS ws FROM documents),
+b AS (SELECT item_id, {_ALNUM_SPLIT} AS ws FROM benchmark),
+g AS (SELECT DISTINCT item_id, least(13, len(ws)) AS size, array_to_string(ws[i : i + least(13, len(ws)) - 1], ' ') AS gram FROM b, unnest(range(1, len(ws) - least(13, len(ws)) + 2)) t(i) WHERE len(ws) > 0),
+s AS (SELECT DISTINCT size FROM g),
+w AS (SELECT doc_id, i, size, array_to_string(ws[i : i + size - 1], ' ') AS gram FROM d, s, unnest(range(1, len(ws) - size + 2)) t(i)),
+h AS (SELECT doc_id, i, w.size, item_id FROM w JOIN g ON w.gram = g.gram AND w.size = g.size),
+p AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM h, unnest(range(i, i + size)) t(p) GROUP BY doc_id),
+k AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated FROM d LEFT JOIN p ON d.doc_id = p.doc_id LEFT JOIN k ON d.doc_id = k.doc_id""",
+    "op8_jaccard_join": f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_LOWER_SPLIT} AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i : i + 2], ' ') AS gram FROM d, unnest(range(1, greatest(len(ws) - 2, least(len(ws), 1)) + 1)) t(i)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.gram = y.gram AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN n m ON m.doc_id = a JOIN n o ON o.doc_id = b WHERE 100 * c >= 90 * (m.n + o.n - c)),
+e AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(a, b) AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
+r AS (SELECT a, min(b) AS low FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(low, d.doc_id)) AS component_id FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN r ON d.doc_id = r.a""",
+    "op9_substring_dedup": f"""
+WITH d AS (SELECT doc_id, {_SPLIT} AS ws FROM documents),
+w AS (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(ws[i : i + 19], ' ') ORDER BY doc_id, i) AS k FROM d, unnest(range(1, len(ws) - 18)) t(i)),
+gone AS (SELECT DISTINCT doc_id, p FROM w, unnest(range(i, i + 20)) t(p) WHERE k > 1),
+pos AS (SELECT doc_id, p, ws[p] AS word FROM d, unnest(range(1, len(ws) + 1)) t(p)),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS body FROM pos ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256 FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id""",
     "op7_url_filter": f"""
 WITH rules(rh, rp, action) AS (VALUES {_VALUES}),
 parts AS (SELECT page_id, url, row_number() OVER () AS rid,
