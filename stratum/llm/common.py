@@ -7,6 +7,8 @@ about BLOCK_BYTES of text (one longer text is a block of its own), which bounds
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -63,6 +65,13 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body, at - lo
 
 
+def release() -> None:
+    """Gives back what a finished task has freed, so that idle workers do not hold it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Each batch in pieces of about `limit` bytes of text: the rows, their bytes, their offsets."""
     for batch in batches:
@@ -73,6 +82,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = BLOCK_BYTE
             last = min(last, n)
             yield batch.slice(first, last - first), body[at[first] : at[last]], at[first : last + 1] - at[first]
             first = last
+    release()
 
 
 # ---------------------------------------------------------------- hashing
@@ -142,7 +152,14 @@ def word_spans(body: np.ndarray, at: np.ndarray, breaks: np.ndarray = SPACE) ->
 
 
 def word_hashes(body: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray) -> np.ndarray:
-    return mix(Rolling(table[body]).of(starts, ends))
+    """Hashes of the words, a stretch of about BLOCK_BYTES at a time, so that a very long text needs no more memory than its words."""
+    out, first = np.empty(len(starts), np.uint64), 0
+    while first < len(starts):
+        last = max(first + 1, int(np.searchsorted(ends, starts[first] + BLOCK_BYTES, "right")))
+        low, high = int(starts[first]), int(ends[last - 1])
+        out[first:last] = Rolling(table[body[low:high]]).of(starts[first:last] - low, ends[first:last] - low)
+        first = last
+    return mix(out)
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:

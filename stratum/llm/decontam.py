@@ -23,11 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, Scratch, byte_values, mix, signed, slices, union_spans, word_spans
+from .common import Scratch, byte_values, signed, slices, union_spans, word_hashes, word_spans
 
 WINDOW = 13
 BUCKETS = 16
 CHUNK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20  # text of an index block
 ROW_GROUP_BYTES = 4 << 20  # what a reader of the index holds at once
 
 #: Bytes outside words: all but digits, letters and what is not ASCII.
@@ -38,7 +39,7 @@ BREAKS[0x80:] = False
 
 def _terms(body: np.ndarray, at: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts, ends, doc_words = word_spans(body, at, BREAKS)
-    return mix(Rolling(table[body]).of(starts, ends)), doc_words
+    return word_hashes(body, starts, ends, table), doc_words
 
 
 INDEX = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("terms", pa.binary()), ("counts", pa.binary()), ("places", pa.binary()), ("docs", pa.list_(pa.int64())), ("bounds", pa.list_(pa.int32()))])
@@ -52,7 +53,7 @@ def build_index(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text:
         from pyspark import TaskContext
 
         table, block = byte_values(3, lower=True), TaskContext.get().partitionId() << 32
-        for part, body, at in slices(batches, "d_text"):
+        for part, body, at in slices(batches, "d_text", BLOCK_BYTES):
             terms, doc_words = _terms(body, at, table)
             order = np.argsort(terms, kind="stable")
             ranked = terms[order]
