@@ -24,12 +24,13 @@ from pyspark.sql import functions as F
 from .common import slices
 from .orctokens import pieces
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20  # a worker holds about 50 times as much
+PARTITIONS = 20_000  # at most; then a partition has several blocks, one after another
 MASS = 2.0
 UNIGRAM = np.int64(0xFFFFFFFF)  # in place of a second token
 TOTAL = np.int64(-1)
 
-GRAMS = pa.schema([("blk", pa.int64()), ("g", pa.int64()), ("c_all", pa.int64()), ("c_target", pa.int64())])
+GRAMS = pa.schema([("blk", pa.int32()), ("g", pa.int64()), ("c_all", pa.int64()), ("c_target", pa.int64())])
 
 
 def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,11 +91,12 @@ def score(docs: DataFrame, targets: DataFrame, tokenizer: str, doc_id: str = "do
     """doc_id, n_tokens, loss_background, loss_target, score for each row of docs. targets: ids of the target documents."""
     total = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     blocks = max(8, -(-int(total) // BLOCK_BYTES))
+    parts = min(blocks, PARTITIONS)
     none = F.lit(None)
-    deal = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
+    deal = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"), F.lit(False).alias("mark"))
     marks = targets.select(F.col(target_id).cast("long").alias("doc"), none.cast("string").alias("text"), F.lit(True).alias("mark")).where("doc is not null")
-    dealt = rows.union(marks).withColumn("blk", deal(F.col("doc"))).repartition(blocks, "blk")
+    dealt = rows.union(marks).withColumn("blk", deal(F.col("doc"))).repartitionById(parts, F.col("blk"))  # as even as the blocks
 
     def is_target(table: pa.Table) -> tuple[pa.RecordBatch, np.ndarray]:
         one = table.combine_chunks()
@@ -107,7 +109,7 @@ def score(docs: DataFrame, targets: DataFrame, tokenizer: str, doc_id: str = "do
     def count(key, table):
         batch, marked = is_target(table)
         keys, a, b = _with_unigrams(*_block_counts(Sequences(tokenizer), batch, marked))
-        return pa.Table.from_arrays([pa.array(np.full(len(keys), key[0].as_py(), np.int64)), pa.array(keys), pa.array(a), pa.array(b)], schema=GRAMS)
+        return pa.Table.from_arrays([pa.array(np.full(len(keys), key[0].as_py(), np.int32)), pa.array(keys), pa.array(a), pa.array(b)], schema=GRAMS)
 
     def judge(key, table, sums):
         seq = Sequences(tokenizer)
@@ -133,9 +135,9 @@ def score(docs: DataFrame, targets: DataFrame, tokenizer: str, doc_id: str = "do
         cat = lambda x, t: pa.array([v for y in x for v in y.tolist()], t)
         return pa.Table.from_arrays([cat(out["doc"], pa.int64()), cat(out["n"], pa.int64()), cat(out["background"], pa.float64()), cat(out["target"], pa.float64())], names=["doc_id", "n_tokens", "loss_background", "loss_target"])
 
-    grams = dealt.groupBy("blk").applyInArrow(count, "blk long, g long, c_all long, c_target long")
+    grams = dealt.groupBy("blk").applyInArrow(count, "blk int, g long, c_all long, c_target long")
     by = W.partitionBy("g")
     sums = grams.select("blk", "g", "c_all", "c_target", F.sum("c_all").over(by).alias("t_all"), F.sum("c_target").over(by).alias("t_target"))
-    sums = sums.where("t_all <> c_all or t_target <> c_target").select("blk", "g", "t_all", "t_target")
+    sums = sums.where("t_all <> c_all or t_target <> c_target").select("blk", "g", "t_all", "t_target").repartitionById(parts, F.col("blk"))
     judged = dealt.groupBy("blk").cogroup(sums.groupBy("blk")).applyInArrow(judge, "doc_id long, n_tokens long, loss_background double, loss_target double")
     return judged.withColumn("score", F.col("loss_background") - F.col("loss_target"))
