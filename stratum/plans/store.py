@@ -119,22 +119,28 @@ class Store:
 
     # ------------------------------------------------------------ flush and compaction
     def _write_runs(self, entries: DataFrame, level: int) -> list[FileMeta]:
-        """Sorted, non-overlapping runs of about memtable_bytes each, with Bloom filters on the key."""
+        """Sorted runs with Bloom filters on the key, in files of about memtable_bytes that do not overlap: all one run at level 0, a run each below."""
         total = entries.agg(F.sum(octets("key", "value"))).first()[0]
         if total is None:
             return []
-        pieces = 1 if level == 0 else max(1, -(-int(total) // self.config.memtable_bytes))
-        staged = f"{self.folder.path}/{file_name(self._number())}.tmp"
+        pieces = max(1, -(-int(total) // self.config.memtable_bytes))
+        stage = f"{file_name(self._number())}.tmp"
+        staged = f"{self.folder.path}/{stage}"
         ranged = entries.repartitionByRange(pieces, "key").sortWithinPartitions("key")
-        ranged.withColumn("_p", F.spark_partition_id()).write.mode("overwrite").options(**parquet_options(ndv=max(64, int(total) // 64))).partitionBy("_p").parquet(staged)
-        stats = self.spark.read.parquet(staged).groupBy("_p").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.count(F.lit(1)).alias("n")).orderBy("_p").collect()
+        options = parquet_options(ndv=max(64, int(total) // pieces // 64))
+        stats = [F.min("key").alias("a"), F.max("key").alias("b"), F.count(F.lit(1)).alias("n")]
+        if level == 0:
+            ranged.write.mode("overwrite").options(**options).parquet(staged)
+            found = [(stage, self.spark.read.schema(MUTATION).parquet(staged).agg(*stats).first())]
+        else:
+            ranged.withColumn("_p", F.spark_partition_id()).write.mode("overwrite").options(**options).partitionBy("_p").parquet(staged)
+            found = [(f"{stage}/_p={r['_p']}", r) for r in self.spark.read.parquet(staged).groupBy("_p").agg(*stats).orderBy("_p").collect()]
         out = []
-        stage_name = staged.rsplit("/", 1)[1]
-        for r in stats:
+        for where, r in found:
             number = self._number()
-            self.folder.rename(f"{stage_name}/_p={r['_p']}", file_name(number))
+            self.folder.rename(where, file_name(number))
             out.append(FileMeta(number, level, bytes(r["a"]), bytes(r["b"]), self.folder.size(file_name(number)), r["n"]))
-        self.folder.delete(stage_name)
+        self.folder.delete(stage)
         return out
 
     def _commit(self, added: list[FileMeta], removed: set[int]) -> None:
