@@ -25,6 +25,7 @@ def numbered(batch: DataFrame, last_seq: int, order: list[str] | None = None) ->
     """Appends: rows in arrival order get the sequence numbers after last_seq.
 
     Numbers are dense within and across partitions: each partition's offset comes from the partitions' counts, so no task sees all rows.
+    The batch is read twice and must give the same partitions both times.
     """
     spark = batch.sparkSession
     arrived = batch if order is None else batch.sort(*order)
