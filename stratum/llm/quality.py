@@ -110,8 +110,10 @@ def judge(df: DataFrame, keep: list[str], text: str = "text", lang: str = "lang"
     for m, c in _shares().items():
         rows = rows.withColumn(m, c)
     n = len(keep)
-    rows = Scratch(spark, "quality").save(rows.drop("q_n3"), "measures")  # a few numbers a document; read twice instead of measuring twice
-    bounds = thresholds(rows.where(~F.col("q_base_failed")), f"q_keep{n}", f"q_keep{n + 1}")
+    scratch = Scratch(spark, "quality")
+    rows = scratch.save(rows.drop("q_n3"), "measures")  # read twice instead of measuring twice
+    # One row for each group. Spark broadcasts the table only if its files are small enough, and then the documents are not shuffled.
+    bounds = scratch.save(thresholds(rows.where(~F.col("q_base_failed")), f"q_keep{n}", f"q_keep{n + 1}"), "bounds")
     within = F.lit(True)
     for m in MEASURES:
         within &= F.coalesce(F.col(m).between(F.col(f"lo_{m}"), F.col(f"hi_{m}")), F.lit(True))
