@@ -11,18 +11,21 @@ Rows are independent, so there is no shuffle and nothing to skew.
 
 from __future__ import annotations
 
+import functools
+import gc
 import hashlib
 import json
 import os
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import schema_of, slices
+from .common import release, schema_of, slices
 
-CACHE_PIECES = 250_000  # pieces in each of two generations
+CACHE_PIECES = 60_000  # pieces in each of two generations, about 350 bytes each
 CHUNK_CHARS = 1 << 16
 
 #: Fixed values of the byte-level alphabet: these bytes stand for themselves, the others follow from 256 on.
@@ -68,7 +71,7 @@ class ForcedBoundaryCodec:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.whole = tokenizers.Tokenizer.from_file(path)
+        self.path = path
         model = spec["model"]
         self.suffix = model.get("end_of_word_suffix") or ""
         self.vocab = model["vocab"]
@@ -86,6 +89,13 @@ class ForcedBoundaryCodec:
         self.plain = regex.compile(r"[\x00-\x1B\x20-ɏΑ-ωА-я‐-‧]*")
         self.cache = Cache()
 
+    @functools.cached_property
+    def whole(self):
+        """The library's own tokenizer, for the words of unusual texts."""
+        import tokenizers
+
+        return tokenizers.Tokenizer.from_file(self.path)
+
     def _symbols(self, token: str) -> list[str]:
         if self.suffix and token.endswith(self.suffix) and token != self.suffix:
             body = list(token[: -len(self.suffix)])
@@ -154,33 +164,31 @@ class ForcedBoundaryCodec:
         return " ".join(self.tokens[i] for i in ids)
 
 
-_CODECS: dict[str, ForcedBoundaryCodec] = {}
-
-
-def codec(path: str) -> ForcedBoundaryCodec:
-    """The worker's codec for a file."""
-    if path not in _CODECS:
-        _CODECS[path] = ForcedBoundaryCodec(path)
-    return _CODECS[path]
-
-
-def round_trip(docs: DataFrame, path: str, keep: list[str], text: str = "text", with_ids: bool = False) -> DataFrame:
-    """`keep`, b_n, b_ids_sha256, b_decoded_sha256 (and b_ids, b_decoded with with_ids) of each row."""
+def round_trip(docs: DataFrame, path: str, keep: list[str], text: str = "text", with_ids: bool = False, with_decoded: bool = False) -> DataFrame:
+    """`keep`, b_n, b_ids_sha256, b_decoded_sha256 (and b_ids, b_decoded if asked for) of each row."""
     rows = docs.selectExpr(*[f"`{c}` as b_keep{i}" for i, c in enumerate(keep)], f"`{text}` as b_text")
-    made = "b_n long, b_ids_sha256 string, b_decoded_sha256 string" + ", b_ids array<int>, b_decoded string" * with_ids
+    made = "b_n long, b_ids_sha256 string, b_decoded_sha256 string" + ", b_ids array<int>" * with_ids + ", b_decoded string" * with_decoded
     schema = schema_of(rows, [f"b_keep{i}" for i in range(len(keep))], made)
 
     def run(batches):
-        coder = codec(path)
+        coder = ForcedBoundaryCodec(path)  # a task's own: kept longer, it would take an idle worker's memory
         for part, _, _ in slices(batches, "b_text"):
             got = list(coder.encode_block([t or "" for t in part.column(part.num_columns - 1).to_pylist()]))
             sha = lambda i: pa.array([hashlib.sha256(x[i].encode()).hexdigest() for x in got], pa.string())
             columns = [*part.columns[:-1], pa.array([x[2] for x in got], pa.int64()), sha(0), sha(1)]
             names = [*part.schema.names[:-1], "b_n", "b_ids_sha256", "b_decoded_sha256"]
             if with_ids:
-                columns += [pa.array([[int(i) for i in x[0].split(" ")] if x[0] else [] for x in got], pa.list_(pa.int32())), pa.array([x[1] for x in got], pa.string())]
-                names += ["b_ids", "b_decoded"]
+                at = np.r_[0, np.cumsum([x[2] for x in got])]
+                ids = np.fromstring(" ".join([x[0] for x in got if x[2]]), np.int32, sep=" ")
+                columns.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids)))
+                names.append("b_ids")
+            if with_decoded:
+                columns.append(pa.array([x[1] for x in got], pa.string()))
+                names.append("b_decoded")
             yield pa.RecordBatch.from_arrays(columns, names)
+        del coder
+        gc.collect()
+        release()
 
     out = rows.mapInArrow(run, schema)
     return out.selectExpr(*[f"b_keep{i} as `{c}`" for i, c in enumerate(keep)], *[f.name for f in out.schema.fields[len(keep) :]])
