@@ -6,12 +6,16 @@ documents meet on equal fragments (F grows with the size of the set; a set near
 is tied to its first one, and the ties' connected components bound the verification. There the overlaps are counted fragment by
 fragment, each on its own, and summed for each pair.
 
-Scale: identical sets are one class from the start. The fragments' rows are about a sixth of the n-grams at 0.9 (a third at 0.8), equal
-rows of a block collapsed. No pairs are emitted: a run of any length is passed in constant memory. A component is verified in
-blocks of about BLOCK_GRAMS n-grams, each pair of blocks a unit of its own, which emits a spanning forest of the true links.
+N-grams of passages that many documents share would tie documents that are not similar. So the fragments leave out the heavy n-grams (those
+in LOCAL of the documents that a task gathers at once, at most HEAVY of them, one fixed set for the run): what is left of two similar sets differs in at most d
+elements too. The argument needs an equal fragment that is not empty; a set with too few filled fragments for that sends the fragments of
+its whole set as well, and where even these are too few, its prefix in the global order, heavy n-grams last (two such sets share an element of it). So
+the result does not depend on which n-grams are heavy.
 
-A set with so many empty fragments that the argument above fails sends its prefix in the global order too; two such sets share an
-element of their prefixes.
+Scale: identical sets are one class from the start. The fragments' rows are about a sixth of the n-grams at 0.9 (a half at 0.8), equal
+rows of a block collapsed. No pairs are emitted: a run of any length is passed in constant memory. A component is verified in
+blocks of about BLOCK_GRAMS n-grams and BLOCK_SETS sets, each pair of blocks a unit of its own, which emits a spanning forest of the true links. The heavy n-grams
+are the only thing sent to the executors, 8 bytes each.
 
 Defined results: null and empty texts have an empty set and no links, and are components of their own; rows with equal ids are one node, which has the links of
 all of them; a null id is the least; other columns do not matter.
@@ -30,10 +34,13 @@ from .components import components
 from .runs import first_of_run, map_runs
 from .substring import keyed
 
-BLOCK_GRAMS = 400_000
-COLUMNS = 4096  # n-grams whose overlaps are counted at once
+BLOCK_GRAMS, BLOCK_SETS = 600_000, 500
+LOCAL, GATHER = 3, 4_000_000  # documents that share an n-gram, among those that a task gathers at once: so many n-grams
+HEAVY = 500_000
+COLUMNS = 2048  # n-grams whose overlaps are counted at once
 _SECOND = np.uint64(0xA0761D6478BD642F)
 _PREFIX = np.uint64(0xE7037ED1A0B428DB)
+_WHOLE = np.uint64(1 << 62)
 
 
 def grams_of(body: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -56,9 +63,10 @@ def grams_of(body: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, n
 
 
 def fragments_for(n: np.ndarray, num: int, den: int) -> np.ndarray:
-    """log2 of the number of fragments for pairs whose larger set has n elements: the least power of two above the greatest difference."""
+    """log2 of the number of fragments for pairs whose larger set has n elements: a power of two that leaves some more equal fragments than
+    the greatest difference d needs, so that a few empty ones do no harm; 0 where only equal sets are similar."""
     d = (den - num) * 2 * n // (den + num)
-    return np.ceil(np.log2(d + 1.0)).astype(np.int64)
+    return np.where(d > 0, np.ceil(np.log2(d + 1.0 + np.maximum(2, d // 8))), 0).astype(np.int64)
 
 
 def set_keys(grams: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -74,32 +82,46 @@ def set_keys(grams: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out[0], out[1]
 
 
-def signatures(grams: np.ndarray, edge: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, number of the set): two sets of the block or of any other that reach num/den share a signature, if they are not equal."""
+def _fragments(grams: np.ndarray, doc: np.ndarray, bits: np.ndarray, salt: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """(signature, set) of the filled fragments; grams sorted within each set."""
+    if not len(grams):
+        return grams, doc
+    fragment = grams >> (np.uint64(64) - bits[doc].astype(np.uint64))
+    head = np.flatnonzero(np.r_[True, (fragment[1:] != fragment[:-1]) | (doc[1:] != doc[:-1])])
+    d = doc[head]
+    return mix(np.add.reduceat(mix(grams), head) ^ mix((fragment[head] + (bits[d].astype(np.uint64) << np.uint64(40))) ^ salt)), d
+
+
+def signatures(grams: np.ndarray, edge: np.ndarray, num: int, den: int, heavy: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(signature, number of the set): two sets of the block or of any other that reach num/den share a signature, if they are not equal.
+
+    heavy: sorted n-grams to leave out where that is safe.
+    """
     n = np.diff(edge)
     own, most = fragments_for(n, num, den), fragments_for(n * den // num, num, den)
-    mixed = mix(grams)
+    doc = np.repeat(np.arange(len(n)), n)
+    light = np.ones(len(grams), bool)
+    if heavy is not None and len(heavy):
+        light = heavy[np.minimum(np.searchsorted(heavy, grams), len(heavy) - 1)] != grams
     sigs, sets = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for step in range(int((most - own).max()) + 1 if len(n) else 0):
-        chosen = (own + step <= most) & (own + step > 0) & (n > 0)
-        if not chosen.any():
-            continue
         bits = own + step
-        doc = np.repeat(np.arange(len(n)), np.where(chosen, n, 0))
-        at = np.flatnonzero(np.repeat(chosen, n))
-        fragment = grams[at] >> (np.uint64(64) - bits[doc].astype(np.uint64))
-        head = np.flatnonzero(np.r_[True, (fragment[1:] != fragment[:-1]) | (doc[1:] != doc[:-1])])
-        sums = np.add.reduceat(mixed[at], head)
-        d = doc[head]
-        sigs.append(mix(sums ^ mix(fragment[head] + (bits[d].astype(np.uint64) << np.uint64(40)))))
-        sets.append(d)
-        # Empty fragments are no evidence; where too many are empty, the prefix is.
-        filled = np.bincount(d, minlength=len(n))
-        differ = np.minimum((den - num) * (n + n * den // num) // (den + num), (1 << bits) - 1)
-        weak = np.flatnonzero(chosen & (filled <= differ))
+        left = (bits <= most) & (bits > 0) & (n > 0)
+        # Two sets of this number of fragments differ in so many at most; as many empty ones, and one more, may be equal without meaning it.
+        differ = np.minimum((den - num) * (n + n * den // num) // (den + num), (1 << np.maximum(bits, 0)) - 3)
+        for salt, part in ((np.uint64(0), light), (_WHOLE, None)):
+            at = np.flatnonzero(left[doc] if part is None else left[doc] & part)
+            sig, which = _fragments(grams[at], doc[at], bits, salt)
+            sigs.append(sig)
+            sets.append(which)
+            left = left & (np.bincount(which, minlength=len(n)) <= differ)
+        weak = np.flatnonzero(left)
         if len(weak):
             size = n[weak] - -(-num * n[weak] // den) + 1
-            place = np.repeat(edge[weak], size) + np.arange(size.sum()) - np.repeat(np.r_[0, np.cumsum(size)[:-1]], size)
+            at = np.flatnonzero(left[doc])
+            at = at[np.lexsort((~light[at], doc[at]))]  # the global order for prefixes has the heavy n-grams last
+            skip = np.cumsum(n[weak]) - n[weak]
+            place = at[np.repeat(skip, size) + np.arange(size.sum()) - np.repeat(np.r_[0, np.cumsum(size)[:-1]], size)]
             sigs.append(mix(grams[place] ^ _PREFIX))
             sets.append(np.repeat(weak, size))
     return np.concatenate(sigs), np.concatenate(sets)
@@ -110,17 +132,45 @@ SIGS = pa.schema([("sig", pa.int64()), ("a", pa.int64())])
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
+def _often(grams: np.ndarray) -> np.ndarray:
+    """What LOCAL of the sets have that these n-grams come from. Sorts in place."""
+    grams.sort()
+    if len(grams) < LOCAL:
+        return grams[:0]
+    first = grams[: len(grams) - LOCAL + 1]
+    return np.unique(first[first == grams[LOCAL - 1 :]])
+
+
 def _sets(size: int):
+    """One row for each text, and (n = -1) one for each n-gram that LOCAL of the texts gathered together have."""
+
     def run(batches):
+        held, n_held = np.empty(0, np.uint64), 0
         for part, body, at in slices(batches, "text"):
             grams, edge = grams_of(body, at, size)
             a, b = set_keys(grams, edge)
             yield {"doc": part.column(0), "tie": part.column(1), "n": np.diff(edge), "a": signed(a), "b": signed(b)}
+            if n_held and n_held + len(grams) > GATHER:
+                yield _marks(_often(held[:n_held]))
+                n_held = 0
+            if n_held + len(grams) > len(held):
+                more = np.empty(max(GATHER, len(grams)), np.uint64)
+                more[:n_held] = held[:n_held]
+                held = more
+            held[n_held : n_held + len(grams)] = grams
+            n_held += len(grams)
+        if n_held:
+            yield _marks(_often(held[:n_held]))
 
     return map_runs(run, SETS)
 
 
-def _signatures(size: int, num: int, den: int):
+def _marks(often: np.ndarray) -> dict[str, np.ndarray]:
+    none = np.zeros(len(often), np.int64)
+    return {"doc": none, "tie": none, "n": none - 1, "a": signed(often), "b": none}
+
+
+def _signatures(size: int, num: int, den: int, heavy: np.ndarray):
     def run(batches):
         for _, body, at in slices(batches, "text"):
             grams, edge = grams_of(body, at, size)
@@ -128,7 +178,7 @@ def _signatures(size: int, num: int, den: int):
             _, one = np.unique(a, return_index=True)  # one of each class of the block
             keep = np.zeros(len(a), bool)
             keep[one] = True
-            sig, which = signatures(grams, edge, num, den)
+            sig, which = signatures(grams, edge, num, den, heavy)
             keep = keep[which]
             yield {"sig": signed(sig[keep]), "a": signed(a[which[keep]])}
 
@@ -160,18 +210,22 @@ def overlaps(grams: np.ndarray, edge: np.ndarray) -> np.ndarray:
         part = np.zeros((m, COLUMNS), np.float32)
         part[who[a:b], column[a:b] - i * COLUMNS] = 1
         total += part @ part.T
-    return total.astype(np.int64)
+    return total
 
 
 def forest(grams: np.ndarray, edge: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (set, first set of its component) by the links among these sets."""
     both = overlaps(grams, edge)
     n = np.diff(edge)
-    link = den * both >= num * (n[:, None] + n[None, :] - both)
+    link = np.empty(both.shape, bool)
+    for i in range(0, len(n), 256):  # whole numbers, a few rows at a time
+        part = both[i : i + 256].astype(np.int64)
+        link[i : i + 256] = den * part >= num * (n[i : i + 256, None] + n[None, :] - part)
+    del both
     np.fill_diagonal(link, True)
     label = np.arange(len(n))
     while True:
-        new = np.where(link, label[None, :], len(n)).min(1)
+        new = np.concatenate([np.where(link[i : i + 256], label[None, :], len(n)).min(1) for i in range(0, len(n), 256)])
         new = new[new]
         if (new == label).all():
             break
@@ -213,15 +267,20 @@ def _verify(size: int, num: int, den: int):
 def clusters(docs: DataFrame, scratch: Scratch, size: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """doc, tie, n (size of the set), root (least id reachable by links). docs: doc, tie, text."""
     spark = docs.sparkSession
-    sets = scratch.save(docs.mapInArrow(_sets(size), "doc long, tie long, n long, a long, b long").distinct(), "sets")
+    scanned = scratch.save(docs.mapInArrow(_sets(size), "doc long, tie long, n long, a long, b long"), "scanned")
+    sets = scratch.save(scanned.where("n >= 0").distinct(), "sets")
+    often = scanned.where("n < 0").groupBy("a").agg(F.count(F.lit(1)).alias("blocks")).orderBy(F.desc("blocks"), "a").limit(HEAVY)
+    heavy = np.sort(np.array([r[0] for r in often.select("a").collect()], np.int64).view(np.uint64))
     classes = sets.where("n > 0").groupBy("n", "a", "b").agg(F.min("doc").alias("rep"))
 
-    sigs = docs.mapInArrow(_signatures(size, num, den), "sig long, a long")
+    sigs = docs.mapInArrow(_signatures(size, num, den, heavy), "sig long, a long")
     ties = sigs.repartition("sig").sortWithinPartitions("sig", "a").mapInArrow(map_runs(_meet, EDGES), "a long, b long")
     near = components(ties, scratch, "near")
+    del sigs, ties
+    scratch.free()
 
     member = classes.join(near, classes["a"] == near["node"]).select("rep", "a", "root", "n")
-    load = member.groupBy("root").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("int").alias("blocks"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    load = member.groupBy("root").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_GRAMS), F.ceil(F.count(F.lit(1)) / BLOCK_SETS)).cast("int").alias("blocks"), F.count(F.lit(1)).alias("m")).where("m > 1")
     member = member.join(load, "root").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     # Each block meets every block of its component, itself included: unit (least, greatest).
     units = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("rep", "a", F.xxhash64("root", F.least("block", "other"), F.greatest("block", "other")).alias("unit"))
@@ -231,6 +290,8 @@ def clusters(docs: DataFrame, scratch: Scratch, size: int = 3, num: int = 90, de
     # Copies join their class by its least id.
     copies = sets.where("n > 0").join(classes.withColumnsRenamed({"n": "cn", "a": "ca", "b": "cb"}), (F.col("n") == F.col("cn")) & (F.col("a") == F.col("ca")) & (F.col("b") == F.col("cb"))).where("doc <> rep").select(F.col("rep").alias("a"), F.col("doc").alias("b"))
     linked = components(links.union(copies), scratch, "linked")
+    del texts, links, copies
+    scratch.free()
     return sets.join(linked, sets["doc"] == linked["node"], "left").groupBy("doc", "tie").agg(F.max("n").alias("n"), F.min(F.coalesce("root", "doc")).alias("root"))
 
 
