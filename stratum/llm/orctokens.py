@@ -24,6 +24,7 @@ from .common import Rolling, mix, slices
 
 STRIPE_BYTES = 32 << 20
 ROW_INDEX_STRIDE = 2000
+BLOCK_BYTES = 2 << 20
 CACHE_PIECES = 1_500_000  # about 40 bytes each
 #: Fixed values of the byte-level splitting pattern: the endings that an apostrophe at the start of a piece takes with it.
 ENDINGS = ["s", "t", "re", "ve", "m", "ll", "d"]
@@ -174,7 +175,7 @@ def write(docs: DataFrame, tokenizer: str, to: str, doc_id: str = "doc_id", text
         from pyspark import TaskContext
 
         coder, place, part_no = pieces(tokenizer), 0, TaskContext.get().partitionId()
-        for part, body, offsets in slices(batches, "o_text"):
+        for part, body, offsets in slices(batches, "o_text", BLOCK_BYTES):
             ids, n = coder.encode_block(body, offsets)
             ids, n = np.insert(ids, np.cumsum(n), end_id).astype(np.int32), n + 1
             at = np.r_[0, np.cumsum(n)]

@@ -24,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, byte_values, mix, schema_of, signed, slices, union_spans
+from .common import BLOCK_BYTES, Scratch, byte_values, mix, schema_of, signed, slices, union_spans
 from .induced import repeated
 from .runs import _columns, map_runs, with_neighbours
 from .substring import keyed, stretches
 
 LENGTH = 200
 SEED = 64
-SHARD_BYTES = 3 << 20
+SHARD_BYTES = 2 << 20
 
 SEEDS = pa.schema([("h", pa.int64()), ("s", pa.int64()), ("doc", pa.int64()), ("tie", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("kind", pa.int8())])
 FOUND = pa.schema([("doc", pa.int64()), ("tie", pa.int64()), ("h", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("kind", pa.int8())])
@@ -52,7 +52,13 @@ def _seed_rows(length: int, seed: int):
         for part, body, at in slices(batches, "text"):
             ids, ties = part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_numpy(zero_copy_only=False)
             doc = np.repeat(np.arange(len(at) - 1, dtype=np.int32), np.diff(at))
-            _, first, last, h, s = stretches(table[body], doc, length, seed)
+            # A text longer than a block is scanned in pieces that overlap by one string less a byte, so each string is in one piece.
+            step = max(1, len(body)) if len(at) > 2 else BLOCK_BYTES
+            found = []
+            for low in range(0, len(body), step):
+                _, a, b, h, s = stretches(table[body[low : low + step + length - 1]], doc[low : low + step + length - 1], length, seed)
+                found.append((a + low, b + low, h, s))
+            first, last, h, s = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 4
             if not len(first):
                 continue
             d = doc[first].astype(np.int64)

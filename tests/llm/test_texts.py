@@ -68,6 +68,31 @@ def test_suffix_dedup(docs, rows, length, seed, monkeypatch):
     assert all(sha(bytes(r.s_kept)) == r.s_kept_sha256 for r in got)
 
 
+def test_long_texts_are_scanned_in_pieces(spark, rows, monkeypatch):
+    from stratum.llm import common
+
+    table, body = common.byte_values(1), np.frombuffer(("ab c " * 300 + "x" * 700 + " yz").encode(), np.uint8)
+    starts, ends, _ = common.word_spans(body, np.array([0, len(body)]))
+    whole = common.word_hashes(body, starts, ends, table)
+    for limit in (1, 50, 600):
+        monkeypatch.setattr(common, "BLOCK_BYTES", limit)
+        assert (common.word_hashes(body, starts, ends, table) == whole).all()
+    r = np.random.default_rng(2)
+    for limit in (100, 333, 5000):
+        monkeypatch.setattr(suffix, "BLOCK_BYTES", limit)
+        text = bytes(r.integers(97, 123, 3000).tolist()).decode()
+        text = text[:1500] + text[200:900] + text[1500:]
+        import pyarrow as pa
+
+        batch = pa.RecordBatch.from_pydict({"doc": [1], "tie": [2], "text": [text]})
+        got = pa.Table.from_batches(list(suffix._seed_rows(60, 20)(iter([batch])))).to_pylist()
+        starts = {x for g in got if g["kind"] == 0 for x in range(g["first"], g["last"] + 1)} | {x for g in got if g["kind"] == 1 for x in range(g["first"], g["last"] + 1)}
+        assert starts == set(range(len(text) - 59))
+        gone = {x for g in got if g["kind"] == 1 for x in range(g["first"], g["last"] + 1)}
+        seen = collections.Counter(text[j : j + 60] for j in range(len(text) - 59))
+        assert all(seen[text[x : x + 60]] > 1 for x in gone)
+
+
 @pytest.mark.parametrize("recurse", [1, 256])
 @pytest.mark.parametrize("queue", [150, 1 << 24])
 def test_induced_sorting(tmp_path, monkeypatch, recurse, queue):
@@ -122,6 +147,7 @@ def plain_jaccard(rows, size, num, den):
 @pytest.mark.parametrize("size, num, den", [(3, 90, 100), (5, 80, 100), (2, 50, 100), (1, 95, 100)])
 def test_jaccard_join(docs, rows, size, num, den, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK_GRAMS", 700)
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 4)
     got = jaccard.join(docs, ["doc_id", "n"], size=size, num=num, den=den).collect()
     want = plain_jaccard(rows, size, num, den)
     assert {r.doc_id: (r.j_shingles, r.j_component) for r in got} == want and len(got) == len(rows)
@@ -139,8 +165,10 @@ def test_signatures_meet_for_every_similar_pair():
         both = len(np.intersect1d(x, y))
         if not len(y) or 100 * both < num * (len(x) + len(y) - both) or np.array_equal(x, y):
             continue
-        sig, which = jaccard.signatures(np.r_[x, y], np.r_[0, len(x), len(x) + len(y)].astype(np.int64), num, 100)
-        assert set(sig[which == 0].tolist()) & set(sig[which == 1].tolist())
+        for share in (0, 0.3, 0.8, 1):  # whatever is taken for heavy
+            heavy = np.sort(np.unique(np.r_[x, y])[r.random(len(np.unique(np.r_[x, y]))) < share])
+            sig, which = jaccard.signatures(np.r_[x, y], np.r_[0, len(x), len(x) + len(y)].astype(np.int64), num, 100, heavy)
+            assert set(sig[which == 0].tolist()) & set(sig[which == 1].tolist())
 
 
 def test_first_of_groups_keeps_one_row(spark):
