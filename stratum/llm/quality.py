@@ -2,7 +2,8 @@
 
 Each document gets a few measures. For every language and source a mergeable quantile sketch of each
 measure is built, merged upwards into one of the language and one of the whole corpus. The bounds of a
-group come from its own quantiles, drawn towards those of its language by its size. A document outside
+group come from its own quantiles, drawn towards those of its language by its size: the spread is that from the median to
+the quartile, which junk does not reach while it is less than a quarter of the group. A document outside
 the bounds of its group is rejected. Two fixed base rules come first.
 
 Defined results: a null or empty text has no words and fails the base rules; a null language or source
@@ -22,12 +23,12 @@ SPACES = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 SKETCH_K = 400
 SHRINK = 200  # rows of its language that a group's own quantiles are weighed against
-REACH = 4.0  # distance of a bound from the median, in distances of the outer quantile
-OUTER = 0.95
+REACH = 10.0  # distance of a bound from the median, in distances of the outer quantile
+OUTER = 0.75
 
 #: Measure: (sides that are bounded, least distance of a bound from the median).
 MEASURES = {
-    "symbol_share": ("upper", 0.10),
+    "symbol_share": ("upper", 0.05),
     "dup_line_share": ("upper", 0.30),
     "repeat_share": ("upper", 0.30),
     "word_length": ("both", 3.0),

@@ -249,6 +249,20 @@ def test_quality_bounds_follow_the_group(spark):
     assert not got[5000] and all(got[i] for i, _ in plain + noisy)
 
 
+def test_quality_bounds_stay_below_junk_of_a_group(spark):
+    say = lambda k, extra: " ".join(f"w{(k * 7 + j) % 97}{j}" for j in range(80)) + extra
+    data = [(k, say(k, HASHES if k % 6 == 0 else ""), "en", "one") for k in range(300)]
+    got = {r.doc_id: r.q_kept for r in quality.judge(spark.createDataFrame(data, "doc_id long, text string, lang string, source string"), ["doc_id"]).collect()}
+    assert got == {k: k % 6 != 0 for k in range(300)}
+
+
+def test_quality_errors_against_labels(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    judged = quality.judge(docs, ["doc_id"]).join(labels, "doc_id").where("not q_base_failed")
+    n = {(r.quality, r.q_kept): r["count"] for r in judged.groupBy("quality", "q_kept").count().collect()}
+    assert n[0, False] >= 0.9 * (n[0, False] + n.get((0, True), 0)) and n.get((1, False), 0) <= 0.02 * n[1, True]
+
+
 def test_quality_sketches_merge_to_near_exact_quantiles(spark):
     df = spark.range(20_000).select((F.col("id") * 7919 % 20_000).cast("double").alias("x"), (F.col("id") % 9).alias("g"))
     parts = df.groupBy("g").agg(F.kll_sketch_agg_double("x", quality.SKETCH_K).alias("s"))
