@@ -235,23 +235,29 @@ def forest(grams: np.ndarray, edge: np.ndarray, num: int, den: int) -> tuple[np.
 
 
 def _verify(size: int, num: int, den: int):
-    """Rows (unit, doc, a, text) sorted by unit: the spanning forest of each unit, as document ids."""
+    """Rows (unit, doc, tie, text) sorted by unit, doc and tie: the spanning forest of each unit, as document ids."""
 
     def unit(rows: list[pa.RecordBatch]):
         one = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
         grams, edge = grams_of(*buffers(one.column(3)), size)
-        doc, a = one.column(1).to_numpy(), one.column(2).to_numpy()
-        right = signed(set_keys(grams, edge)[0]) == a
+        doc = one.column(1).to_numpy()
         x, y = forest(grams, edge, num, den)
-        good = right[x] & right[y]
-        return {"a": doc[x[good]], "b": doc[y[good]]}
+        return {"a": doc[x], "b": doc[y]}
 
     def run(batches):
         held: list[pa.RecordBatch] = []
+        last = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key = batch.column(0).to_numpy()
+            # Rows that repeat id and text are one set of the unit; they may be any number.
+            key, doc, tie = (batch.column(i).to_numpy() for i in range(3))
+            new = np.r_[last != (key[0], doc[0], tie[0]), (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (tie[1:] != tie[:-1])]
+            last = key[-1], doc[-1], tie[-1]
+            if not new.all():
+                batch, key = batch.filter(pa.array(new)), key[new]
+            if not batch.num_rows:
+                continue
             cut = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
             for i, j in zip(cut[:-1], cut[1:], strict=True):
                 if held and held[-1].column(0)[0].as_py() != int(key[i]):
@@ -271,7 +277,8 @@ def clusters(docs: DataFrame, scratch: Scratch, size: int = 3, num: int = 90, de
     sets = scratch.save(scanned.where("n >= 0").distinct(), "sets")
     often = scanned.where("n < 0").groupBy("a").agg(F.count(F.lit(1)).alias("blocks")).orderBy(F.desc("blocks"), "a").limit(HEAVY)
     heavy = np.sort(np.array([r[0] for r in often.select("a").collect()], np.int64).view(np.uint64))
-    classes = sets.where("n > 0").groupBy("n", "a", "b").agg(F.min("doc").alias("rep"))
+    # An id may have several texts, so the representative of a class is an id and the tie of its text.
+    classes = sets.where("n > 0").groupBy("n", "a", "b").agg(F.min(F.struct("doc", "tie")).alias("least")).select("n", "a", "b", F.col("least.doc").alias("rep"), F.col("least.tie").alias("rep_tie"))
 
     sigs = docs.mapInArrow(_signatures(size, num, den, heavy), "sig long, a long")
     ties = sigs.repartition("sig").sortWithinPartitions("sig", "a").mapInArrow(map_runs(_meet, EDGES), "a long, b long")
@@ -279,14 +286,14 @@ def clusters(docs: DataFrame, scratch: Scratch, size: int = 3, num: int = 90, de
     del sigs, ties
     scratch.free()
 
-    member = classes.join(near, classes["a"] == near["node"]).select("rep", "a", "root", "n")
+    member = classes.join(near, classes["a"] == near["node"]).select("rep", "rep_tie", "a", "root", "n")
     load = member.groupBy("root").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_GRAMS), F.ceil(F.count(F.lit(1)) / BLOCK_SETS)).cast("int").alias("blocks"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    member = member.join(load, "root").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    member = member.join(load, "root").withColumn("block", F.pmod(F.xxhash64("rep", "rep_tie"), F.col("blocks")).cast("int"))
     # Each block meets every block of its component, itself included: unit (least, greatest).
-    units = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("rep", "a", F.xxhash64("root", F.least("block", "other"), F.greatest("block", "other")).alias("unit"))
+    units = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("rep", "rep_tie", F.xxhash64("root", F.least("block", "other"), F.greatest("block", "other")).alias("unit"))
     units = scratch.save(units, "units")
-    texts = units.hint("merge").join(docs, units["rep"] == docs["doc"]).select("unit", "rep", "a", "text")
-    links = texts.repartition("unit").sortWithinPartitions("unit", "rep").mapInArrow(_verify(size, num, den), "a long, b long")
+    texts = units.hint("merge").join(docs, (units["rep"] == docs["doc"]) & (units["rep_tie"] == docs["tie"])).select("unit", "rep", "rep_tie", "text")
+    links = texts.repartition("unit").sortWithinPartitions("unit", "rep", "rep_tie").mapInArrow(_verify(size, num, den), "a long, b long")
     # Copies join their class by its least id.
     copies = sets.where("n > 0").join(classes.withColumnsRenamed({"n": "cn", "a": "ca", "b": "cb"}), (F.col("n") == F.col("cn")) & (F.col("a") == F.col("ca")) & (F.col("b") == F.col("cb"))).where("doc <> rep").select(F.col("rep").alias("a"), F.col("doc").alias("b"))
     linked = components(links.union(copies), scratch, "linked")

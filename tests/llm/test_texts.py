@@ -171,6 +171,21 @@ def test_signatures_meet_for_every_similar_pair():
             assert set(sig[which == 0].tolist()) & set(sig[which == 1].tolist())
 
 
+@pytest.mark.parametrize("null", [False, True])
+def test_jaccard_links_of_ids_with_several_texts(spark, null):
+    r = np.random.default_rng(9)
+    pairs, want = [], {}
+    for g in range(12):  # two versions under one id, twice the first, and two near copies under ids of their own
+        base = [f"w{x}" for x in r.integers(0, 1 << 40, 120)]
+        shared = None if null else 10 * g
+        ids = [shared, shared, 10 * g + 1, 10 * g + 2]
+        pairs += [(i, " ".join([*base[:-1], f"end{k}"])) for k, i in enumerate(ids)]
+        pairs.append(pairs[-4])
+        want |= dict.fromkeys(ids, shared)
+    got = jaccard.join(frame(spark, pairs), ["doc_id"], size=5, num=80, den=100).collect()
+    assert len(got) == len(pairs) and {r.doc_id: r.j_component for r in got} == want
+
+
 def test_first_of_groups_keeps_one_row(spark):
     t, u = " ".join(map(str, range(60))), " ".join(map(str, range(61)))
     got = jaccard.first_of_groups(frame(spark, [(5, t), (5, t), (3, u), (9, None), (8, ""), (None, "alone here")])).collect()
