@@ -2,12 +2,15 @@
 
 Strings that repeat have the same winnowed anchor (the least hash of SEED-byte runs in them), so all places of a string fall to the shard of its
 anchor. An anchor carries the stretch of strings that it stands for. Equal stretches repeat as a whole; an anchor with one stretch is
-done. Where an anchor has different stretches, the first place of each sends its bytes to the anchor's shard. Each shard is one
+done. Where an anchor has different stretches, the first place of each sends its bytes to the anchor's shard. An anchor with more than
+HOT such stretches is hot: its strings are dealt by two hashes of the whole string instead, so that equal ones still meet, in
+runs that are passed in constant memory. Each shard is one
 text, whose suffixes and common prefixes come from external induced sorting (see induced.py); a suffix repeats if it shares
 LENGTH bytes with a neighbour in the order.
 
 Scale: one shuffle of about 2 rows for (LENGTH - SEED + 2) bytes; equal stretches of a block go on as one row, so a passage that is everywhere
-reaches a shard once for each block. A shard ends at an anchor's end once it has SHARD_BYTES; its queues go to disk beyond a bound. Temporary files live in
+reaches a shard once for each block. A shard ends at an anchor's end once it has SHARD_BYTES, and an anchor adds at most HOT stretches
+of 2 * LENGTH - SEED bytes to it; its queues go to disk beyond a bound. Temporary files live in
 the task's own folder and end with the task.
 
 Defined results: null and empty texts have no bytes; texts shorter than LENGTH lose nothing; each row is a place of its own, so rows that repeat a long text
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, Scratch, byte_values, mix, schema_of, signed, slices, union_spans
+from .common import BLOCK_BYTES, Rolling, Scratch, byte_values, mix, schema_of, signed, slices, union_spans
 from .induced import repeated
 from .runs import _columns, map_runs, with_neighbours
 from .substring import keyed, stretches
@@ -32,10 +35,13 @@ from .substring import keyed, stretches
 LENGTH = 200
 SEED = 64
 SHARD_BYTES = 2 << 20
+CHUNK = 1000  # stretches whose strings are hashed at once
+HOT = 1000  # different stretches of an anchor beyond which its strings are dealt by their own hashes
 
 SEEDS = pa.schema([("h", pa.int64()), ("s", pa.int64()), ("doc", pa.int64()), ("tie", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("kind", pa.int8())])
 FOUND = pa.schema([("doc", pa.int64()), ("tie", pa.int64()), ("h", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("kind", pa.int8())])
 PIECES = pa.schema([("h", pa.int64()), ("doc", pa.int64()), ("tie", pa.int64()), ("first", pa.int32()), ("piece", pa.binary())])
+STRINGS = pa.schema([("w", pa.int64()), ("v", pa.int64()), ("doc", pa.int64()), ("tie", pa.int64()), ("first", pa.int32())])
 RANGES = pa.schema([("doc", pa.int64()), ("tie", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])
 _SQL = {"int64": "long", "int32": "int", "int8": "tinyint", "binary": "binary"}
 
@@ -114,6 +120,40 @@ def _cut(length: int):
     return map_runs(run, PIECES)
 
 
+def _strings(length: int):
+    """(doc, tie, text, open) -> one row for each string of the open stretches: two independent hashes of its bytes."""
+    one, two = byte_values(7), byte_values(8)
+
+    def run(batches):
+        for part, body, at in slices(batches, "text"):
+            ids, ties = part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_numpy(zero_copy_only=False)
+            spans = part.column(3)
+            d = np.repeat(np.arange(len(at) - 1), np.diff(spans.offsets.to_numpy()))
+            flat = spans.flatten()
+            first, last = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (1, 2))
+            for i in range(0, len(d), CHUNK):
+                low, size = first[i : i + CHUNK], last[i : i + CHUNK] - first[i : i + CHUNK] + 1
+                skip, own = np.cumsum(size) - size, d[i : i + CHUNK]
+                # The stretches one after another, each with the bytes of its last string.
+                width = size + length - 1
+                edge = np.cumsum(width) - width
+                bytes_ = body[np.repeat(at[own] + low - edge, width) + np.arange(width.sum())]
+                step = np.arange(size.sum()) - np.repeat(skip, size)
+                a = np.repeat(edge, size) + step
+                own = np.repeat(own, size)
+                w, v = (signed(mix(Rolling(t[bytes_]).of(a, a + length))) for t in (one, two))
+                yield {"w": w, "v": v, "doc": ids[own], "tie": ties[own], "first": (np.repeat(low, size) + step).astype(np.int32)}
+
+    return map_runs(run, STRINGS)
+
+
+def _again(batches):
+    """Rows sorted by (w, v): the places of strings that are there more than once."""
+    for c, before, after in with_neighbours((_columns(b) for b in batches if b.num_rows), 2):
+        hit = before | after
+        yield {"doc": c[2][hit], "tie": c[3][hit], "first": c[4][hit], "last": c[4][hit]}
+
+
 def _sorted_shards(length: int):
     """Pieces sorted by anchor -> ranges of strings that repeat, a shard of whole anchors at a time."""
 
@@ -166,11 +206,19 @@ def repeated_ranges(docs: DataFrame, scratch: Scratch, length: int = LENGTH, see
     seeds = docs.mapInArrow(_seed_rows(length, seed), _ddl(SEEDS))
     met = seeds.repartition("h").sortWithinPartitions("h", "s").mapInArrow(map_runs(_meet, FOUND), _ddl(FOUND))
     met = scratch.save(met, "met")
-    open_ = met.where("kind = 2").groupBy("doc", "tie").agg(F.collect_list(F.struct("h", "first", "last")).alias("open"))
-    texts = docs.join(open_, ["doc", "tie"]).select("doc", "tie", "text", "open")
-    pieces = texts.mapInArrow(_cut(length), _ddl(PIECES)).repartition("h").sortWithinPartitions("h")
+    open_ = met.where("kind = 2")
+    # The hot anchors are at most one in HOT open stretches.
+    hot = scratch.save(open_.groupBy("h").agg(F.count(F.lit(1)).alias("stretches")).where(F.col("stretches") > HOT).select("h"), "hot")
+
+    def texts(spans: DataFrame) -> DataFrame:
+        spans = spans.groupBy("doc", "tie").agg(F.collect_list(F.struct("h", "first", "last")).alias("open"))
+        return docs.join(spans, ["doc", "tie"]).select("doc", "tie", "text", "open")
+
+    pieces = texts(open_.join(hot, "h", "left_anti")).mapInArrow(_cut(length), _ddl(PIECES)).repartition("h").sortWithinPartitions("h")
     more = pieces.mapInArrow(_sorted_shards(length), _ddl(RANGES))
-    gone = met.where("kind = 1").select("doc", "tie", "first", "last").union(more)
+    strings = texts(open_.join(hot, "h", "left_semi")).mapInArrow(_strings(length), _ddl(STRINGS)).repartition("w").sortWithinPartitions("w", "v")
+    again = strings.mapInArrow(map_runs(_again, RANGES), _ddl(RANGES))
+    gone = met.where("kind = 1").select("doc", "tie", "first", "last").union(more).union(again)
     return scratch.save(gone.groupBy("doc", "tie").agg(F.collect_list(F.struct("first", "last")).alias("gone")), "gone")
 
 

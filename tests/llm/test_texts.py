@@ -68,6 +68,30 @@ def test_suffix_dedup(docs, rows, length, seed, monkeypatch):
     assert all(sha(bytes(r.s_kept)) == r.s_kept_sha256 for r in got)
 
 
+@pytest.mark.parametrize("hot", [0, 3])
+def test_suffix_dedup_with_hot_anchors(docs, rows, hot, monkeypatch):
+    monkeypatch.setattr(suffix, "HOT", hot)
+    monkeypatch.setattr(suffix, "CHUNK", 7)
+    got = suffix.strip(docs, ["doc_id"], length=30, seed=8).collect()
+    assert {r.doc_id: (r.s_bytes, r.s_removed, r.s_spans, r.s_kept_sha256) for r in got} == plain_suffix(rows, 30)
+
+
+def test_suffix_shards_stay_small_where_a_passage_is_everywhere(spark, monkeypatch):
+    def small(text, length, folder):
+        assert len(text) < 8000, len(text)
+        return induced.repeated(text, length, folder)
+
+    monkeypatch.setattr(suffix, "HOT", 10, raising=False)
+    monkeypatch.setattr(suffix, "SHARD_BYTES", 2000)
+    monkeypatch.setattr(suffix, "repeated", small)
+    r = np.random.default_rng(4)
+    say = lambda n: bytes(r.integers(97, 123, n).tolist()).decode()
+    passage = say(300)
+    pairs = [(i, say(250) + passage + say(250)) for i in range(200)]
+    got = suffix.strip(frame(spark, pairs), ["doc_id"]).collect()
+    assert {x.doc_id: (x.s_bytes, x.s_removed, x.s_spans, x.s_kept_sha256) for x in got} == plain_suffix(pairs, 200)
+
+
 def test_long_texts_are_scanned_in_pieces(spark, rows, monkeypatch):
     from stratum.llm import common
 
