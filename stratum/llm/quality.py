@@ -31,7 +31,7 @@ MEASURES = {
     "symbol_share": ("upper", 0.05),
     "dup_line_share": ("upper", 0.30),
     "repeat_share": ("upper", 0.30),
-    "word_length": ("both", 3.0),
+    "word_length": ("both", 0.5),
 }
 
 

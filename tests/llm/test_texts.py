@@ -295,6 +295,13 @@ def test_quality_bounds_stay_below_junk_of_a_group(spark):
     assert got == {k: k % 6 != 0 for k in range(300)}
 
 
+def test_quality_word_length_follows_the_quantiles(spark):
+    say = lambda k, n: " ".join(f"{(k * 7919 + j * 104729) % 10 ** n:0{n}d}" for j in range(80))
+    data = [(k, say(k, 5), "en", "one") for k in range(100)] + [(500, say(3, 7), "en", "one"), (501, say(3, 3), "en", "one")]
+    got = {r.doc_id: r.q_kept for r in quality.judge(spark.createDataFrame(data, "doc_id long, text string, lang string, source string"), ["doc_id"]).collect()}
+    assert got == {**dict.fromkeys(range(100), True), 500: False, 501: False}
+
+
 def test_quality_errors_against_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     judged = quality.judge(docs, ["doc_id"]).join(labels, "doc_id").where("not q_base_failed")
