@@ -36,12 +36,16 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which benchmark passages are less than a twentieth of the words."""
+    """Documents of which benchmark passages are less than a twentieth of the words, without these passages."""
     key = F.xxhash64("doc_id", "text")
-    found = decontam.report(docs.select(key.alias("key"), "text"), table(spark, sf_dir, "benchmark"), doc_id="key")
-    bad = found.where("contaminated").select("doc_id").distinct()
-    hit = bad.withColumnRenamed("doc_id", "hit")
-    return docs.join(hit, key == hit["hit"], "left_anti")
+    found = decontam.contamination(docs.select(key.alias("key"), "text"), table(spark, sf_dir, "benchmark"), doc_id="key").where(F.size("starts") > 0)
+    found = found.select(F.col("doc_id").alias("hit"), "starts", "ends").dropDuplicates(["hit"])
+    rest = [c for c in docs.columns if c != "text"]
+    rows = docs.select(F.struct(*rest).alias("row"), "text", key.alias("key"))
+    out = decontam.cut(rows.join(found, rows["key"] == found["hit"], "left"), ["row"]).where("d_hit = 0 or 20 * d_hit < d_words")
+    n_chars = F.when(F.col("d_hit") > 0, F.length("d_text")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    made = {"text": F.col("d_text"), "n_chars": n_chars}
+    return out.select(*[made.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

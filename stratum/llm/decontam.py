@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, byte_values, signed, slices, union_spans, word_hashes, word_spans
+from .common import Scratch, byte_values, schema_of, signed, slices, union_spans, word_hashes, word_spans
 
 WINDOW = 13
 BUCKETS = 16
@@ -246,3 +246,33 @@ def report(docs: DataFrame, benchmark: DataFrame, **names) -> DataFrame:
 
     rows = contamination(docs, benchmark, **names).mapInArrow(run, "doc_id long, n_words long, n_hit long, items_sha256 string, items array<string>")
     return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items_sha256", ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "items")
+
+
+def cut(rows: DataFrame, names: list[str], text: str = "text", starts: str = "starts", ends: str = "ends") -> DataFrame:
+    """`names`, d_words, d_hit and d_text: the text without the words of its ranges, a line end for each cut; the text itself without ranges."""
+    rows = rows.select(*names, F.col(text).alias("d_body"), F.coalesce(starts, F.array().cast("array<int>")).alias("d_starts"), F.coalesce(ends, F.array().cast("array<int>")).alias("d_ends"))
+    schema = schema_of(rows, names, "d_words long, d_hit long, d_text string")
+    k = len(names)
+
+    def run(batches):
+        for part, body, at in slices(batches, "d_body"):
+            words, hit, left = [], [], []
+            valid = part.column(k).is_valid().to_pylist()
+            for i, (s, e) in enumerate(zip(part.column(k + 1).to_pylist(), part.column(k + 2).to_pylist(), strict=True)):
+                own = body[at[i] : at[i + 1]]
+                if not s:
+                    words.append(None)
+                    hit.append(0)
+                    left.append(own.tobytes().decode() if valid[i] else None)
+                    continue
+                low, high, _ = word_spans(own, np.array([0, len(own)]), BREAKS)
+                a, b = union_spans(np.array(s, np.int64), np.array(e, np.int64))
+                data = own.tobytes()
+                parts = [data[x:y] for x, y in zip([0, *high[b - 1].tolist()], [*low[a].tolist(), len(data)], strict=True)]
+                words.append(len(low))
+                hit.append(int((b - a).sum()))
+                left.append(b"\n".join(parts).decode())
+            columns = [*part.columns[:k], pa.array(words, pa.int64()), pa.array(hit, pa.int64()), pa.array(left, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, [*names, "d_words", "d_hit", "d_text"])
+
+    return rows.mapInArrow(run, schema)

@@ -1,7 +1,9 @@
 """Each stage against a plain version of its rule, on its own input, and the whole on the smallest tables."""
 
+import re
+
 import corpus_pipeline as p
-from stratum.llm import queries
+from stratum.llm import decontam, queries
 from tests.llm.conftest import CLASH
 from tests.llm.test_texts import plain_contamination, plain_jaccard, plain_substring
 
@@ -45,6 +47,19 @@ def test_planted_cases(spark):
     assert 90_004 not in {r.doc_id for r in p.benchmark_passages(spark, whole, SF).collect()}
 
 
+def test_benchmark_passages_are_cut_out_of_long_documents(spark):
+    docs = queries.table(spark, SF, "documents")
+    item = max((r.text for r in queries.table(spark, SF, "benchmark").collect()), key=len)
+    head, tail = (" ".join(f"{w}{i}" for i in range(900)) for w in ("käse", "end"))
+    texts = {1: f"{head}, {item}. {tail}", 2: f"{head} {tail}", 3: None, 4: f"{item} {head} {tail} {head} {item}", 5: f"{item} x"}
+    rows = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in texts.items()] + [(1, texts[1], "en", "s", 0)], docs.schema)
+    got = sorted((r.doc_id, r.text, r.n_chars) for r in p.benchmark_passages(spark, rows, SF).collect())
+    flat = lambda t: [x for x in re.split("[^0-9a-zA-Z\x80-\U0010ffff]+", t or "") if x]
+    assert [(i, flat(t)) for i, t, _ in got] == [(1, flat(texts[2])), (1, flat(texts[2])), (2, flat(texts[2])), (3, []), (4, flat(f"{head} {tail} {head}"))]
+    assert all(n == len(t or "") for _, t, n in got) and got[2][1] == texts[2] and got[3][1] is None
+    assert not any(r.n_hit for r in decontam.report(p.benchmark_passages(spark, rows, SF), queries.table(spark, SF, "benchmark")).collect())
+
+
 def test_the_whole(spark):
     out = p.run(spark, SF)
     got = out.collect()
