@@ -1,8 +1,10 @@
 """What the operators share: the scratch folder, and vectorised scans of text held as Arrow buffers.
 
 A scan looks at a block of texts as one array of bytes. Words, their hashes and the hashes of
-runs of words come from prefix sums over that array, so no Python code runs per word. Blocks hold
+runs of words come from vector operations on that array, so no Python code runs per word. Blocks hold
 about BLOCK_BYTES of text (one longer text is a block of its own), which bounds a worker's memory.
+
+Defined results: a null text is an empty one; a word or window never reaches over the end of a text; hashes depend on bytes and seed only.
 """
 
 from __future__ import annotations
@@ -15,14 +17,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratum.plans.scratch import scratch_root
 
 BLOCK_BYTES = 1 << 20
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 # ---------------------------------------------------------------- scratch tables
@@ -51,6 +52,13 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def long_id(df: DataFrame, name: str) -> Column:
+    """The id column as a long. Ids of other types have no order or number that results could carry, so they are refused."""
+    if not isinstance(df.schema[name].dataType, T.IntegralType):
+        raise TypeError(f"column {name} must hold whole numbers, not {df.schema[name].dataType.simpleString()}")
+    return F.col(name).cast("long")
+
+
 def schema_of(rows: DataFrame, names: list[str], ddl: str) -> T.StructType:
     """Some columns of rows, then those of a DDL string."""
     return T.StructType([*[rows.schema[n] for n in names], *T.StructType.fromDDL(ddl)])
@@ -58,12 +66,12 @@ def schema_of(rows: DataFrame, names: list[str], ddl: str) -> T.StructType:
 
 # ---------------------------------------------------------------- blocks of texts
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and 64-bit offsets of a string column; a null is an empty text."""
+    """Bytes and 64-bit offsets of a column of strings or bytes; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_string())
+    column = column.cast(pa.large_binary() if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else pa.large_string())
     if column.null_count:
-        column = column.fill_null("")
+        column = column.fill_null("" if pa.types.is_large_string(column.type) else b"")
     _, at, data = column.buffers()
     at = np.frombuffer(at, np.int64, len(column) + 1, column.offset * 8) if at is not None and len(column) else np.zeros(1, np.int64)
     lo, hi = int(at[0]), int(at[-1])
@@ -92,48 +100,95 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = BLOCK_BYTE
 
 
 # ---------------------------------------------------------------- hashing
-def mix(x: np.ndarray) -> np.ndarray:
-    """The finalizer of splitmix64, on uint64."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-class Rolling:
-    """Polynomial hashes, modulo 2^64, of any range of a sequence of 64-bit values; the same values anywhere give the same hash."""
-
-    _up = np.ones(1, np.uint64)
-    _down = np.ones(1, np.uint64)
+SPANS = 1 << 18  # byte ranges hashed at once
+_ODD, _LENGTH, _KEY = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xA0761D6478BD642F), 0xD1B54A32D192ED03
+_MASK = (np.uint64(1) << (np.arange(8, dtype=np.uint64) * np.uint64(8))) - np.uint64(1)
+_MASK = np.r_[_MASK, np.uint64(0xFFFFFFFFFFFFFFFF)]
 
-    @classmethod
-    def powers(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls._up) < n:
-            size = max(n, 1 << 16)
-            with np.errstate(over="ignore"):
-                up, down = np.full(size, _BASE, np.uint64), np.full(size, _INVERSE, np.uint64)
-                up[0] = down[0] = 1
-                cls._up, cls._down = np.multiply.accumulate(up), np.multiply.accumulate(down)
-        return cls._up[:n], cls._down[:n]
 
-    def __init__(self, values: np.ndarray):
-        up, self.down = self.powers(len(values) + 1)
-        self.sums = np.empty(len(values) + 1, np.uint64)
-        self.sums[0] = 0
-        np.cumsum(values * up[:-1], out=self.sums[1:])
-
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hashes of values[start:end], not yet mixed."""
-        return (self.sums[end] - self.sums[start]) * self.down[start]
+def mix(x: np.ndarray) -> np.ndarray:
+    """The finalizer of splitmix64, on uint64."""
+    x = x ^ (x >> np.uint64(30))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
+
+
+def _key(seed: int, number: int = 0) -> np.uint64:
+    return np.uint64((_KEY * (2 * seed + 1) + 0x9E3779B97F4A7C15 * number) & 0xFFFFFFFFFFFFFFFF)
+
+
+def lanes(body: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte on as one number; zeros follow the last."""
+    held = np.zeros(len(body) + 8, np.uint8)
+    held[: len(body)] = body
+    return np.ndarray((len(body) + 1,), "<u8", held, strides=(1,))
+
+
+def _rest(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All lanes but the first of the ranges longer than eight bytes: those ranges, where each one's lanes begin, and the number, place and width of each lane."""
+    long = np.flatnonzero(size > 8)
+    n = (size[long] - 1) >> 3
+    begin = np.cumsum(n) - n
+    number = np.arange(int(n.sum())) - np.repeat(begin, n) + 1
+    return long, begin, number, np.repeat(start[long], n) + 8 * number, np.minimum(np.repeat(size[long], n) - 8 * number, 8)
+
+
+def span_hashes(view: np.ndarray, start: np.ndarray, end: np.ndarray, *seeds: int) -> list[np.ndarray]:
+    """Hashes of byte ranges, one array for each seed. Every eight bytes go through a non-linear mix keyed by the seed and their number, so that
+    no pattern within a text cancels out; hashes of different seeds are independent all the way. view: lanes() of the bytes."""
+    out = [np.empty(len(start), np.uint64) for _ in seeds]
+    for i in range(0, len(start), SPANS):
+        low, size = start[i : i + SPANS], (end - start if len(start) <= SPANS else end[i : i + SPANS] - start[i : i + SPANS])
+        first = view[low] & _MASK[np.minimum(size, 8)]
+        long, begin, number, at, width = _rest(low, size)
+        more = view[at] & _MASK[width]
+        for hashes, seed in zip(out, seeds, strict=True):
+            sums = mix(first + _key(seed))
+            if len(long):
+                sums[long] += np.add.reduceat(mix(more + _key(seed) + number.astype(np.uint64) * _LENGTH), begin)
+            hashes[i : i + SPANS] = mix(sums ^ size.astype(np.uint64) * _ODD)
+    return out
+
+
+def same_bytes(one: np.ndarray, a: np.ndarray, size: np.ndarray, two: np.ndarray, b: np.ndarray, its: np.ndarray) -> np.ndarray:
+    """Whether the ranges of one text (lanes) have the bytes of those of another."""
+    same = size == its
+    mask = _MASK[np.minimum(size, 8)]
+    same &= (one[a] & mask) == (two[np.where(same, b, 0)] & mask)
+    some = np.flatnonzero(same)
+    long, begin, number, at, width = _rest(a[some], size[some])
+    if len(long):
+        mask = _MASK[width]
+        same[some[long]] = np.logical_and.reduceat((one[at] & mask) == (two[np.repeat(b[some[long]], np.diff(np.r_[begin, len(number)])) + 8 * number] & mask), begin)
+    return same
+
+
+def window_hashes(values: np.ndarray, width: int, seed: int = 0, have: int = 1) -> np.ndarray:
+    """Hashes of all runs of `width` values: longer runs from pairs of shorter ones, by a non-linear mix, in log2(width) steps.
+
+    have: the values are hashes of runs of so many already.
+    """
+    while have < width:
+        step = min(have, width - have)
+        values = values[:-step] * _ODD + values[step:] if len(values) > step else values[:0]
+        values = mix(values + _key(seed, have + step))
+        have += step
+    return values
 
 
-def byte_values(seed: int, lower: bool = False) -> np.ndarray:
-    """A fixed random 64-bit value for each byte; with `lower`, A-Z have those of a-z."""
-    table = mix((np.arange(1, 257, dtype=np.uint64) + np.uint64(seed << 16)) * np.uint64(_BASE))
-    if lower:
-        table[65:91] = table[97:123]
-    return table
+def byte_windows(view: np.ndarray, width: int, seed: int) -> np.ndarray:
+    """Hashes of all runs of `width` bytes. view: lanes() of the bytes."""
+    n, have = len(view) - 1, min(width, 8)
+    if n < width:
+        return np.zeros(0, np.uint64)
+    return window_hashes(mix((view[: n - have + 1] & _MASK[have]) + _key(seed)), width, seed, have)
 
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -157,15 +212,9 @@ def word_spans(body: np.ndarray, at: np.ndarray, breaks: np.ndarray = SPACE) ->
     return starts, np.flatnonzero(finishes) + 1, np.searchsorted(starts, at)
 
 
-def word_hashes(body: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Hashes of the words, a stretch of about BLOCK_BYTES at a time, so that a very long text needs no more memory than its words."""
-    out, first = np.empty(len(starts), np.uint64), 0
-    while first < len(starts):
-        last = max(first + 1, int(np.searchsorted(ends, starts[first] + BLOCK_BYTES, "right")))
-        low, high = int(starts[first]), int(ends[last - 1])
-        out[first:last] = Rolling(table[body[low:high]]).of(starts[first:last] - low, ends[first:last] - low)
-        first = last
-    return mix(out)
+def word_hashes(body: np.ndarray, starts: np.ndarray, ends: np.ndarray, *seeds: int, lower: bool = False) -> list[np.ndarray]:
+    """Hashes of the words, one array for each seed; with `lower`, A-Z count as a-z."""
+    return span_hashes(lanes(_LOWER[body] if lower else body), starts, ends, *seeds)
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:

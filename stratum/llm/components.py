@@ -1,7 +1,10 @@
 """Connected components of an edge table, by alternating large-star and small-star steps.
 
-Every step is two aggregations and joins, so a node with any number of edges is reduced map-side and never
-collected. Each round is written to the scratch folder.
+Every step finds the least neighbour of each node by an aggregation, with a map-side combine, and sends it to the node's edges by a join. Nodes with more
+than one in HUBS of the edges, of which there are fewer than HUBS, are joined by broadcast (16 bytes each); all others by shuffle, so no task has more than
+a small share of the edges because of one node. The rounds end when the edges are stars, which is checked exactly. Each round is written to the scratch folder.
+
+Defined results: edges of a node with itself and repeated edges do not matter; an empty table has no components.
 """
 
 from __future__ import annotations
@@ -11,31 +14,48 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
+HUBS = 4096
+
+
+def _with_least(edges: DataFrame, node: str, total: int) -> tuple[DataFrame, DataFrame]:
+    """The least neighbour m of each node, and the edges with it. total: at least the number of edges."""
+    other = "b" if node == "a" else "a"
+    least = edges.groupBy(node).agg(F.min(other).alias("m"), F.count(F.lit(1)).alias("degree"))
+    hub = F.col("degree") * HUBS > total
+    hubs = least.where(hub)
+    of_hubs = edges.join(F.broadcast(hubs.select(node, "m")), node)
+    rest = edges.join(F.broadcast(hubs.select(node)), node, "left_anti").join(least.where(~hub).select(node, "m"), node)
+    return least, of_hubs.select("a", "b", "m").union(rest.select("a", "b", "m"))
 
-def _large(edges: DataFrame) -> DataFrame:
+
+def _large(edges: DataFrame, total: int) -> DataFrame:
+    """Each node hands all its greater neighbours to the least of itself and its neighbours."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").distinct()
+    _, joined = _with_least(both, "a", 2 * total)
+    return joined.where("b > a").select(F.least("m", "a").alias("a"), "b").distinct()
 
 
-def _small(edges: DataFrame) -> DataFrame:
+def _small(edges: DataFrame, total: int) -> DataFrame:
     """edges: a < b. Each node b hands all its smaller neighbours to the least of them."""
-    least = edges.groupBy("b").agg(F.min("a").alias("m"))
-    moved = edges.join(least, "b")
-    return moved.select(F.col("m").alias("x"), F.col("a").alias("y")).union(least.select(F.col("m").alias("x"), F.col("b").alias("y"))).where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    least, joined = _with_least(edges, "b", total)
+    moved = joined.select(F.col("m").alias("x"), F.col("a").alias("y")).union(least.select(F.col("m").alias("x"), F.col("b").alias("y")))
+    return moved.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+
+
+def _open_nodes(edges: DataFrame) -> DataFrame:
+    """Nodes that keep the edges from being stars around their least nodes: they have a smaller neighbour and either another one or a greater one."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(0).alias("up")).union(edges.select(F.col("b").alias("node"), F.lit(1).alias("up")))
+    return ends.groupBy("node").agg(F.sum("up").alias("smaller"), F.count(F.lit(1)).alias("all")).where("smaller > 0 and all > 1")
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """node, root (the least node reachable) for every node with an edge. edges: columns a and b, of any order and number."""
     now = scratch.save(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}0")
-    k, before = 0, None
-    while True:
+    total, k = now.count(), 0
+    while total and not _open_nodes(now).isEmpty():
         k += 1
-        now = scratch.save(_small(_large(now)), f"{name}{k}")
-        state = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").bitwiseAND(F.lit((1 << 40) - 1)))).first())
+        now = scratch.save(_small(_large(now, total), total), f"{name}{k}")
+        total = now.count()
         scratch.drop(f"{name}{k - 1}")
-        if state == before or not state[0]:
-            break
-        before = state
     roots = now.select(F.col("b").alias("node"), F.col("a").alias("root"))
     return roots.union(now.select("a", "a").distinct())

@@ -4,10 +4,14 @@ The index is partitioned by documents: a block of texts has, for each of its ter
 where the term stands. Rows of the index hold one bucket of the terms of one block, so a search reads only the buckets of its
 own terms. A search ranks its terms by their number of places in the whole corpus; within a block it shifts the
 lists of a phrase by the terms' offsets and intersects them from the rarest on. What is left are the exact
-matches; with a slop, the places near enough (proximity matches).
+matches; with a slop, the places near enough (proximity matches): a phrase is near the place of its rarest term where each other term
+has a place at most `slop` words from its own, in the same document.
+
+A term is two independent 64-bit hashes of the word's bytes.
 
 Scale: one pass over the texts, no shuffle of texts; a hot term has a list in each block and none is longer than its block.
-The phrases come to the executors in chunks of at most CHUNK_BYTES of benchmark text, a pass of the index each.
+The phrases come to the executors in chunks of at most CHUNK_BYTES of benchmark text, a pass of the index each; the driver holds one
+chunk's phrases and the counts of its terms, whatever the size of the benchmark.
 
 Defined results: null and empty texts have no words and hits; an item without words has no window; items with equal ids count
 once; null item ids are named "null"; every row is its own document, repeated rows too; other columns do not matter.
@@ -23,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, byte_values, schema_of, signed, slices, union_spans, word_hashes, word_spans
+from .common import Scratch, long_id, schema_of, signed, slices, union_spans, word_hashes, word_spans
 
 WINDOW = 13
 BUCKETS = 16
@@ -37,13 +41,34 @@ BREAKS[0x30:0x3A] = BREAKS[0x41:0x5B] = BREAKS[0x61:0x7B] = False
 BREAKS[0x80:] = False
 
 
-def _terms(body: np.ndarray, at: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _terms(body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both hashes of each word, and the first word of each text."""
     starts, ends, doc_words = word_spans(body, at, BREAKS)
-    return word_hashes(body, starts, ends, table), doc_words
+    return *word_hashes(body, starts, ends, 3, 4, lower=True), doc_words
+
+
+def _order(terms: np.ndarray, checks: np.ndarray) -> np.ndarray:
+    """Order by term, check and place."""
+    order = np.argsort(terms, kind="stable")
+    t, c = terms[order], checks[order]
+    return order if ((t[1:] != t[:-1]) | (c[1:] == c[:-1])).all() else np.lexsort((checks, terms))
+
+
+def _find(terms: np.ndarray, checks: np.ndarray, t: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of (t, c) among the sorted, distinct pairs (terms, checks), and which of them are there."""
+    k = np.minimum(np.searchsorted(terms, t), max(len(terms) - 1, 0))
+    if not len(terms):
+        return k, np.zeros(len(k), bool)
+    while True:
+        more = np.minimum(k + 1, len(terms) - 1)
+        move = (terms[k] == t) & (checks[k] != c) & (terms[more] == t) & (more > k)
+        if not move.any():
+            return k, (terms[k] == t) & (checks[k] == c)
+        k = np.where(move, more, k)
 
 
-INDEX = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("terms", pa.binary()), ("counts", pa.binary()), ("places", pa.binary()), ("docs", pa.list_(pa.int64())), ("bounds", pa.list_(pa.int32()))])
-INDEX_SQL = "block long, bucket int, terms binary, counts binary, places binary, docs array<long>, bounds array<int>"
+INDEX = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("terms", pa.binary()), ("checks", pa.binary()), ("counts", pa.binary()), ("places", pa.binary()), ("docs", pa.list_(pa.int64())), ("bounds", pa.list_(pa.int32()))])
+INDEX_SQL = "block long, bucket int, terms binary, checks binary, counts binary, places binary, docs array<long>, bounds array<int>"
 
 
 def build_index(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -52,81 +77,91 @@ def build_index(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text:
     def run(batches):
         from pyspark import TaskContext
 
-        table, block = byte_values(3, lower=True), TaskContext.get().partitionId() << 32
+        block = TaskContext.get().partitionId() << 32
         for part, body, at in slices(batches, "d_text", BLOCK_BYTES):
-            terms, doc_words = _terms(body, at, table)
-            order = np.argsort(terms, kind="stable")
-            ranked = terms[order]
-            head = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]]) if len(ranked) else np.zeros(0, np.int64)
+            terms, checks, doc_words = _terms(body, at)
+            order = _order(terms, checks)
+            ranked, its = terms[order], checks[order]
+            head = np.flatnonzero(np.r_[True, (ranked[1:] != ranked[:-1]) | (its[1:] != its[:-1])]) if len(ranked) else np.zeros(0, np.int64)
             count = np.diff(np.r_[head, len(ranked)])
-            keys, places = ranked[head], order.astype("<i4")
+            keys, its, places = ranked[head], its[head], order.astype("<i4")
             edge = np.searchsorted(keys, np.arange(1, BUCKETS, dtype=np.uint64) << np.uint64(64 - (BUCKETS - 1).bit_length()))
             edge = np.r_[0, edge, len(keys)]
             rows = {n: [] for n in INDEX.names}
             rows["block"], rows["bucket"] = [block] * (BUCKETS + 1), list(range(-1, BUCKETS))
             rows["docs"], rows["bounds"] = [part.column(0).to_pylist()] + [None] * BUCKETS, [doc_words.tolist()] + [None] * BUCKETS
-            for n in ("terms", "counts", "places"):
+            for n in ("terms", "checks", "counts", "places"):
                 rows[n].append(None)
             for a, b in zip(edge[:-1], edge[1:], strict=True):
                 first, last = (head[a] if a < len(head) else len(places)), (head[b] if b < len(head) else len(places))
                 rows["terms"].append(keys[a:b].astype("<u8").tobytes())
+                rows["checks"].append(its[a:b].astype("<u8").tobytes())
                 rows["counts"].append(count[a:b].astype("<i4").tobytes())
                 rows["places"].append(places[first:last].tobytes())
             yield pa.RecordBatch.from_pydict(rows, INDEX)
             block += 1
 
-    return scratch.save(docs.select(F.col(doc_id).cast("long").alias("d_id"), F.col(text).alias("d_text")).mapInArrow(run, INDEX_SQL), "index", **{"parquet.block.size": ROW_GROUP_BYTES})
+    return scratch.save(docs.select(long_id(docs, doc_id).alias("d_id"), F.col(text).alias("d_text")).mapInArrow(run, INDEX_SQL), "index", **{"parquet.block.size": ROW_GROUP_BYTES})
 
 
-def phrases_of(items: list[tuple[str, str]], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct phrases of some items: terms (one row for each phrase, padded by 0), lengths, and rows of (phrase, number of item)."""
-    table = byte_values(3, lower=True)
+def phrases_of(items: list[tuple[str, str]], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The vocabulary of some items (terms and checks, sorted), their distinct phrases (one row of places in the vocabulary for each, padded by -1),
+    lengths, and rows of (phrase, number of item)."""
     body = [(t or "").encode() for _, t in items]
     at = np.r_[0, np.cumsum([len(b) for b in body])].astype(np.int64)
-    terms, doc_words = _terms(np.frombuffer(b"".join(body), np.uint8), at, table)
+    terms, checks, doc_words = _terms(np.frombuffer(b"".join(body), np.uint8), at)
+    order = np.lexsort((checks, terms))
+    new = np.r_[True, (terms[order][1:] != terms[order][:-1]) | (checks[order][1:] != checks[order][:-1])][: len(order)]
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
     rows: dict[tuple, int] = {}
     pairs = set()
     for i in range(len(items)):
-        words = terms[doc_words[i] : doc_words[i + 1]].tolist()
+        words = number[doc_words[i] : doc_words[i + 1]].tolist()
         size = min(window, len(words))
         for j in range(len(words) - size + 1 if size else 0):
             pairs.add((rows.setdefault(tuple(words[j : j + size]), len(rows)), i))
-    out = np.zeros((len(rows), window), np.uint64)
+    out = np.full((len(rows), window), -1, np.int64)
     for p, k in rows.items():
         out[k, : len(p)] = p
-    return out, np.array([len(p) for p in rows], np.int64), np.array(sorted(pairs), np.int64).reshape(-1, 2)
+    return terms[order][new], checks[order][new], out, np.array([len(p) for p in rows], np.int64), np.array(sorted(pairs), np.int64).reshape(-1, 2)
 
 
-def intersect(lists: list[np.ndarray], offsets: list[int], slop: int = 0) -> np.ndarray:
-    """Starts where every list has a place at its offset, at most `slop` away. Lists come rarest first."""
-    start = lists[0] - offsets[0]
+def intersect(lists: list[np.ndarray], offsets: list[int], slop: int = 0, bounds: np.ndarray | None = None) -> np.ndarray:
+    """Starts where every list has a place at its offset, at most `slop` away and between the same two bounds (of documents). Lists come rarest first."""
+    place = lists[0]
+    low, high = np.full(len(place), -(1 << 62)), np.full(len(place), 1 << 62)
+    if bounds is not None and len(place):
+        d = np.searchsorted(bounds, place, "right")
+        low, high = bounds[d - 1], bounds[d] - 1
+    start = place - offsets[0]
     for have, o in zip(lists[1:], offsets[1:], strict=True):
         if not len(start):
             break
         want = start + o
-        k = np.searchsorted(have, want - slop)
-        start = start[(k < len(have)) & (have[np.minimum(k, len(have) - 1)] <= want + slop)]
+        k = np.searchsorted(have, np.maximum(want - slop, low))
+        near = (k < len(have)) & (have[np.minimum(k, len(have) - 1)] <= np.minimum(want + slop, high))
+        start, low, high = start[near], low[near], high[near]
     return start
 
 
-def term_counts(index: DataFrame, terms: np.ndarray) -> dict[int, int]:
-    """Places of each of these terms in the whole corpus. The result is as large as `terms` at most."""
-    wanted = np.sort(terms)
+def term_counts(index: DataFrame, terms: np.ndarray, checks: np.ndarray) -> np.ndarray:
+    """Places of each of these terms (sorted) in the whole corpus. What is collected is as large as `terms` at most."""
 
     def run(batches):
         for b in batches:
-            keys = np.concatenate([np.frombuffer(x, "<u8") for x in b.column(0).to_pylist()] or [np.zeros(0, np.uint64)])
-            n = np.concatenate([np.frombuffer(x, "<i4") for x in b.column(1).to_pylist()] or [np.zeros(0, np.int32)])
-            k = np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)
-            hit = wanted[k] == keys
-            sums = np.bincount(k[hit], n[hit], len(wanted)).astype(np.int64)
+            keys, its, n = (np.concatenate([np.frombuffer(x, t) for x in b.column(i).to_pylist()] or [np.zeros(0, t)]) for i, t in enumerate(("<u8", "<u8", "<i4")))
+            k, hit = _find(terms, checks, keys, its)
+            sums = np.bincount(k[hit], n[hit], len(terms)).astype(np.int64)
             some = np.flatnonzero(sums)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(wanted[some])), pa.array(sums[some])], ["term", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sums[some])], ["term", "n"])
 
-    if not len(wanted):
-        return {}
-    found = index.where("bucket >= 0").select("terms", "counts").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    return {int(np.int64(t).view(np.uint64)): n for t, n in found.collect()}
+    out = np.zeros(len(terms), np.int64)
+    if len(terms):
+        found = index.where("bucket >= 0").select("terms", "checks", "counts").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+        for k, n in found.collect():
+            out[k] = n
+    return out
 
 
 HITS = "block long, row int, doc_id long, n_words long, starts array<int>, ends array<int>, items array<string>"
@@ -135,34 +170,30 @@ HITS_SCHEMA = pa.schema([("block", pa.int64()), ("row", pa.int32()), ("doc_id",
 
 def search(index: DataFrame, items: list[tuple[str, str]], window: int = WINDOW, slop: int = 0) -> DataFrame:
     """For each row of the documents: its words, the word ranges of all matches (merged) and the names of the items with a match."""
-    phrases, size, pairs = phrases_of(items, window)
+    vocabulary, checks, column, size, pairs = phrases_of(items, window)
     names = [n for n, _ in items]
-    vocabulary = np.unique(phrases[phrases != 0]) if len(phrases) else np.zeros(0, np.uint64)
-    counts = term_counts(index, vocabulary)
-    frequency = np.array([counts.get(int(t), 0) for t in vocabulary], np.int64)
-    column = np.searchsorted(vocabulary, phrases)  # of the vocabulary; meaningless where padded
-    column = np.where(phrases == 0, -1, column)
+    frequency = term_counts(index, vocabulary, checks)
     # Rarest terms first, by the whole corpus; phrases with a term that the corpus lacks go.
     rank = np.where(column >= 0, frequency[np.maximum(column, 0)] if len(frequency) else 0, np.iinfo(np.int64).max)
-    order = np.argsort(rank, axis=1, kind="stable") if len(phrases) else np.zeros((0, window), np.int64)
-    alive = (rank > 0).all(axis=1) if len(phrases) else np.zeros(0, bool)
+    order = np.argsort(rank, axis=1, kind="stable") if len(column) else np.zeros((0, window), np.int64)
+    alive = (rank > 0).all(axis=1) if len(column) else np.zeros(0, bool)
     used = sorted({int(t >> np.uint64(64 - (BUCKETS - 1).bit_length())) for t in vocabulary})
 
     def trim(batches):
-        """Lists of the searched terms only."""
-        schema = pa.schema([INDEX.field(n) for n in ("block", "terms", "counts", "places", "docs", "bounds")])
+        """Lists of the searched terms only, named by their places in the vocabulary."""
+        schema = pa.schema([("block", pa.int64()), ("found", pa.binary()), *[INDEX.field(n) for n in ("counts", "places", "docs", "bounds")]])
         for b in batches:
             for i in range(b.num_rows):
                 row = b.slice(i, 1)
-                terms, counts, places = (row.column(k)[0].as_buffer() for k in (1, 2, 3))
+                terms, its, counts, places = (row.column(k)[0].as_buffer() for k in (1, 2, 3, 4))
                 if terms is None:
-                    yield pa.RecordBatch.from_arrays(row.columns, schema=schema)
+                    yield pa.RecordBatch.from_arrays([row.column(k) for k in (0, 1, 3, 4, 5, 6)], schema=schema)
                     continue
-                keys, n = np.frombuffer(terms, "<u8"), np.frombuffer(counts, "<i4")
-                keep = np.isin(keys, vocabulary)
+                n = np.frombuffer(counts, "<i4")
+                k, keep = _find(vocabulary, checks, np.frombuffer(terms, "<u8"), np.frombuffer(its, "<u8"))
                 if keep.any():
                     mine = np.frombuffer(places, "<i4")[np.repeat(keep, n)]
-                    cells = [row.column(0), *(pa.array([x.tobytes()], pa.binary()) for x in (keys[keep], n[keep], mine)), row.column(4), row.column(5)]
+                    cells = [row.column(0), *(pa.array([x.tobytes()], pa.binary()) for x in (k[keep].astype("<i4"), n[keep], mine)), row.column(5), row.column(6)]
                     yield pa.RecordBatch.from_arrays(cells, schema=schema)
 
     def match(key, found):
@@ -171,22 +202,21 @@ def search(index: DataFrame, items: list[tuple[str, str]], window: int = WINDOW,
         lists: list[np.ndarray | None] = [None] * len(vocabulary)
         present = np.zeros(len(vocabulary) + 1, bool)
         present[-1] = True  # padding
-        for r in found.select(["terms", "counts", "places"]).to_pylist():
-            if r["terms"] is not None:
-                at = np.searchsorted(vocabulary, np.frombuffer(r["terms"], "<u8"))
+        for r in found.select(["found", "counts", "places"]).to_pylist():
+            if r["found"] is not None:
+                at = np.frombuffer(r["found"], "<i4")
                 cut = np.cumsum(np.frombuffer(r["counts"], "<i4"))
                 for k, x in zip(at.tolist(), np.split(np.frombuffer(r["places"], "<i4").astype(np.int64), cut[:-1]), strict=True):
                     lists[k], present[k] = x, True
         doc = lambda place: np.searchsorted(bounds, place, "right") - 1
         first, last, of_phrase = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for p in np.flatnonzero(alive & present[column].all(axis=1)).tolist() if len(phrases) else ():
+        for p in np.flatnonzero(alive & present[column].all(axis=1)).tolist() if len(column) else ():
             offsets = order[p, : size[p]].tolist()
-            start = intersect([lists[column[p, o]] for o in offsets], offsets, slop)
-            start = start[(start >= 0) & (start + size[p] <= bounds[-1])]
-            start = start[doc(start) == doc(start + size[p] - 1)]
+            start = intersect([lists[column[p, o]] for o in offsets], offsets, slop, bounds)
             if len(start):
-                first.append(start)
-                last.append(start + size[p])
+                d = doc(start + offsets[0])
+                first.append(np.maximum(start, bounds[d]))
+                last.append(np.minimum(start + size[p], bounds[d + 1]))
                 of_phrase.append(np.full(len(start), p))
         first, last, of_phrase = np.concatenate(first), np.concatenate(last), np.concatenate(of_phrase)
         d = doc(first)
@@ -202,7 +232,7 @@ def search(index: DataFrame, items: list[tuple[str, str]], window: int = WINDOW,
         return pa.Table.from_pydict(rows, HITS_SCHEMA)
 
     wanted = index.where(F.col("bucket").isin([-1, *used]))
-    trimmed = wanted.select("block", "terms", "counts", "places", "docs", "bounds").mapInArrow(trim, "block long, terms binary, counts binary, places binary, docs array<long>, bounds array<int>")
+    trimmed = wanted.select("block", "terms", "checks", "counts", "places", "docs", "bounds").mapInArrow(trim, "block long, found binary, counts binary, places binary, docs array<long>, bounds array<int>")
     return trimmed.groupBy("block").applyInArrow(match, HITS)
 
 
@@ -218,11 +248,11 @@ def chunks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[tuple
     yield now
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """One row for each document: doc_id, n_words, starts and ends (hit word ranges), items (sorted names)."""
+def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, slop: int = 0) -> DataFrame:
+    """One row for each document: doc_id, n_words, starts and ends (hit word ranges), items (sorted names). With a slop, proximity matches count too."""
     scratch = Scratch(docs.sparkSession, "decontam")
     index = build_index(docs, scratch, doc_id, text)
-    found = [search(index, c, window) for c in chunks(benchmark, item_id, item_text)]
+    found = [search(index, c, window, slop) for c in chunks(benchmark, item_id, item_text)]
     if len(found) == 1:
         return found[0].select("doc_id", "n_words", "starts", "ends", "items")
     whole = found[0]

@@ -1,75 +1,149 @@
-"""Suffix sorting by induction, in bounded memory: suffix tuples with common-prefix values in disk-backed queues.
+"""Suffix sorting by recursive induction in external memory.
 
-The text ends with a unique 0. Suffixes that begin a rise after a fall (here: stars) are sorted first: their pieces are
-sorted by one induction and named, and the shorter text of the names is sorted, by recursion while a name has enough
-suffixes, else (the base case) by doubling. A second induction gives the order of all suffixes from that of the stars.
+A text ends with a unique 0. Suffixes that begin a rise after a fall are its stars. One induction sorts the pieces between stars, which are named by
+their order; the text of the names is sorted by recursion until names are unique; a second induction gives the order of all suffixes
+and their common prefixes from those of the stars.
 
-An induction takes the characters in order. A priority queue keyed by the character holds tuples (place, common prefix
-with the tuple before); taking the least character gives all its suffixes in order, and the places before them enter the queue
-of their own character. The common prefix of two neighbours is one more than the least among their sources, a range minimum over
-what was taken. Tuples beyond QUEUE_BYTES go to one file for each queue, in the order they came. Taken in whole
-queues, the tuples are handled by vector operations.
+An induction goes through the characters in order. A priority queue holds suffix tuples (character, place, common prefix with
+the tuple before); taking the least character gives its suffixes in order, and each sends the place before it to the
+queue, if that suffix is of the kind in question. The common prefix of two neighbours is one more than the least among those between their sources.
+
+What is in memory: the queue's newest tuples (QUEUE_BYTES; the rest is in its file), and a batch of BATCH tuples, which is one part of a frequent character's
+or all of those of some rare characters, handled together by vector operations. Texts, names, stars and orders are files, mapped or read
+in parts. So a text may be far larger than the memory.
 
 Common prefixes are cut at `cap`, and the order is by the first `cap` characters at least.
+
+Defined results: a text of the 0 alone has one suffix; equal strings anywhere are neighbours in the order; values may be any whole numbers of 32 bits, none of them negative.
 """
 
 from __future__ import annotations
 
+import mmap
 import os
+from collections import deque
+from collections.abc import Iterator
 
 import numpy as np
 
-from .common import Rolling, mix
+QUEUE_BYTES = 8 << 20
+BATCH = 1 << 16
+FREQUENT = 4096  # a character with more places is a batch of its own
 
-QUEUE_BYTES = 24 << 20
-RECURSE = 256  # suffixes for each name, on average, from which recursion pays
-TUPLE = np.dtype([("place", "<i4"), ("lcp", "<i2")])
 
+class Disk:
+    """Files of one folder: arrays mapped into memory, and tapes."""
 
-class Queues:
-    """Tuples by character; first in, first out within each."""
+    def __init__(self, folder: str):
+        self.folder, self.n = folder, 0
 
-    def __init__(self, folder: str, name: str):
-        self.path, self.memory, self.bytes, self.stored, self.file = os.path.join(folder, name), {}, 0, {}, None
+    def path(self) -> str:
+        self.n += 1
+        return os.path.join(self.folder, f"f{self.n}")
 
-    def put(self, c: int, place: np.ndarray, lcp: np.ndarray) -> None:
-        t = np.empty(len(place), TUPLE)
-        t["place"], t["lcp"] = place, lcp
-        self.memory.setdefault(c, []).append(t)
-        self.bytes += t.nbytes
-        if self.bytes > QUEUE_BYTES:
-            self.spill()
+    def array(self, dtype, n: int) -> np.ndarray:
+        return np.memmap(self.path(), dtype, "w+", shape=(max(n, 1),))[:n]
+
+    @staticmethod
+    def rest(*arrays: np.ndarray) -> None:
+        """Lets the system take back the memory of mapped pages; their content stays in the files."""
+        for a in arrays:
+            while a is not None and not isinstance(a, mmap.mmap):
+                a = a.base
+            if a is not None:
+                a.madvise(mmap.MADV_DONTNEED)
+
+    @staticmethod
+    def drop(array: np.ndarray) -> None:
+        Disk.rest(array)
+        os.remove(array.filename)
+
+
+class Tape:
+    """Rows in a file, added at the end and read anywhere."""
 
-    def spill(self) -> None:
-        self.file = self.file or open(self.path, "w+b")  # noqa: SIM115
+    def __init__(self, disk: Disk, dtype: np.dtype):
+        self.path, self.dtype, self.n = disk.path(), dtype, 0
+        self.file = open(self.path, "w+b", buffering=1 << 20)  # noqa: SIM115
+
+    def add(self, rows: np.ndarray) -> int:
+        """The number of the first of the rows."""
+        at = self.n
         self.file.seek(0, 2)
-        for c, ts in self.memory.items():
-            t = np.concatenate(ts)
-            self.stored.setdefault(c, []).append((self.file.tell(), len(t)))
-            self.file.write(t.tobytes())
-        self.memory, self.bytes = {}, 0
-
-    def take(self, c: int) -> tuple[np.ndarray, np.ndarray]:
-        parts = []
-        for at, n in self.stored.pop(c, ()):
-            self.file.seek(at)
-            parts.append(np.frombuffer(self.file.read(n * TUPLE.itemsize), TUPLE))
-        have = self.memory.pop(c, [])
-        self.bytes -= sum(t.nbytes for t in have)
-        parts += have
-        t = np.concatenate(parts) if parts else np.empty(0, TUPLE)
-        return t["place"].astype(np.int64), t["lcp"].astype(np.int64)
+        self.file.write(np.ascontiguousarray(rows).tobytes())
+        self.n += len(rows)
+        return at
+
+    def read(self, first: int, last: int) -> np.ndarray:
+        self.file.seek(first * self.dtype.itemsize)
+        return np.frombuffer(self.file.read((last - first) * self.dtype.itemsize), self.dtype)
+
+    def mapped(self) -> np.ndarray:
+        self.file.flush()
+        return np.memmap(self.path, self.dtype, "r+", shape=(self.n,))
 
     def close(self) -> None:
-        if self.file:
-            self.file.close()
-            os.remove(self.path)
+        self.file.close()
+        os.remove(self.path)
+
+
+def tuples(char, place: np.ndarray, lcp: np.ndarray, wide: bool) -> np.ndarray:
+    out = np.empty(len(place), _tuple(wide))
+    out["char"], out["place"], out["lcp"] = char, place, lcp
+    return out
+
+
+def _tuple(wide: bool) -> np.dtype:
+    return np.dtype([("char", "<i4"), ("place", "<i8" if wide else "<i4"), ("lcp", "<i4")])
+
+
+class Queue:
+    """Tuples by the batch of their character, first in, first out within each; the newest are in memory, others in one file."""
+
+    def __init__(self, disk: Disk, wide: bool):
+        self.tape, self.memory, self.stored, self.bytes = Tape(disk, _tuple(wide)), {}, {}, 0
+
+    def put(self, batch: int, t: np.ndarray) -> None:
+        self.memory.setdefault(batch, []).append(t)
+        self.bytes += t.nbytes
+        if self.bytes > QUEUE_BYTES:
+            for b, ts in self.memory.items():
+                for x in ts:
+                    self.stored.setdefault(b, deque()).append((self.tape.add(x), len(x)))
+            self.memory, self.bytes = {}, 0
+
+    def chunks(self, batch: int) -> Iterator[np.ndarray]:
+        """Takes the tuples of a batch in parts, those that come meanwhile too."""
+        while True:
+            if self.stored.get(batch):
+                parts, n = [], 0
+                while n < BATCH and self.stored[batch]:
+                    at, m = self.stored[batch].popleft()
+                    if n + m > BATCH:
+                        self.stored[batch].appendleft((at + BATCH - n, m - (BATCH - n)))
+                        m = BATCH - n
+                    parts.append(self.tape.read(at, at + m))
+                    n += m
+            elif self.memory.get(batch):
+                parts = self.memory.pop(batch)
+                self.bytes -= sum(t.nbytes for t in parts)
+            else:
+                return
+            t = parts[0] if len(parts) == 1 else np.concatenate(parts)
+            for i in range(0, len(t), BATCH):
+                yield t[i : i + BATCH]
+
+    def take(self, batch: int) -> np.ndarray:
+        parts = list(self.chunks(batch))
+        return np.concatenate(parts) if parts else np.empty(0, self.tape.dtype)
+
+    def close(self) -> None:
+        self.tape.close()
 
 
 def range_min(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """min(values[a + 1 : b + 1]) for each pair a < b."""
-    span = b - a
-    level = np.frexp(span.astype(np.float64))[1] - 1
+    level = np.frexp((b - a).astype(np.float64))[1] - 1
     out, table = np.empty(len(a), values.dtype), values
     for k in range(int(level.max()) + 1 if len(level) else 0):
         now = np.flatnonzero(level == k)
@@ -79,228 +153,350 @@ def range_min(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _common(text: np.ndarray, i: np.ndarray, j: np.ndarray, cap: int, have: np.ndarray | None = None) -> np.ndarray:
-    """Common prefixes of pairs of suffixes, cut at cap; `have` characters are known to agree."""
+def common(text: np.ndarray, i: np.ndarray, j: np.ndarray, most, have=0) -> np.ndarray:
+    """Common prefixes of pairs of suffixes, cut at `most`; `have` characters are known to agree."""
     n = len(text)
-    lcp = np.zeros(len(i), np.int64) if have is None else np.minimum(have, cap)
-    left = np.flatnonzero(lcp < cap)
+    most = np.broadcast_to(most, i.shape)
+    lcp = np.minimum(np.broadcast_to(have, i.shape), most).astype(np.int64)
+    left = np.flatnonzero(lcp < most)
     while len(left):
         a, b = i[left] + lcp[left], j[left] + lcp[left]
         same = (a < n) & (b < n)
         same[same] = text[a[same]] == text[b[same]]
         left = left[same]
         lcp[left] += 1
-        left = left[lcp[left] < cap]
+        left = left[lcp[left] < most[left]]
     return lcp
 
 
-def _one_common(text: np.ndarray, i: int, j: int, cap: int) -> int:
-    n = min(cap, len(text) - max(i, j))
-    differ = np.flatnonzero(text[i : i + n] != text[j : j + n])
-    return int(differ[0]) if len(differ) else n
-
-
-def _bucket(text, c, place, lcp, down, cap, with_lcp):
-    """The suffixes of one character that the queue gives and those that they induce in turn within it.
-
-    down: the induction goes from the greatest character to the least.
-    """
-    if not len(place):
-        return place, lcp
-    if len(lcp):
-        lcp[0] = 0
-    places, lcps, tail = [place], [lcp], None
-    while True:
+def stable_order(key: np.ndarray) -> np.ndarray:
+    """Order by a key from 0 up, equal ones as they stand. The places go into the key, as sorting numbers is faster than sorting places."""
+    bits = max(len(key) - 1, 1).bit_length()
+    if len(key) and int(key.max()) >= 1 << (62 - bits):
+        return np.argsort(key, kind="stable")
+    packed = (key << bits) | np.arange(len(key))
+    packed.sort()
+    return packed & ((1 << bits) - 1)
+
+
+def _heads(x: np.ndarray) -> np.ndarray:
+    """Which values differ from the one before."""
+    return np.r_[True, x[1:] != x[:-1]][: len(x)]
+
+
+class Induction:
+    """One text, its batches of characters, and the two directions in which its suffixes are induced."""
+
+    def __init__(self, text: np.ndarray, disk: Disk, cap: int):
+        self.text, self.disk, self.cap, self.wide = np.asarray(text), disk, cap, len(text) >= 1 << 31
+        top = max(int(text[i : i + BATCH].max()) for i in range(0, len(text), BATCH))
+        count = disk.array(np.int64, top + 1)
+        for i in range(0, len(text), BATCH):
+            c, n = np.unique(text[i : i + BATCH], return_counts=True)
+            count[c] += n
+        self.top, self.bounds = top, np.array([*self._cut(count), top + 1])
+        disk.drop(count)
+
+    @staticmethod
+    def _cut(count: np.ndarray) -> Iterator[int]:
+        """The first character of each batch: 0, each frequent character, and as many rare ones as a batch holds."""
+        yield 0
+        for i in range(1, len(count), BATCH):
+            n = np.asarray(count[i : i + BATCH])
+            edge, own, at = np.r_[0, np.cumsum(n)], np.flatnonzero(n > FREQUENT), 0
+            while at < len(n):
+                yield i + at
+                if n[at] > FREQUENT:
+                    at += 1
+                    continue
+                follow = own[np.searchsorted(own, at) :][:1]
+                at = min([max(at + 1, int(np.searchsorted(edge, edge[at] + BATCH, "right")) - 1), *follow.tolist()])
+
+    def _batches(self, char: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.bounds, char, "right") - 1
+
+    def _before(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places before, and their characters (-1 where there is none)."""
         before = place - 1
-        source = np.flatnonzero((before >= 0) & (text[np.maximum(before, 0)] == c))
-        if not len(source):
-            break
+        return before, np.where(before >= 0, self.text[np.maximum(before, 0)].astype(np.int64), -1)
+
+    def put(self, queue: Queue, char: np.ndarray, place: np.ndarray, lcp: np.ndarray) -> None:
+        """Queues tuples whose batches are in order."""
+        batch = self._batches(char)
+        edge = np.flatnonzero(_heads(batch)).tolist()
+        t = tuples(char, place, lcp, self.wide)
+        for a, b in zip(edge, [*edge[1:], len(t)], strict=True):
+            queue.put(int(batch[a]), t[a:b])
+
+    def _send(self, queue: Queue, sign: int, before, char, lcp, go, since: Since | None, with_lcp: bool) -> None:
+        """Queues the places before the suffixes of a batch, in order, where `go`."""
+        source = np.flatnonzero(go)
+        target = char[source]
+        order = stable_order(target if sign > 0 else self.top - target)
+        source, target = source[order], target[order]
+        new = np.ones(len(source), np.int64)  # other characters than before follow
         if with_lcp:
-            # Range minima within this round; the first pair reaches back into the round before.
-            new = np.empty(len(source), np.int64)
-            new[1:] = range_min(lcp, source[:-1], source[1:]) + 1
-            head = int(lcp[: source[0] + 1].min())
-            new[0] = 1 + (head if tail is None else min(head, tail))
-            if tail is None:
-                # The last suffix of the bucket so far was induced from another character.
-                new[0] = 1
-            after = lcp[source[-1] + 1 :]
-            tail = int(after.min()) if len(after) else cap
-            new = np.minimum(new, cap)
-        else:
-            new = np.zeros(len(source), np.int64)
-        place, lcp = before[source], new
-        places.append(place)
-        lcps.append(lcp)
-    return np.concatenate(places), np.concatenate(lcps)
-
-
-def _hand_on(queues: Queues, text, c, place, lcp, down, cap, with_lcp) -> None:
-    """Queues the places before these suffixes whose characters are still to come."""
-    before = place - 1
-    char = text[np.maximum(before, 0)]
-    source = np.flatnonzero((before >= 0) & ((char < c) if down else (char > c)))
-    if not len(source):
-        return
-    target = char[source]
-    order = np.argsort(target, kind="stable")
-    source, target = source[order], target[order]
-    new = np.ones(len(source), np.int64)  # another character follows than follows the one queued before
-    if with_lcp and len(source) > 1:
-        same = np.flatnonzero(target[1:] == target[:-1]) + 1
-        new[same] = np.minimum(range_min(lcp, source[same - 1], source[same]) + 1, cap)
-    edge = np.flatnonzero(np.r_[True, target[1:] != target[:-1]])
-    for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(target)], strict=True):
-        queues.put(int(target[a]), before[source[a:b]], new[a:b])
-
-
-def _chars(text: np.ndarray, places: np.ndarray):
-    """The queue's content before it starts: characters, and bounds of their places."""
-    c = text[places]
-    edge = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
-    return {int(c[a]): (a, b) for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(c)], strict=True)}
-
-
-def induce(text: np.ndarray, stars: np.ndarray, lcp: np.ndarray, folder: str, tag: str, cap: int, with_lcp: bool, emit) -> None:
-    """From the stars in order, all suffixes: emit(places, lcps, first) for each character from the greatest to the least, in
-    descending order; lcps[i] is the common prefix of places[i - 1] and places[i]; places before `first` rise, the others fall."""
-    top = int(text.max())
-    star_at = _chars(text, stars)
-    up, falling = Queues(folder, f"{tag}up"), Queues(folder, f"{tag}falling")
-    present = np.flatnonzero(np.bincount(text))
-    for c in present.tolist():
-        place, common = _bucket(text, c, *up.take(c), False, cap, with_lcp)
-        if len(place):
-            falling.put(c, place, common)
-        a, b = star_at.get(c, (0, 0))
-        if b > a:
-            more, its = stars[a:b], lcp[a:b].copy()
-            its[0] = _one_common(text, int(place[-1]), int(more[0]), cap) if with_lcp and len(place) else 0
-            place, common = np.concatenate([place, more]), np.concatenate([common, its])
-        _hand_on(up, text, c, place, common, False, cap, with_lcp)
-    up.close()
-    down = Queues(folder, f"{tag}down")
-    for c in present[::-1].tolist():
-        if c == 0:
-            rise, its = np.array([len(text) - 1]), np.zeros(1, np.int64)
-        else:
-            rise, its = _bucket(text, c, *down.take(c), True, cap, with_lcp)
-        fall, common = falling.take(c)
-        fall, common = fall[::-1], np.r_[0, common[:0:-1]] if len(common) else common
-        if with_lcp and len(fall) and len(rise):
-            common[0] = _one_common(text, int(rise[-1]), int(fall[0]), cap)
-        place, both = np.concatenate([rise, fall]), np.concatenate([its, common])
-        _hand_on(down, text, c, place, both, True, cap, with_lcp)
-        emit(place, both, len(rise))
-    down.close()
-    falling.close()
-    assert top >= 0
-
-
-def rises(text: np.ndarray) -> np.ndarray:
-    """Which suffixes are smaller than the next one; the last counts as one."""
+            head = _heads(target)
+            more = np.flatnonzero(~head)
+            new[more] = range_min(lcp.astype(np.int32), source[more - 1], source[more]) + 1
+            if since is not None:
+                first = np.flatnonzero(head)
+                found, least = since.pass_on(lcp, target[first], source[first], source[np.r_[first[1:], len(target)] - 1] if len(first) else first)
+                new[first[found]] = least + 1
+            new = np.minimum(new, self.cap)
+        if len(source):
+            self.put(queue, target, before[source], new)
+
+    def _one(self, queue: Queue, sign: int, batch: int, second: Iterator, out, with_lcp: bool) -> None:
+        """A batch of one character, in parts: what the queue has, what that induces in turn, then `second`."""
+        c, since, last = int(self.bounds[batch]), Since(self.cap), None
+        for t in queue.chunks(batch):
+            place, lcp = t["place"].astype(np.int64), t["lcp"].astype(np.int64)
+            if last is None:
+                lcp[0] = 0
+            last = int(place[-1])
+            out(c, place, lcp, np.ones(len(place), bool))
+            before, char = self._before(place)
+            self._send(queue, sign, before, char, lcp, (char >= 0) & (sign * char >= sign * c), since, with_lcp)
+        for place, lcp in second:
+            if last is not None and len(place):
+                lcp[0] = common(self.text, np.array([last]), place[:1], self.cap, 1)[0] if with_lcp else 0
+                last = None
+            out(c, place, lcp, np.zeros(len(place), bool))
+            before, char = self._before(place)
+            self._send(queue, sign, before, char, lcp, (char >= 0) & (sign * char > sign * c), since, with_lcp)
+
+    def _several(self, queue: Queue, sign: int, batch: int, second: np.ndarray, out, with_lcp: bool) -> None:
+        """A batch of rare characters at once. Suffixes that are induced within the batch are ranked by those that induce them, by doubling."""
+        low, high = int(self.bounds[batch]), int(self.bounds[batch + 1])
+        char, place, lcp, kind, source, before, ahead = ([] for _ in range(7))
+        n = 0
+        for k, t in ((0, queue.take(batch)), (2, second)):
+            c = t["char"].astype(np.int64)
+            t = t[stable_order(c - low if sign > 0 else high - c)]
+            char.append(t["char"].astype(np.int64))
+            place.append(t["place"].astype(np.int64))
+            lcp.append(t["lcp"].astype(np.int64))
+            kind.append(np.full(len(t), k))
+            source.append(np.arange(n, n + len(t)))
+            n += len(t)
+        now, rounds = (np.concatenate(place), np.concatenate(char), np.concatenate(kind), np.arange(n)), -1
+        while len(now[0]):
+            rounds += 1
+            b, c = self._before(now[0])
+            before.append(b)
+            ahead.append(c)
+            go = (c >= low) & (c < high) & np.where(now[2] == 2, sign * c > sign * now[1], sign * c >= sign * now[1])
+            m = int(go.sum())
+            now = b[go], c[go], np.ones(m, np.int64), now[3][go]
+            for have, x in ((place, now[0]), (char, now[1]), (kind, now[2]), (source, now[3]), (lcp, np.ones(m, np.int64))):
+                have.append(x)
+            now = *now[:3], np.arange(n, n + m)
+            n += m
+        if not n:
+            return
+        char, place, lcp, kind, source, before, ahead = (np.concatenate(x) for x in (char, place, lcp, kind, source, before, ahead))
+        at = self._ranks((char - low if sign > 0 else high - char) * 3 + kind, kind == 1, source)
+        order = np.empty(n, np.int64)
+        order[at] = np.arange(n)
+        group, char, place, lcp = kind[order], char[order], place[order], lcp[order].astype(np.int32)
+        head = _heads(char)
+        lcp[head] = 0
+        if with_lcp:
+            turn = np.flatnonzero(~head[1:] & (group[1:] == 2) & (group[:-1] != 2)) + 1
+            lcp[turn] = common(self.text, place[turn - 1], place[turn], self.cap, 1)
+            inner = np.flatnonzero(~head[1:] & (group[1:] == 1) & (group[:-1] == 1)) + 1
+            p, q = at[source[order[inner - 1]]], at[source[order[inner]]]
+            lcp[inner] = self.cap
+            for _ in range(rounds if len(inner) else 0):  # right so many rounds deep
+                lcp[inner] = np.minimum(range_min(lcp, p, q) + 1, self.cap)
+        out(char, place, lcp, group != 2)
+        ahead = ahead[order]
+        self._send(queue, sign, before[order], ahead, lcp, ahead >= high if sign > 0 else (ahead >= 0) & (ahead < low), None, with_lcp)
+
+    @staticmethod
+    def _ranks(key: np.ndarray, inner: np.ndarray, source: np.ndarray) -> np.ndarray:
+        """The place of each row in the order by key; the inner ones of equal keys by the places of their sources, others as they stand."""
+        order = stable_order(key)
+        rank = np.empty(len(key), np.int64)
+        rank[order] = np.maximum.accumulate(np.where(_heads(key[order]) | ~inner[order], np.arange(len(key)), 0))
+        jump, open_ = source, np.flatnonzero(inner)
+        while len(open_):
+            # Prefix doubling: a tie is resolved by the ranks so many sources further on.
+            key = rank[open_] * len(rank) + rank[jump[open_]]
+            order = stable_order(key)
+            open_, key = open_[order], key[order]
+            tie = _heads(rank[open_])
+            first = np.maximum.accumulate(np.where(tie, np.arange(len(open_)), 0))
+            new = _heads(key)
+            place = rank[open_] + np.maximum.accumulate(np.where(new, np.arange(len(open_)), 0)) - first
+            rank[open_] = place
+            open_, jump = open_[~new | np.r_[~new[1:], False]], jump[jump]
+        return rank
+
+    def run(self, stars: Queue, with_lcp: bool, emit) -> None:
+        """From the stars in order, all suffixes: emit(places, lcps, rises) from the greatest to the least; lcps[i] is the common prefix with the suffix
+        emitted before; rises: which are smaller than their successors."""
+        up, falls, cut = Queue(self.disk, self.wide), Tape(self.disk, _tuple(self.wide)), [0]
+
+        def fall(char, place, lcp, first):
+            t = tuples(char, place, lcp, self.wide)
+            falls.add(t if first.all() else t[first])
+
+        for batch in range(len(self.bounds) - 1):
+            if self.bounds[batch + 1] - self.bounds[batch] == 1:
+                self._one(up, 1, batch, ((t["place"].astype(np.int64), t["lcp"].astype(np.int64)) for t in stars.chunks(batch)), fall, with_lcp)
+            else:
+                self._several(up, 1, batch, stars.take(batch), fall, with_lcp)
+            cut.append(falls.n)
+        up.close()
+        self.disk.rest(self.text)
+        down = Queue(self.disk, self.wide)
+        for batch in range(len(self.bounds) - 2, 0, -1):
+            back = _backwards(falls, cut[batch], cut[batch + 1])
+            put = lambda _, place, lcp, first: emit(place, lcp, first)
+            if self.bounds[batch + 1] - self.bounds[batch] == 1:
+                self._one(down, -1, batch, ((place, lcp) for _, place, lcp in back), put, with_lcp)
+            else:
+                parts = [tuples(*x, self.wide) for x in back]
+                self._several(down, -1, batch, np.concatenate(parts) if parts else np.empty(0, _tuple(self.wide)), put, with_lcp)
+        emit(np.array([len(self.text) - 1]), np.zeros(1, np.int64), np.ones(1, bool))
+        down.close()
+        falls.close()
+        self.disk.rest(self.text)
+
+
+class Since:
+    """The least common prefix since the last source of each character, for a batch that comes in parts."""
+
+    def __init__(self, cap: int):
+        self.cap, self.char, self.least = cap, np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def pass_on(self, lcp: np.ndarray, char: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """char: distinct characters that have sources in this part, the first and last ones at these places. Gives which of them had one before, and the least since."""
+        if not len(lcp):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        k = np.searchsorted(self.char, char)
+        known = self.char[np.minimum(k, max(len(self.char) - 1, 0))] == char if len(self.char) else np.zeros(len(char), bool)
+        found = np.flatnonzero(known)
+        out = np.minimum(self.least[k[found]], np.minimum.accumulate(lcp)[first[found]])
+        self.least = np.minimum(self.least, lcp.min())
+        after = np.r_[np.minimum.accumulate(lcp[::-1])[::-1], self.cap][last + 1]
+        self.least[k[found]] = after[found]
+        new = np.flatnonzero(~known)
+        new = new[np.argsort(char[new])]
+        self.char, self.least = np.insert(self.char, k[new], char[new]), np.insert(self.least, k[new], after[new])
+        return found, out
+
+
+def _backwards(tape: Tape, first: int, last: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Tuples from the last to the first, each with the common prefix with the one before it in this order."""
+    held = 0
+    while last > first:
+        low = max(first, last - BATCH)
+        t = tape.read(low, last)[::-1]
+        yield t["char"], t["place"].astype(np.int64), np.r_[held, t["lcp"][:-1]].astype(np.int64)
+        held, last = int(t["lcp"][-1]), low
+
+
+def star_places(text: np.ndarray, disk: Disk) -> np.ndarray:
+    """Places of the suffixes that are smaller than their successors, while the one before is greater; the last one counts as smaller."""
     n = len(text)
-    step = np.sign(text[1:].astype(np.int64) - text[:-1])
-    at = np.where(step != 0, np.arange(n - 1), n)
-    at = np.minimum.accumulate(at[::-1])[::-1]
-    return np.r_[step[np.minimum(at, n - 2)] > 0, True] if n > 1 else np.ones(1, bool)
-
-
-def double(names: np.ndarray, folder: str, tag: str, cap: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the suffixes of a text of names and common prefixes (in names), by doubling; ranks of each round stay on disk."""
-    n = len(names)
-    ranks, files = [], []
-
-    def keep(rank):
-        path = os.path.join(folder, f"{tag}rank{len(files)}")
-        m = np.memmap(path, np.int32, "w+", shape=(n,))
-        m[:] = rank
-        ranks.append(m)
-        files.append(path)
-
-    rank, width = names.astype(np.int64), 1
-    keep(rank)
-    while True:
-        follow = np.zeros(n, np.int64)
-        follow[: n - width] = rank[width:] + 1 if width < n else 0
-        key = (rank << np.int64(32)) | follow
-        order = np.argsort(key, kind="stable")
-        ranked = key[order]
-        number = np.cumsum(np.r_[0, (ranked[1:] != ranked[:-1]).astype(np.int64)])
-        rank = np.empty(n, np.int64)
-        rank[order] = number
-        width *= 2
-        if number[-1] == n - 1 or width >= cap:
-            break
-        keep(rank)
-    lcp = np.zeros(n, np.int64)
-    i, j = order[:-1].copy(), order[1:].copy()
-    got = np.zeros(n - 1, np.int64)
-    same = rank[i] == rank[j]
-    got[same] = width
-    live = np.flatnonzero(~same)
-    for k in range(len(ranks) - 1, -1, -1):
-        a, b = i[live] + got[live], j[live] + got[live]
-        fits = (a < n) & (b < n)
-        eq = np.zeros(len(live), bool)
-        eq[fits] = ranks[k][a[fits]] == ranks[k][b[fits]]
-        got[live[eq]] += 1 << k
-    lcp[1:] = np.minimum(got, cap)
-    for m in files:
-        os.remove(m)
-    return order, lcp
-
-
-def sort_suffixes(text: np.ndarray, folder: str, cap: int, emit, depth: int = 0) -> None:
-    """emit(places, lcps, first) as induce() does. text: non-negative, ending with its only 0."""
-    tag = f"d{depth}"
-    rise = rises(text)
-    stars = np.flatnonzero(rise[1:] & ~rise[:-1]) + 1
+    out = disk.array(np.int64, n // 2 + 1)
+    at, rise = len(out), True
+    for high in range(n, 0, -BATCH):
+        low = max(0, high - BATCH)
+        x = np.asarray(text[low : high + 1]).astype(np.int64)
+        step = np.r_[np.sign(x[1:] - x[:-1]), 0][: high - low]
+        place = np.minimum.accumulate(np.where(step != 0, np.arange(len(step)), len(step))[::-1])[::-1]
+        rises = np.r_[step > 0, rise][place]
+        before = np.r_[text[low - 1] if low else -1, x[: high - low - 1]]
+        stars = np.flatnonzero(rises & (before > x[: high - low])) + low
+        out[at - len(stars) : at] = stars
+        at, rise = at - len(stars), bool(rises[0])
+    return out[at:]
+
+
+def _named(text: np.ndarray, stars: np.ndarray, ordered: Tape, disk: Disk) -> tuple[np.ndarray, int]:
+    """The names of the stars' pieces in the order of the text, by the order of the pieces, and their number. A piece ends with the first character of the next."""
+    names, name, last = disk.array(np.int32, len(stars)), -1, np.zeros(0, np.int64)
+    for high in range(ordered.n, 0, -BATCH):
+        low = max(0, high - BATCH)
+        place = np.r_[last, ordered.read(low, high)[::-1]]
+        which = np.searchsorted(stars, place)
+        size = np.where(which + 1 < len(stars), stars[np.minimum(which + 1, len(stars) - 1)] + 1, len(text)) - place
+        same = size[1:] == size[:-1]
+        some = np.flatnonzero(same)
+        same[some] = common(text, place[some], place[some + 1], size[some]) == size[some]
+        new = np.r_[[] if len(last) else [True], ~same].astype(bool)
+        number = name + np.cumsum(new)
+        names[which[len(last) :]] = number
+        name, last = int(number[-1]), place[-1:]
+    return names, name + 1
+
+
+def sort_suffixes(text: np.ndarray, disk: Disk, cap: int, emit) -> None:
+    """emit(places, lcps, rises) of all suffixes, as Induction.run() does. text: non-negative, ending with its only 0."""
     if len(text) == 1:
-        emit(np.zeros(1, np.int64), np.zeros(1, np.int64), 1)
+        emit(np.zeros(1, np.int64), np.zeros(1, np.int64), np.ones(1, bool))
         return
-    is_star = np.zeros(len(text), bool)
-    is_star[stars] = True
-    # Pieces between stars, sorted by an induction from stars in the order of their characters only.
-    found = []
-    first = stars[np.argsort(text[stars], kind="stable")]
-    induce(text, first, np.zeros(len(first), np.int64), folder, tag + "n", cap, False, lambda place, _, n: found.append(place[:n][is_star[place[:n]]]))
-    ordered = np.concatenate(found)[::-1]
-    number = np.full(len(text), -1, np.int32)
-    number[stars] = np.arange(len(stars))
-    end = np.minimum(np.r_[stars[1:], len(text) - 1] + 1, len(text))
-    piece = mix(Rolling(mix(text.astype(np.uint64) + np.uint64(1))).of(stars, end))
-    which = number[ordered]
-    hashes, sizes = piece[which], (end - stars)[which]
-    names = np.empty(len(stars), np.int64)
-    names[which] = np.cumsum(np.r_[0, ((hashes[1:] != hashes[:-1]) | (sizes[1:] != sizes[:-1])).astype(np.int64)])
-    kinds = int(names.max()) + 1
+    mapped, text = text, np.asarray(text)
+    stars, work = star_places(text, disk), Induction(text, disk, cap)
+    queue, ordered = Queue(disk, work.wide), Tape(disk, np.dtype("<i8"))
+
+    def note(place, _, rises):
+        place = place[rises & (place > 0)]
+        ordered.add(place[text[place - 1] > text[place]])
+
+    for i in range(0, len(stars), BATCH):
+        place = np.asarray(stars[i : i + BATCH])
+        place = place[stable_order(text[place].astype(np.int64))]
+        work.put(queue, text[place].astype(np.int64), place, np.zeros(len(place), np.int64))
+    work.run(queue, False, note)
+    queue.close()
+    names, kinds = _named(text, stars, ordered, disk)
+    ordered.close()
+    disk.rest(mapped, stars, names)
+
+    queue, last = Queue(disk, work.wide), np.zeros(0, np.int64)
+    if kinds == len(stars):
+        order = disk.array(np.int64, len(stars))
+        for i in range(0, len(stars), BATCH):
+            order[names[i : i + BATCH]] = np.arange(i, min(i + BATCH, len(stars)))
+        ranked = ((order[i : i + BATCH], np.zeros(min(BATCH, len(stars) - i), np.int64)) for i in range(0, len(stars), BATCH))
+    else:
+        tape = Tape(disk, _tuple(True))
+        sort_suffixes(names, disk, cap, lambda place, lcp, _: tape.add(tuples(0, place, lcp, True)))
+        ranked = ((place, lcp) for _, place, lcp in _backwards(tape, 0, tape.n))
+    for which, agree in ranked:
+        # Common prefixes of neighbouring stars, in characters: whole equal pieces, then character by character.
+        i, j, agree = np.r_[last, which[:-1]], which[1 - len(last) :], agree[1 - len(last) :]
+        known = stars[np.minimum(i + agree, len(stars) - 1)] - stars[i]
+        lcp = common(text, stars[i], stars[j], cap, known)
+        place = stars[which]
+        work.put(queue, text[place].astype(np.int64), place, lcp if len(last) else np.r_[0, lcp])
+        last = which[-1:]
     if kinds == len(stars):
-        order, common = np.argsort(names), np.zeros(len(stars), np.int64)
-    elif len(stars) // kinds >= RECURSE:
-        out = []
-        sort_suffixes(names, folder, cap, lambda place, lcps, _: out.append((place, lcps)), depth + 1)
-        order = np.concatenate([p for p, _ in out])[::-1]
-        lcps = np.concatenate([x for _, x in out])[::-1]
-        common = np.r_[0, lcps[:-1]]
+        disk.drop(order)
     else:
-        order, common = double(names, folder, tag, cap)
-    # Common prefixes of neighbouring stars, in characters: whole equal pieces, then character by character.
-    i, j = order[:-1], order[1:]
-    last = len(stars) - 1
-    known = stars[np.minimum(i + common[1:], last)] - stars[i]
-    lcp = np.zeros(len(stars), np.int64)
-    lcp[1:] = _common(text, stars[i], stars[j], cap, known)
-    induce(text, stars[order], lcp, folder, tag + "s", cap, True, emit)
+        tape.close()
+    disk.drop(names)
+    disk.rest(mapped, stars)
+    work.run(queue, True, emit)
+    queue.close()
+    disk.drop(stars)
 
 
-def repeated(text: np.ndarray, length: int, folder: str) -> np.ndarray:
-    """Places of `text` (non-negative, ending with its only 0) where a string of this length starts that starts elsewhere too."""
-    out = []
+def repeated(text: np.ndarray, length: int, disk: Disk) -> np.ndarray:
+    """For each place of `text` (non-negative, ending with its only 0), 1 where a string of this length starts that starts elsewhere too; a mapped file."""
+    marks, last = disk.array(np.uint8, len(text)), np.zeros(0, np.int64)
 
     def emit(place, lcp, _):
+        nonlocal last
         hit = lcp >= length
-        out.append(place[hit | np.r_[hit[1:], False]])
+        marks[place[hit]] = 1
+        marks[np.r_[last, place[:-1]][hit[1 - len(last) :]]] = 1
+        last = place[-1:]
 
-    sort_suffixes(text, folder, length, emit)
-    return np.sort(np.concatenate(out))
+    sort_suffixes(text, disk, length, emit)
+    return marks

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACE, Rolling, Scratch, buffers, byte_values, mix, signed, slices, word_hashes, word_spans
+from .common import SPACE, Scratch, buffers, mix, signed, slices, window_hashes, word_hashes, word_spans
 from .components import components
 from .runs import first_of_run, map_runs
 from .substring import keyed
@@ -43,23 +43,35 @@ _PREFIX = np.uint64(0xE7037ED1A0B428DB)
 _WHOLE = np.uint64(1 << 62)
 
 
-def grams_of(body: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sets of the texts of a block: hashes, sorted and distinct for each text, and the offsets of the texts."""
+def grams_of(body: np.ndarray, at: np.ndarray, size: int, other: bool = False) -> tuple[np.ndarray, ...]:
+    """Sets of the texts of a block: hashes, sorted and distinct for each text, and the offsets of the texts; with `other`, also independent hashes of the same n-grams."""
     starts, ends, doc_words = word_spans(body, at, SPACE)
-    roll = Rolling(word_hashes(body, starts, ends, byte_values(5, lower=True)))
+    words = word_hashes(body, starts, ends, 5, *([6] if other else []), lower=True)
     n = np.diff(doc_words)
     whole = n >= size
     count = np.where(whole, n - size + 1, np.minimum(n, 1))
     edge = np.r_[0, np.cumsum(count)]
     doc = np.repeat(np.arange(len(n)), count)
     first = np.arange(edge[-1]) - edge[doc] + doc_words[doc]
-    last = np.where(whole[doc], first + size, doc_words[doc + 1] if len(doc) else first)
-    grams = mix(roll.of(first, last)) if len(doc) else np.zeros(0, np.uint64)
-    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-        if b - a > 1:
-            grams[a:b].sort()
-    keep = np.r_[True, (grams[1:] != grams[:-1]) | (doc[1:] != doc[:-1])][: len(grams)]
-    return grams[keep], np.r_[0, np.cumsum(np.bincount(doc[keep], minlength=len(n)))].astype(np.int64)
+    grams = []
+    for seed, values in enumerate(words, 5):
+        made = np.empty(len(doc), np.uint64)
+        for k in range(1, size + 1):  # texts of fewer words are one n-gram
+            these = np.flatnonzero(whole[doc]) if k == size else np.flatnonzero(n[doc] == k)
+            if len(these):
+                made[these] = window_hashes(values, k, seed)[first[these]]
+        grams.append(made)
+    order = None
+    if other:
+        order = np.lexsort((grams[0], doc))
+        grams = [g[order] for g in grams]
+    else:
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            if b - a > 1:
+                grams[0][a:b].sort()
+    keep = np.r_[True, (grams[0][1:] != grams[0][:-1]) | (doc[1:] != doc[:-1])][: len(doc)]
+    offsets = np.r_[0, np.cumsum(np.bincount(doc[keep], minlength=len(n)))].astype(np.int64)
+    return grams[0][keep], offsets, *(g[keep] for g in grams[1:])
 
 
 def fragments_for(n: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -69,17 +81,14 @@ def fragments_for(n: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.where(d > 0, np.ceil(np.log2(d + 1.0 + np.maximum(2, d // 8))), 0).astype(np.int64)
 
 
-def set_keys(grams: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent hashes of each set."""
+def set_key(grams: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """A hash of each set."""
     n = np.diff(edge)
-    out = []
-    for salt in (np.uint64(0), _SECOND):
-        sums = np.zeros(len(n) + 0, np.uint64)
-        if len(grams):
-            some = np.flatnonzero(n)
-            sums[some] = np.add.reduceat(mix(grams ^ salt), edge[some])
-        out.append(mix(sums ^ n.astype(np.uint64)))
-    return out[0], out[1]
+    sums = np.zeros(len(n), np.uint64)
+    if len(grams):
+        some = np.flatnonzero(n)
+        sums[some] = np.add.reduceat(mix(grams ^ _SECOND), edge[some])
+    return mix(sums ^ n.astype(np.uint64))
 
 
 def _fragments(grams: np.ndarray, doc: np.ndarray, bits: np.ndarray, salt: np.uint64) -> tuple[np.ndarray, np.ndarray]:
@@ -147,8 +156,8 @@ def _sets(size: int):
     def run(batches):
         held, n_held = np.empty(0, np.uint64), 0
         for part, body, at in slices(batches, "text"):
-            grams, edge = grams_of(body, at, size)
-            a, b = set_keys(grams, edge)
+            grams, edge, others = grams_of(body, at, size, other=True)
+            a, b = set_key(grams, edge), set_key(others, edge)
             yield {"doc": part.column(0), "tie": part.column(1), "n": np.diff(edge), "a": signed(a), "b": signed(b)}
             if n_held and n_held + len(grams) > GATHER:
                 yield _marks(_often(held[:n_held]))
@@ -174,7 +183,7 @@ def _signatures(size: int, num: int, den: int, heavy: np.ndarray):
     def run(batches):
         for _, body, at in slices(batches, "text"):
             grams, edge = grams_of(body, at, size)
-            a, _ = set_keys(grams, edge)
+            a = set_key(grams, edge)
             _, one = np.unique(a, return_index=True)  # one of each class of the block
             keep = np.zeros(len(a), bool)
             keep[one] = True
@@ -204,7 +213,7 @@ def overlaps(grams: np.ndarray, edge: np.ndarray) -> np.ndarray:
     shared = np.bincount(column)[column] > 1  # an n-gram of one set adds nothing
     who, column = who[shared], column[shared]
     column = np.unique(column, return_inverse=True)[1]
-    total = np.zeros((m, m), np.float32)
+    total = np.zeros((m, m))  # whole numbers up to 2 ** 53
     cut = np.searchsorted(column, np.arange(0, (column[-1] if len(column) else -1) + COLUMNS + 1, COLUMNS))
     for i, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
         part = np.zeros((m, COLUMNS), np.float32)
@@ -279,6 +288,7 @@ def clusters(docs: DataFrame, scratch: Scratch, size: int = 3, num: int = 90, de
     heavy = np.sort(np.array([r[0] for r in often.select("a").collect()], np.int64).view(np.uint64))
     # An id may have several texts, so the representative of a class is an id and the tie of its text.
     classes = sets.where("n > 0").groupBy("n", "a", "b").agg(F.min(F.struct("doc", "tie")).alias("least")).select("n", "a", "b", F.col("least.doc").alias("rep"), F.col("least.tie").alias("rep_tie"))
+    classes = scratch.save(classes, "classes")  # a plain table, so that Spark can split the rows of a class of many copies when they join it
 
     sigs = docs.mapInArrow(_signatures(size, num, den, heavy), "sig long, a long")
     ties = sigs.repartition("sig").sortWithinPartitions("sig", "a").mapInArrow(map_runs(_meet, EDGES), "a long, b long")
@@ -306,8 +316,9 @@ def _known(docs: DataFrame, doc_id: str, text: str, size: int, num: int, den: in
     """doc, tie, n, root, is_first."""
     scratch = Scratch(docs.sparkSession, "jaccard")
     found = scratch.save(clusters(keyed(docs, doc_id, text), scratch, size, num, den), "found")
-    lead = found.where("n > 0").groupBy("root").agg(F.min(F.struct("doc", "tie")).alias("lead"))
-    return found.join(lead, "root", "left").select("doc", "tie", "n", "root", F.coalesce((F.col("n") == 0) | ((F.col("lead.doc") == F.col("doc")) & (F.col("lead.tie") == F.col("tie"))), F.lit(True)).alias("is_first"))
+    # The first row of a component is found by its own key, so a component of any size is no hot key.
+    lead = found.where("n > 0").groupBy("root").agg(F.min(F.struct("doc", "tie")).alias("lead")).select(F.col("lead.doc").alias("doc"), F.col("lead.tie").alias("tie"), F.lit(True).alias("leads"))
+    return found.join(lead, ["doc", "tie"], "left").select("doc", "tie", "n", "root", ((F.col("n") == 0) | F.coalesce("leads", F.lit(False))).alias("is_first"))
 
 
 def join(docs: DataFrame, keep: list[str], doc_id: str = "doc_id", text: str = "text", size: int = 3, num: int = 90, den: int = 100) -> DataFrame:

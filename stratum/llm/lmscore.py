@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import long_id, slices
 from .orctokens import pieces
 
 BLOCK_BYTES = 4 << 20  # a worker holds about 50 times as much
@@ -94,8 +94,8 @@ def score(docs: DataFrame, targets: DataFrame, tokenizer: str, doc_id: str = "do
     parts = min(blocks, PARTITIONS)
     none = F.lit(None)
     deal = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"), F.lit(False).alias("mark"))
-    marks = targets.select(F.col(target_id).cast("long").alias("doc"), none.cast("string").alias("text"), F.lit(True).alias("mark")).where("doc is not null")
+    rows = docs.select(long_id(docs, doc_id).alias("doc"), F.col(text).alias("text"), F.lit(False).alias("mark"))
+    marks = targets.select(long_id(targets, target_id).alias("doc"), none.cast("string").alias("text"), F.lit(True).alias("mark")).where("doc is not null")
     dealt = rows.union(marks).withColumn("blk", deal(F.col("doc"))).repartitionById(parts, F.col("blk"))  # as even as the blocks
 
     def is_target(table: pa.Table) -> tuple[pa.RecordBatch, np.ndarray]:

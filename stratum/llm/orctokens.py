@@ -20,12 +20,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Rolling, mix, slices
+from .common import long_id, slices
+from .pieces import PieceTable, spread
 
 STRIPE_BYTES = 32 << 20
 ROW_INDEX_STRIDE = 2000
 BLOCK_BYTES = 2 << 20
-CACHE_PIECES = 1_500_000  # about 40 bytes each
+CACHE_PIECES = 1_000_000
 #: Fixed values of the byte-level splitting pattern: the endings that an apostrophe at the start of a piece takes with it.
 ENDINGS = ["s", "t", "re", "ve", "m", "ll", "d"]
 #: Code points whose class all pattern libraries agree on; texts with others are left to the library as a whole.
@@ -35,7 +36,7 @@ LETTER, NUMBER, SPACE_, OTHER, UNUSUAL = range(5)
 
 class BytePieces:
     """Encodes with a byte-level file of the tokenizers library. Texts are cut into the library's own pieces, a block at a time;
-    the library encodes each new piece once, and a bounded table keeps its ids by the piece's hash."""
+    the library encodes each new piece once, and a bounded table keeps its ids."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -52,13 +53,8 @@ class BytePieces:
         usual = np.zeros(0x110000, bool)
         usual[[m.start() for m in regex.finditer(USUAL, every)]] = True
         self.classes[~usual] = UNUSUAL
-        self.values = mix(np.arange(1, 0x2101, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         self.line = self.library.encode("\n", add_special_tokens=False).ids
-        self.forget()
-
-    def forget(self) -> None:
-        self.keys, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.pool, self.used = np.zeros(1 << 16, np.int32), 0
+        self.table = PieceTable(CACHE_PIECES)
 
     def starts(self, code: np.ndarray, cls: np.ndarray, head: np.ndarray) -> np.ndarray:
         """Where pieces start. head: where texts start (one more place at the end)."""
@@ -87,7 +83,7 @@ class BytePieces:
                 done |= fits
         return np.flatnonzero(begin)
 
-    def learn(self, pieces: list[str], plain: np.ndarray, keys: np.ndarray) -> None:
+    def encode_pieces(self, pieces: list[str], plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """plain: pieces without white space but for a blank before a character; between line ends these stay pieces of their own."""
         size, parts = np.zeros(len(pieces), np.int64), []
         order = np.r_[np.flatnonzero(plain), np.flatnonzero(~plain)]
@@ -102,15 +98,10 @@ class BytePieces:
                 n = 0
         rest = [np.array(e.ids, np.int32) for e in self.library.encode_batch_fast([pieces[i] for i in order[n:].tolist()], add_special_tokens=False)]
         size[order[n:]] = np.fromiter(map(len, rest), np.int64, len(rest))
-        new = np.concatenate([*parts, *rest])
-        while self.used + len(new) > len(self.pool):
-            self.pool = np.r_[self.pool, np.zeros_like(self.pool)]
-        self.pool[self.used : self.used + len(new)] = new
+        ids = np.concatenate([np.zeros(0, np.int32), *parts, *rest])
         at = np.empty(len(pieces), np.int64)
-        at[order] = self.used + np.cumsum(size[order]) - size[order]
-        self.used += len(new)
-        place = np.searchsorted(self.keys, keys)
-        self.keys, self.at, self.size = np.insert(self.keys, place, keys), np.insert(self.at, place, at), np.insert(self.size, place, size)
+        at[order] = np.cumsum(size[order]) - size[order]
+        return ids[spread(at, size)], size
 
     def encode_block(self, body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts of a block, one after another, and the number of each."""
@@ -134,21 +125,15 @@ class BytePieces:
         doc = np.searchsorted(place, start, "right") - 1
         keep = ~odd[doc]
         start, end, doc = start[keep], end[keep], doc[keep]
-        key = mix(Rolling(self.values[np.minimum(code, 0x20FF)]).of(start, end))
-        distinct, one, which = np.unique(key, return_index=True, return_inverse=True)
-        if len(self.keys) > CACHE_PIECES:
-            self.forget()
-        k = np.searchsorted(self.keys, distinct)
-        new = np.flatnonzero((k >= len(self.keys)) | (self.keys[np.minimum(k, len(self.keys) - 1)] != distinct)) if len(self.keys) else np.arange(len(distinct))
-        if len(new):
-            a, b = start[one[new]], end[one[new]]
+        byte_at = np.r_[np.flatnonzero((body & 0xC0) != 0x80), len(body)]  # of the code points
+
+        def make(low, high):
+            x, y = np.searchsorted(byte_at, low), np.searchsorted(byte_at, high)
             blanks = np.r_[0, np.cumsum(cls == SPACE_)]
-            plain = (blanks[b] == blanks[a + 1]) & ((cls[a] != SPACE_) | ((code[a] == 0x20) & (b > a + 1)))
-            self.learn([text[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)], plain, distinct[new])
-            k = np.searchsorted(self.keys, distinct)
-        size = self.size[k][which]
-        edge = np.cumsum(size)
-        ids = self.pool[np.repeat(self.at[k][which] - edge + size, size) + np.arange(edge[-1] if len(edge) else 0)]
+            plain = (blanks[y] == blanks[x + 1]) & ((cls[x] != SPACE_) | ((code[x] == 0x20) & (y > x + 1)))
+            return self.encode_pieces([text[i:j] for i, j in zip(x.tolist(), y.tolist(), strict=True)], plain)
+
+        ids, size = self.table.look_up(body, byte_at[start], byte_at[end], make)
         count = np.bincount(doc, size, n_docs).astype(np.int64)
         if odd.any():
             parts = np.split(ids, np.cumsum(count)[:-1])
@@ -183,7 +168,7 @@ def write(docs: DataFrame, tokenizer: str, to: str, doc_id: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.full(len(n), part_no, np.int32)), pa.array(at[:-1] + place), pa.array(n), values], ["doc_id", "part", "place", "n_tokens", "ids"])
             place += int(at[-1])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("o_id"), F.col(text).alias("o_text"))
+    rows = docs.select(long_id(docs, doc_id).alias("o_id"), F.col(text).alias("o_text"))
     ordered = rows.repartitionByRange("o_id").sortWithinPartitions("o_id")
     tokens = ordered.mapInArrow(run, "doc_id long, part int, place long, n_tokens long, ids array<int>")
     tokens.write.mode("overwrite").option("orc.bloom.filter.columns", "doc_id").option("orc.create.index", "true").option("orc.row.index.stride", ROW_INDEX_STRIDE).option("orc.stripe.size", STRIPE_BYTES).option("compression", "zstd").orc(to)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, Rolling, Scratch, byte_values, mix, schema_of, signed, slices, sliding_min, union_spans, word_hashes, word_spans
+from .common import SPACE, Scratch, long_id, mix, schema_of, signed, slices, sliding_min, union_spans, window_hashes, word_hashes, word_spans
 from .runs import distinct_rows, map_runs, with_neighbours
 
 WINDOW = 20
@@ -32,66 +32,68 @@ SEED = 8
 _STRETCH = np.uint64(0xD6E8FEB86659FD93)
 
 
-def stretches(values: np.ndarray, doc: np.ndarray, window: int, seed: int):
-    """Winnowed anchors of a sequence of hashed units.
+def stretches(grams: np.ndarray, doc: np.ndarray, window: int, seed: int):
+    """Winnowed anchors of a sequence of units.
 
-    doc: number of the text of each unit. Gives for each stretch of windows with one anchor: anchor place, first window, last window
-    (places of units), hash of the anchor's run, hash of the whole stretch.
+    grams: hash of the run of `seed` units from each unit on; doc: number of the text of each unit. Gives for each stretch of windows
+    with one anchor: anchor place, first window, last window (places of units), hash of the anchor's run.
     """
-    n = len(values)
+    n = len(doc)
     none = np.zeros(0, np.int64)
     if n < window:
-        return none, none, none, none.view(np.uint64), none.view(np.uint64)
-    roll = Rolling(values)
-    at = np.arange(n - seed + 1)
-    grams = mix(roll.of(at, at + seed))
+        return none, none, none, none.view(np.uint64)
     anchor = sliding_min(grams, window - seed + 1)  # of the window that starts here
     whole = doc[: n - window + 1] == doc[window - 1 :]
     start = np.flatnonzero(whole)
     anchor = anchor[start]
     new = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + 1)]) if len(start) else none
     first, last, place = start[new], start[np.r_[new[1:] - 1, len(start) - 1]] if len(new) else none, anchor[new]
-    with np.errstate(over="ignore"):
-        body = mix(roll.of(first, last + window) ^ ((place - first).astype(np.uint64) * _STRETCH) ^ ((last - first).astype(np.uint64) << np.uint64(40)))
-    return place, first, last, grams[place] if len(place) else none.view(np.uint64), body
+    return place, first, last, grams[place] if len(place) else none.view(np.uint64)
 
 
-def _scan_words(body: np.ndarray, at: np.ndarray, table: np.ndarray):
+def _stretch(windows: np.ndarray, place: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hashes of whole stretches: their first and last windows cover them, as the anchor is in both."""
+    return mix(mix(windows[first] + (place - first).astype(np.uint64) * _STRETCH) + windows[last] ^ ((last - first).astype(np.uint64) << np.uint64(40)))
+
+
+def _scan_words(body: np.ndarray, at: np.ndarray):
+    """Two independent hashes of each word, the text of each word, the first word of each text."""
     starts, ends, doc_words = word_spans(body, at, SPACE)
-    return word_hashes(body, starts, ends, table), np.repeat(np.arange(len(at) - 1), np.diff(doc_words)), doc_words
+    return word_hashes(body, starts, ends, 1, 2), np.repeat(np.arange(len(at) - 1), np.diff(doc_words)), doc_words
 
 
-#: Sorted by the first five columns.
-SEEDS = pa.schema([("h", pa.int64()), ("s", pa.int64()), ("doc", pa.int64()), ("tie", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("kind", pa.int8())])
+#: Sorted by the first six columns: the anchor, two independent hashes of the stretch, its place.
+SEEDS = pa.schema([("h", pa.int64()), ("s", pa.int64()), ("v", pa.int64()), ("doc", pa.int64()), ("tie", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("kind", pa.int8())])
 
 
 def _seed_rows(window: int, seed: int):
     """(doc, tie, text) -> anchors (kind 0); stretches equal to an earlier one of the block become removed ranges at once (kind 1)."""
-    table = byte_values(1)
 
     def run(batches):
         for part, body, at in slices(batches, "text"):
             ids, ties = part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_numpy(zero_copy_only=False)
-            values, doc, doc_words = _scan_words(body, at, table)
-            place, first, last, h, s = stretches(values, doc, window, seed)
+            (one, two), doc, doc_words = _scan_words(body, at)
+            grams = window_hashes(one, seed, 1)
+            place, first, last, h = stretches(grams, doc, window, seed)
             if not len(place):
                 continue
+            s, v = _stretch(window_hashes(grams, window, 1, seed), place, first, last), _stretch(window_hashes(two, window, 2), place, first, last)
             d = doc[first]
             first, last = first - doc_words[d], last - doc_words[d]
-            order = np.lexsort((first, ties[d], ids[d], s, h))
-            again = np.r_[False, (h[order][1:] == h[order][:-1]) & (s[order][1:] == s[order][:-1])]
+            order = np.lexsort((first, ties[d], ids[d], v, s, h))
+            again = np.r_[False, (h[order][1:] == h[order][:-1]) & (s[order][1:] == s[order][:-1]) & (v[order][1:] == v[order][:-1])]
             copy = again & np.r_[False, (ids[d[order]][1:] == ids[d[order]][:-1]) & (ties[d[order]][1:] == ties[d[order]][:-1]) & (first[order][1:] == first[order][:-1])]
             order = order[~copy]  # rows that repeat both id and text are one document
-            again = np.r_[False, (h[order][1:] == h[order][:-1]) & (s[order][1:] == s[order][:-1])]
+            again = np.r_[False, (h[order][1:] == h[order][:-1]) & (s[order][1:] == s[order][:-1]) & (v[order][1:] == v[order][:-1])]
             keep, gone = order[~again], order[again]
-            rows = {"h": h[keep], "s": s[keep], "d": d[keep], "first": first[keep], "last": last[keep], "kind": np.zeros(len(keep), np.int8)}
+            rows = {"h": h[keep], "s": s[keep], "v": v[keep], "d": d[keep], "first": first[keep], "last": last[keep], "kind": np.zeros(len(keep), np.int8)}
             if len(gone):
                 # ranges of windows, merged within a document
                 step = np.int64(int(last.max()) + 2)
                 a, b = union_spans(d[gone] * step + first[gone], d[gone] * step + last[gone] + 1)
-                more = {"h": mix(a.astype(np.uint64)), "s": mix(b.astype(np.uint64)), "d": a // step, "first": a % step, "last": (b - 1) % step, "kind": np.ones(len(a), np.int8)}
+                more = {"h": mix(a.astype(np.uint64)), "s": mix(b.astype(np.uint64)), "v": np.zeros(len(a), np.uint64), "d": a // step, "first": a % step, "last": (b - 1) % step, "kind": np.ones(len(a), np.int8)}
                 rows = {k: np.concatenate([rows[k], more[k]]) for k in rows}
-            yield {"h": signed(rows["h"]), "s": signed(rows["s"]), "doc": ids[rows["d"]], "tie": ties[rows["d"]], "first": rows["first"].astype(np.int32), "last": rows["last"].astype(np.int32), "kind": rows["kind"]}
+            yield {"h": signed(rows["h"]), "s": signed(rows["s"]), "v": signed(rows["v"]), "doc": ids[rows["d"]], "tie": ties[rows["d"]], "first": rows["first"].astype(np.int32), "last": rows["last"].astype(np.int32), "kind": rows["kind"]}
 
     return map_runs(run, SEEDS)
 
@@ -100,18 +102,18 @@ FOUND = pa.schema([("doc", pa.int64()), ("tie", pa.int64()), ("h", pa.int64()),
 
 
 def _meet(batches):
-    """Rows sorted by (h, s, doc, tie, first): later ones of a stretch are removed (kind 1); the first of each is open (kind 2) if its anchor has other stretches too."""
+    """Rows sorted by (h, s, v, doc, tie, first): later ones of a stretch are removed (kind 1); the first of each is open (kind 2) if its anchor has other stretches too."""
 
     def leaders(source):
-        for cols, before, _ in with_neighbours(distinct_rows(source, 5), 2):
-            kind = cols[6]
+        for cols, before, _ in with_neighbours(distinct_rows(source, 6), 3):
+            kind = cols[7]
             yield [c[kind == 1] for c in cols], True
             yield [c[(kind == 0) & before] for c in cols], True
             lead = (kind == 0) & ~before
             yield [c[lead] for c in cols], False
 
     held, held_before = None, False
-    out = lambda c, kind: {"doc": c[2], "tie": c[3], "h": c[0], "first": c[4], "last": c[5], "kind": np.full(len(c[0]), kind, np.int8)}
+    out = lambda c, kind: {"doc": c[3], "tie": c[4], "h": c[0], "first": c[5], "last": c[6], "kind": np.full(len(c[0]), kind, np.int8)}
     for cols, gone in leaders(batches):
         if gone:
             yield out(cols, 1)
@@ -135,7 +137,6 @@ WINDOWS = pa.schema([("w", pa.int64()), ("v", pa.int64()), ("doc", pa.int64()),
 
 def _extend_rows(window: int):
     """(doc, tie, text, open) -> one row for each window of the open stretches: two independent hashes of its words."""
-    one, two = byte_values(1), byte_values(2)
 
     def run(batches):
         for part, body, at in slices(batches, "text"):
@@ -144,14 +145,14 @@ def _extend_rows(window: int):
             n_open = np.diff(spans.offsets.to_numpy())
             flat = spans.flatten()
             first, last = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
-            values, _, doc_words = _scan_words(body, at, one)
-            others, _, _ = _scan_words(body, at, two)
+            words, _, doc_words = _scan_words(body, at)
+            w, v = (window_hashes(x, window, i + 1) for i, x in enumerate(words))
             d = np.repeat(np.arange(len(n_open)), n_open)
             size = last - first + 1
             start = np.repeat(first, size) + np.arange(size.sum()) - np.repeat(np.r_[0, np.cumsum(size)[:-1]], size)
             d = np.repeat(d, size)
             a = start + doc_words[d]
-            yield {"w": signed(mix(Rolling(values).of(a, a + window))), "v": signed(mix(Rolling(others).of(a, a + window))), "doc": ids[d], "tie": ties[d], "start": start.astype(np.int32)}
+            yield {"w": signed(w[a]), "v": signed(v[a]), "doc": ids[d], "tie": ties[d], "start": start.astype(np.int32)}
 
     return map_runs(run, WINDOWS)
 
@@ -168,8 +169,8 @@ def _later(batches):
 def removed_ranges(docs: DataFrame, scratch: Scratch, window: int = WINDOW, seed: int = SEED) -> DataFrame:
     """doc, tie, gone: an array of (first, last) windows, by word number, that also start earlier. docs: doc, tie, text."""
     spark = docs.sparkSession
-    seeds = docs.mapInArrow(_seed_rows(window, seed), "h long, s long, doc long, tie long, first int, last int, kind tinyint")
-    met = seeds.repartition("h").sortWithinPartitions("h", "s", "doc", "tie", "first").mapInArrow(map_runs(_meet, FOUND), "doc long, tie long, h long, first int, last int, kind tinyint")
+    seeds = docs.mapInArrow(_seed_rows(window, seed), "h long, s long, v long, doc long, tie long, first int, last int, kind tinyint")
+    met = seeds.repartition("h").sortWithinPartitions("h", "s", "v", "doc", "tie", "first").mapInArrow(map_runs(_meet, FOUND), "doc long, tie long, h long, first int, last int, kind tinyint")
     met = scratch.save(met, "met")
     open_ = met.where("kind = 2").groupBy("doc", "tie").agg(F.collect_list(F.struct("first", "last")).alias("open"))
     texts = docs.join(open_, ["doc", "tie"]).select("doc", "tie", "text", "open")
@@ -182,7 +183,7 @@ def removed_ranges(docs: DataFrame, scratch: Scratch, window: int = WINDOW, seed
 def keyed(docs: DataFrame, doc_id: str, text: str, keep: list[str] | None = None) -> DataFrame:
     """doc, tie, text: rows with equal ids differ in tie. A null id is the least."""
     extra = [F.col(c).alias(f"s_keep{i}") for i, c in enumerate(keep or [])]
-    return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64(F.col(text)).alias("tie"), F.col(text).alias("text"), *extra)
+    return docs.select(F.coalesce(long_id(docs, doc_id), F.lit(-(1 << 63))).alias("doc"), F.xxhash64(F.col(text)).alias("tie"), F.col(text).alias("text"), *extra)
 
 
 def dedup(docs: DataFrame, keep: list[str], doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, seed: int = SEED) -> DataFrame:

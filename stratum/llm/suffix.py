@@ -9,9 +9,8 @@ text, whose suffixes and common prefixes come from external induced sorting (see
 LENGTH bytes with a neighbour in the order.
 
 Scale: one shuffle of about 2 rows for (LENGTH - SEED + 2) bytes; equal stretches of a block go on as one row, so a passage that is everywhere
-reaches a shard once for each block. A shard ends at an anchor's end once it has SHARD_BYTES, and an anchor adds at most HOT stretches
-of 2 * LENGTH - SEED bytes to it; its queues go to disk beyond a bound. Temporary files live in
-the task's own folder and end with the task.
+reaches a shard once for each block. A shard ends at an anchor's end once it has SHARD_BYTES. From its first piece it is a text in files, and so is all that
+is made of it, so that it may be larger than the memory. These files live in the task's own folder and end with the task.
 
 Defined results: null and empty texts have no bytes; texts shorter than LENGTH lose nothing; each row is a place of its own, so rows that repeat a long text
 lose it, whatever their ids; a null id is a document; kept bytes may end within a character where a repeat does, hence s_kept is binary; other columns do not matter.
@@ -21,24 +20,26 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, Rolling, Scratch, byte_values, mix, schema_of, signed, slices, union_spans
-from .induced import repeated
+from .common import BLOCK_BYTES, Scratch, buffers, byte_windows, lanes, mix, release, schema_of, signed, slices, span_hashes, union_spans
+from .induced import Disk, Tape, repeated
 from .runs import _columns, map_runs, with_neighbours
 from .substring import keyed, stretches
 
 LENGTH = 200
 SEED = 64
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 8 << 20
+MARKS = 1 << 20  # places of a shard looked at at once
 CHUNK = 1000  # stretches whose strings are hashed at once
 HOT = 1000  # different stretches of an anchor beyond which its strings are dealt by their own hashes
 
-SEEDS = pa.schema([("h", pa.int64()), ("s", pa.int64()), ("doc", pa.int64()), ("tie", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("kind", pa.int8())])
+SEEDS = pa.schema([("h", pa.int64()), ("s", pa.int64()), ("v", pa.int64()), ("doc", pa.int64()), ("tie", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("kind", pa.int8())])
 FOUND = pa.schema([("doc", pa.int64()), ("tie", pa.int64()), ("h", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("kind", pa.int8())])
 PIECES = pa.schema([("h", pa.int64()), ("doc", pa.int64()), ("tie", pa.int64()), ("first", pa.int32()), ("piece", pa.binary())])
 STRINGS = pa.schema([("w", pa.int64()), ("v", pa.int64()), ("doc", pa.int64()), ("tie", pa.int64()), ("first", pa.int32())])
@@ -52,7 +53,6 @@ def _ddl(schema: pa.Schema) -> str:
 
 def _seed_rows(length: int, seed: int):
     """(doc, tie, text) -> the first of each stretch of a block (kind 0); ranges of strings that repeat within the block (kind 1)."""
-    table = byte_values(7)
 
     def run(batches):
         for part, body, at in slices(batches, "text"):
@@ -62,33 +62,34 @@ def _seed_rows(length: int, seed: int):
             step = max(1, len(body)) if len(at) > 2 else BLOCK_BYTES
             found = []
             for low in range(0, len(body), step):
-                _, a, b, h, s = stretches(table[body[low : low + step + length - 1]], doc[low : low + step + length - 1], length, seed)
-                found.append((a + low, b + low, h, s))
-            first, last, h, s = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 4
+                view = lanes(body[low : low + step + length - 1])
+                _, a, b, h = stretches(byte_windows(view, seed, 7), doc[low : low + step + length - 1], length, seed)
+                found.append((a + low, b + low, h, *span_hashes(view, a, b + length, 8, 9)))
+            first, last, h, s, v = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 5
             if not len(first):
                 continue
             d = doc[first].astype(np.int64)
             first, last = first - at[d], last - at[d]
-            order = np.lexsort((s, h))
-            again = np.r_[False, (h[order][1:] == h[order][:-1]) & (s[order][1:] == s[order][:-1])]
+            order = np.lexsort((v, s, h))
+            again = np.r_[False, (h[order][1:] == h[order][:-1]) & (s[order][1:] == s[order][:-1]) & (v[order][1:] == v[order][:-1])]
             gone, keep = order[again | np.r_[again[1:], False]], order[~again]
-            rows = {"h": h[keep], "s": s[keep], "d": d[keep], "first": first[keep], "last": last[keep], "kind": np.zeros(len(keep), np.int8)}
+            rows = {"h": h[keep], "s": s[keep], "v": v[keep], "d": d[keep], "first": first[keep], "last": last[keep], "kind": np.zeros(len(keep), np.int8)}
             if len(gone):
                 step = np.int64(int(last.max()) + 2)
                 a, b = union_spans(d[gone] * step + first[gone], d[gone] * step + last[gone] + 1)
-                more = {"h": mix(a.astype(np.uint64)), "s": mix(b.astype(np.uint64)), "d": a // step, "first": a % step, "last": (b - 1) % step, "kind": np.ones(len(a), np.int8)}
+                more = {"h": mix(a.astype(np.uint64)), "s": mix(b.astype(np.uint64)), "v": np.zeros(len(a), np.uint64), "d": a // step, "first": a % step, "last": (b - 1) % step, "kind": np.ones(len(a), np.int8)}
                 rows = {k: np.concatenate([rows[k], more[k]]) for k in rows}
-            yield {"h": signed(rows["h"]), "s": signed(rows["s"]), "doc": ids[rows["d"]], "tie": ties[rows["d"]], "first": rows["first"].astype(np.int32), "last": rows["last"].astype(np.int32), "kind": rows["kind"]}
+            yield {"h": signed(rows["h"]), "s": signed(rows["s"]), "v": signed(rows["v"]), "doc": ids[rows["d"]], "tie": ties[rows["d"]], "first": rows["first"].astype(np.int32), "last": rows["last"].astype(np.int32), "kind": rows["kind"]}
 
     return map_runs(run, SEEDS)
 
 
 def _meet(batches):
-    """Rows sorted by (h, s): equal stretches are removed (kind 1); the first of each is open (kind 2) if its anchor has other ones."""
-    out = lambda c, which, kind: {"doc": c[2][which], "tie": c[3][which], "h": c[0][which], "first": c[4][which], "last": c[5][which], "kind": np.full(int(which.sum()), kind, np.int8)}
+    """Rows sorted by (h, s, v): equal stretches are removed (kind 1); the first of each is open (kind 2) if its anchor has other ones."""
+    out = lambda c, which, kind: {"doc": c[3][which], "tie": c[4][which], "h": c[0][which], "first": c[5][which], "last": c[6][which], "kind": np.full(int(which.sum()), kind, np.int8)}
     held, held_before = None, False
-    for cols, before, after in with_neighbours((_columns(b) for b in batches if b.num_rows), 2):
-        kind = cols[6]
+    for cols, before, after in with_neighbours((_columns(b) for b in batches if b.num_rows), 3):
+        kind = cols[7]
         yield out(cols, (kind == 1) | before | after, 1)
         lead = [c[(kind == 0) & ~before] for c in cols]
         if held is not None:
@@ -122,7 +123,6 @@ def _cut(length: int):
 
 def _strings(length: int):
     """(doc, tie, text, open) -> one row for each string of the open stretches: two independent hashes of its bytes."""
-    one, two = byte_values(7), byte_values(8)
 
     def run(batches):
         for part, body, at in slices(batches, "text"):
@@ -137,11 +137,11 @@ def _strings(length: int):
                 # The stretches one after another, each with the bytes of its last string.
                 width = size + length - 1
                 edge = np.cumsum(width) - width
-                bytes_ = body[np.repeat(at[own] + low - edge, width) + np.arange(width.sum())]
+                view = lanes(body[np.repeat(at[own] + low - edge, width) + np.arange(width.sum())])
                 step = np.arange(size.sum()) - np.repeat(skip, size)
                 a = np.repeat(edge, size) + step
                 own = np.repeat(own, size)
-                w, v = (signed(mix(Rolling(t[bytes_]).of(a, a + length))) for t in (one, two))
+                w, v = (signed(byte_windows(view, length, s)[a]) for s in (8, 9))
                 yield {"w": w, "v": v, "doc": ids[own], "tie": ties[own], "first": (np.repeat(low, size) + step).astype(np.int32)}
 
     return map_runs(run, STRINGS)
@@ -154,49 +154,80 @@ def _again(batches):
         yield {"doc": c[2][hit], "tie": c[3][hit], "first": c[4][hit], "last": c[4][hit]}
 
 
+_ROW = np.dtype([("doc", "<i8"), ("tie", "<i8"), ("edge", "<i8"), ("size", "<i4"), ("first", "<i4")])
+
+
+class Shard:
+    """Pieces of whole anchors as one text, in files of the task's own folder from the start."""
+
+    def __init__(self):
+        self.folder = tempfile.TemporaryDirectory()
+        self.disk = Disk(self.folder.name)
+        self.text, self.rows = Tape(self.disk, np.dtype("<u2")), Tape(self.disk, _ROW)
+
+    def add(self, doc: np.ndarray, tie: np.ndarray, first: np.ndarray, data: np.ndarray, size: np.ndarray) -> None:
+        """data: the pieces' bytes, one piece after another. In the text each is followed by a sign of its own."""
+        text = np.full(len(data) + len(size), 256, np.uint16)  # more than any byte; bytes are one more than they are
+        text[np.arange(len(data)) + np.repeat(np.arange(len(size)), size)] = data.astype(np.uint16) + 1
+        rows = np.empty(len(size), _ROW)
+        rows["doc"], rows["tie"], rows["first"], rows["size"] = doc, tie, first, size
+        rows["edge"] = self.text.n + np.cumsum(size + 1) - size - 1
+        self.text.add(text)
+        self.rows.add(rows)
+
+    def ranges(self, length: int) -> Iterator[dict[str, np.ndarray]]:
+        """Ranges of strings that repeat."""
+        self.text.add(np.zeros(1, np.uint16))
+        marks = repeated(self.text.mapped(), length, self.disk)
+        rows = self.rows.mapped()
+        for i in range(0, len(marks), MARKS):
+            hit = np.flatnonzero(marks[i : i + MARKS]) + i
+            which = np.searchsorted(rows["edge"], hit, "right") - 1
+            own = rows[which]
+            inside = hit + length <= own["edge"] + own["size"]
+            a, b = union_spans(hit[inside], hit[inside] + 1)
+            own = rows[np.searchsorted(rows["edge"], a, "right") - 1]
+            shift = own["first"] - own["edge"]
+            yield {"doc": own["doc"], "tie": own["tie"], "first": (a + shift).astype(np.int32), "last": (b - 1 + shift).astype(np.int32)}
+            Disk.rest(marks, rows)
+
+    def close(self) -> None:
+        self.text.close()
+        self.rows.close()
+        self.folder.cleanup()
+        release()
+
+
 def _sorted_shards(length: int):
     """Pieces sorted by anchor -> ranges of strings that repeat, a shard of whole anchors at a time."""
 
-    def shard(cols):
-        pieces = cols[4]
-        size = np.fromiter(map(len, pieces), np.int64, len(pieces)) + 1
-        edge = np.r_[0, np.cumsum(size)]
-        text = np.empty(int(edge[-1]) + 1, np.int32)
-        text[:-1] = np.frombuffer(b"\xff".join(pieces) + b"\xff", np.uint8)  # no byte of UTF-8
-        text[:-1] += 1
-        text[-1] = 0
-        with tempfile.TemporaryDirectory() as folder:
-            hit = repeated(text, length, folder)
-        which = np.searchsorted(edge, hit, "right") - 1
-        inside = (which < len(pieces)) & (hit + length <= edge[np.minimum(which, len(pieces) - 1)] + size[np.minimum(which, len(pieces) - 1)] - 1)
-        hit, which = hit[inside], which[inside]
-        a, b = union_spans(hit, hit + 1)
-        at = np.searchsorted(edge, a, "right") - 1
-        shift = cols[3][at] - edge[at]
-        return {"doc": cols[1][at], "tie": cols[2][at], "first": (a + shift).astype(np.int32), "last": (b - 1 + shift).astype(np.int32)}
+    def finish(shard: Shard):
+        yield from shard.ranges(length)
+        shard.close()
 
     def run(batches):
-        held, n = None, 0
+        shard, last = None, None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            cols = [c.to_numpy(zero_copy_only=False) if i < 4 else np.array(c.to_pylist(), object) for i, c in enumerate(batch.columns)]
-            held = cols if held is None else [np.concatenate([a, b]) for a, b in zip(held, cols, strict=True)]
-            n += sum(map(len, cols[4]))
-            if n < SHARD_BYTES:
-                continue
-            size = np.cumsum(np.fromiter(map(len, held[4]), np.int64, len(held[4])))
-            new = np.flatnonzero(held[0][1:] != held[0][:-1]) + 1
-            first = 0
-            for k in new.tolist():
-                if size[k - 1] - (size[first - 1] if first else 0) >= SHARD_BYTES:
-                    yield shard([c[first:k] for c in held])
-                    first = k
-            if first:
-                held = [c[first:] for c in held]
-                n = int(size[-1] - size[first - 1])
-        if held is not None and len(held[0]):
-            yield shard(held)
+            h, doc, tie, first = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            data, at = buffers(batch.column(4))
+            new = np.r_[len(h) > 0 and h[0] != last, h[1:] != h[:-1]][: len(h)]
+            low = 0
+            while low < len(h):
+                # Rows up to the bound, then those up to the next anchor.
+                have = shard.text.n if shard else 0
+                high = int(np.searchsorted(at, at[low] + SHARD_BYTES - have, "left"))
+                follow = np.flatnonzero(new[max(high, low) :])
+                high = max(high, low) + int(follow[0]) if len(follow) else len(h)
+                if high > low:
+                    shard = shard or Shard()
+                    shard.add(doc[low:high], tie[low:high], first[low:high], data[at[low] : at[high]], np.diff(at[low : high + 1]))
+                if len(follow) and shard:
+                    yield from finish(shard)
+                    shard = None
+                low = high
+            last = h[-1] if len(h) else last
+        if shard:
+            yield from finish(shard)
 
     return map_runs(run, RANGES)
 
@@ -204,7 +235,7 @@ def _sorted_shards(length: int):
 def repeated_ranges(docs: DataFrame, scratch: Scratch, length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """doc, tie, gone: an array of (first, last) starts, by byte, of strings that also start elsewhere. docs: doc, tie, text."""
     seeds = docs.mapInArrow(_seed_rows(length, seed), _ddl(SEEDS))
-    met = seeds.repartition("h").sortWithinPartitions("h", "s").mapInArrow(map_runs(_meet, FOUND), _ddl(FOUND))
+    met = seeds.repartition("h").sortWithinPartitions("h", "s", "v").mapInArrow(map_runs(_meet, FOUND), _ddl(FOUND))
     met = scratch.save(met, "met")
     open_ = met.where("kind = 2")
     # The hot anchors are at most one in HOT open stretches.

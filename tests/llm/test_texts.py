@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stratum.llm import decontam, induced, jaccard, quality, substring, suffix
+from stratum.llm import components, decontam, induced, jaccard, quality, substring, suffix
+from stratum.llm.common import Scratch
 from tests.llm.conftest import frame
 
 SPACE = "[^\x20\x09-\x0d]+"
@@ -76,14 +77,10 @@ def test_suffix_dedup_with_hot_anchors(docs, rows, hot, monkeypatch):
     assert {r.doc_id: (r.s_bytes, r.s_removed, r.s_spans, r.s_kept_sha256) for r in got} == plain_suffix(rows, 30)
 
 
-def test_suffix_shards_stay_small_where_a_passage_is_everywhere(spark, monkeypatch):
-    def small(text, length, folder):
-        assert len(text) < 8000, len(text)
-        return induced.repeated(text, length, folder)
-
-    monkeypatch.setattr(suffix, "HOT", 10, raising=False)
+@pytest.mark.parametrize("hot", [10, 10**9])
+def test_suffix_dedup_where_a_passage_is_everywhere(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix, "HOT", hot)
     monkeypatch.setattr(suffix, "SHARD_BYTES", 2000)
-    monkeypatch.setattr(suffix, "repeated", small)
     r = np.random.default_rng(4)
     say = lambda n: bytes(r.integers(97, 123, n).tolist()).decode()
     passage = say(300)
@@ -92,15 +89,28 @@ def test_suffix_shards_stay_small_where_a_passage_is_everywhere(spark, monkeypat
     assert {x.doc_id: (x.s_bytes, x.s_removed, x.s_spans, x.s_kept_sha256) for x in got} == plain_suffix(pairs, 200)
 
 
+def test_suffix_dedup_of_repeated_rows_and_null_ids(spark):
+    t, u = "".join(f"{k}," for k in range(100)), "".join(f"{k};" for k in range(100))
+    got = suffix.strip(frame(spark, [(1, t), (1, t), (2, u), (None, u + "x"), (None, None), (3, "".join(f"{k}-" for k in range(90)))]), ["doc_id"]).collect()
+    assert sorted((str(r.doc_id), r.s_bytes, r.s_removed) for r in got) == [("1", 290, 290), ("1", 290, 290), ("2", 290, 290), ("3", 260, 0), ("None", 0, 0), ("None", 291, 290)]
+
+
+def test_ids_that_are_no_numbers_are_refused(spark):
+    docs = spark.createDataFrame([("a", "b")], "doc_id string, text string")
+    for call in (lambda: substring.dedup(docs, ["doc_id"]), lambda: suffix.strip(docs, ["doc_id"]), lambda: jaccard.join(docs, ["doc_id"]), lambda: decontam.build_index(docs, Scratch(spark, "test"))):
+        with pytest.raises(TypeError, match="whole numbers"):
+            call()
+
+
 def test_long_texts_are_scanned_in_pieces(spark, rows, monkeypatch):
     from stratum.llm import common
 
-    table, body = common.byte_values(1), np.frombuffer(("ab c " * 300 + "x" * 700 + " yz").encode(), np.uint8)
+    body = np.frombuffer(("ab c " * 300 + "x" * 700 + " yz").encode(), np.uint8)
     starts, ends, _ = common.word_spans(body, np.array([0, len(body)]))
-    whole = common.word_hashes(body, starts, ends, table)
+    whole = common.word_hashes(body, starts, ends, 1, 2)
     for limit in (1, 50, 600):
-        monkeypatch.setattr(common, "BLOCK_BYTES", limit)
-        assert (common.word_hashes(body, starts, ends, table) == whole).all()
+        monkeypatch.setattr(common, "SPANS", limit)
+        assert all((a == b).all() for a, b in zip(common.word_hashes(body, starts, ends, 1, 2), whole))
     r = np.random.default_rng(2)
     for limit in (100, 333, 5000):
         monkeypatch.setattr(suffix, "BLOCK_BYTES", limit)
@@ -117,32 +127,112 @@ def test_long_texts_are_scanned_in_pieces(spark, rows, monkeypatch):
         assert all(seen[text[x : x + 60]] > 1 for x in gone)
 
 
-@pytest.mark.parametrize("recurse", [1, 256])
-@pytest.mark.parametrize("queue", [150, 1 << 24])
-def test_induced_sorting(tmp_path, monkeypatch, recurse, queue):
-    monkeypatch.setattr(induced, "RECURSE", recurse)
-    monkeypatch.setattr(induced, "QUEUE_BYTES", queue)
+def sorted_suffixes(text, folder, cap=1000):
+    disk, got = induced.Disk(str(folder)), []
+    held = disk.array(np.int32, len(text))
+    held[:] = text
+    induced.sort_suffixes(held, disk, cap, lambda p, lcp, _: got.append((p.copy(), lcp.copy())))
+    disk.drop(held)
+    return np.concatenate([p for p, _ in got])[::-1].tolist(), np.concatenate([x for _, x in got])[::-1].tolist()[:-1]
+
+
+@pytest.mark.parametrize("batch, frequent, queue", [(1 << 16, 4096, 1 << 20), (8, 3, 100), (16, 0, 1000), (64, 2, 200)])
+def test_induced_sorting(tmp_path, monkeypatch, batch, frequent, queue):
+    for name, x in (("BATCH", batch), ("FREQUENT", frequent), ("QUEUE_BYTES", queue)):
+        monkeypatch.setattr(induced, name, x)
     r = np.random.default_rng(5)
-    with np.errstate(over="ignore"):
-        for n in [0, 1, 2, 3, *r.integers(4, 150, 120).tolist()]:
-            text = r.integers(1, r.integers(2, 6), n)
-            if n % 3 == 0 and n:
-                text = np.tile(text[: max(1, n // 6)], 6)
-            text = np.r_[text, 0]
-            got = []
-            induced.sort_suffixes(text, str(tmp_path), 1000, lambda p, lcp, _, got=got: got.append((p, lcp)))
-            order = np.concatenate([p for p, _ in got])[::-1].tolist()
-            b = text.tolist()
-            assert order == sorted(range(len(b)), key=lambda i: b[i:])
-            common = np.concatenate([x for _, x in got])[::-1].tolist()[:-1]
-            for i, j, c in zip(order, order[1:], common):
-                k = 0
-                while max(i, j) + k < len(b) and b[i + k] == b[j + k]:
-                    k += 1
-                assert k == c
+    for n in [0, 1, 2, 3, *r.integers(4, 150, 60).tolist()]:
+        text = r.integers(1, r.integers(2, 30), n)
+        if n % 3 == 0 and n:
+            text = np.tile(text[: max(1, n // 6)], 6)
+        b = [*text.tolist(), 0]
+        order, lcps = sorted_suffixes(b, tmp_path)
+        assert order == sorted(range(len(b)), key=lambda i: b[i:])
+        for i, j, c in zip(order, order[1:], lcps):
+            k = 0
+            while max(i, j) + k < len(b) and b[i + k] == b[j + k]:
+                k += 1
+            assert k == c
     assert not list(tmp_path.iterdir())
 
 
+def test_induction_recurses_until_names_are_unique(tmp_path, monkeypatch):
+    seen, real = [], induced.sort_suffixes
+    monkeypatch.setattr(induced, "sort_suffixes", lambda text, *a: (seen.append(len(text)), real(text, *a))[1])
+    r = np.random.default_rng(6)
+    part = r.integers(1, 5, 3000)
+    sorted_suffixes(np.r_[part, part, r.integers(1, 5, 500), part, 0], tmp_path)
+    assert len(seen) > 3 and all(2 * b <= a + 1 for a, b in zip(seen, seen[1:]))
+
+
+LARGE = """
+import resource, sys, tempfile
+import numpy as np
+sys.path.insert(0, {root!r})
+from stratum.llm import induced
+induced.QUEUE_BYTES, induced.BATCH = 1 << 18, 1 << 14
+n = {n}
+with tempfile.TemporaryDirectory() as folder:
+    disk = induced.Disk(folder)
+    text = disk.array(np.uint16, n + 1)
+    r = np.random.default_rng(3)
+    for i in range(0, n, 1 << 16):
+        text[i : min(i + (1 << 16), n)] = r.integers(1, 9, min(1 << 16, n - i))
+    text[n] = 0
+    text[n // 2 : n // 2 + 5000] = text[:5000]
+    disk.rest(text)
+    spilled, real = [0], induced.Tape.add
+    def add(self, rows):
+        spilled[0] += rows.nbytes
+        return real(self, rows)
+    induced.Tape.add = add
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    # Memory of the process's own, mapped files apart, may not grow by more than this.
+    with open("/proc/self/status") as f:
+        own = next(int(x.split()[1]) for x in f if x.startswith("VmData"))
+    resource.setrlimit(resource.RLIMIT_DATA, ((own << 10) + (24 << 20), -1))
+    marks = induced.repeated(text, 200, disk)
+    hits = np.flatnonzero(marks)
+    assert (hits == np.r_[0:4801, n // 2 : n // 2 + 4801]).all(), len(hits)
+    print(spilled[0] // induced.QUEUE_BYTES)
+"""
+
+
+def test_a_shard_much_larger_than_the_memory(tmp_path):
+    """A text of which the tuples alone are hundreds of times the queues' memory, in a process that may take 24 MB for it (mapped files apart)."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = LARGE.format(root=str(Path(__file__).resolve().parents[2]), n=3_000_000)
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, env={"PATH": "/usr/bin:/bin", "OPENBLAS_NUM_THREADS": "1", "TMPDIR": str(tmp_path)})
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert int(done.stdout) > 100
+
+
+# ---------------------------------------------------------------- hashes
+def thue_morse(n):
+    a, b = "a", "b"
+    while len(a) < n:
+        a, b = a + b, b + a
+    return a[:n], b[:n]
+
+
+@pytest.mark.parametrize("n", [256, 1024, 4096])
+def test_words_that_cancel_out_in_polynomial_hashes(spark, n):
+    x, y = thue_morse(n)
+    plain = [f"w{i}" for i in range(19)]
+    pairs = [(1, " ".join([*plain, x])), (2, " ".join([*plain, y])), (3, " ".join([x, "b", "c"])), (4, " ".join([y, "b", "c"])), (5, x), (6, y), (7, x + "q" + y), (8, y + "q" + x)]
+    docs = frame(spark, pairs)
+    assert {r.doc_id: (r.s_words, r.s_removed, r.s_kept_sha256) for r in substring.dedup(docs, ["doc_id"]).collect()} == plain_substring(pairs)
+    assert {r.doc_id: (r.j_shingles, r.j_component) for r in jaccard.join(docs, ["doc_id"]).collect()} == plain_jaccard(pairs, 3, 90, 100)
+    items = [(1, x), (2, "b c")]
+    got = decontam.report(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got} == plain_contamination(pairs, items)
+    got = suffix.strip(docs, ["doc_id"]).collect()
+    assert {r.doc_id: (r.s_bytes, r.s_removed, r.s_spans, r.s_kept_sha256) for r in got} == plain_suffix(pairs, 200)
+
+
 # ---------------------------------------------------------------- Jaccard join
 def shingles(t, size):
     w = re.findall(SPACE, lower(t or ""))
@@ -210,6 +300,37 @@ def test_jaccard_links_of_ids_with_several_texts(spark, null):
     assert len(got) == len(pairs) and {r.doc_id: r.j_component for r in got} == want
 
 
+def plain_roots(edges):
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    return {x: find(x) for x in root}
+
+
+@pytest.mark.parametrize("hubs", [1, 4, 4096])
+def test_components_of_hubs_and_chains(spark, monkeypatch, hubs):
+    monkeypatch.setattr(components, "HUBS", hubs)
+    r = np.random.default_rng(3)
+    big = 1 << 62  # ids whose sums overflow
+    edges = [(big + 5, big + k) for k in range(6, 300)] + [(-big - k, -big - k - 1) for k in range(40)] + [(int(a), int(b)) for a, b in r.integers(0, 80, (60, 2)) if a != b] + [(big + 5, big + 7)] * 3
+    found = components.components(spark.createDataFrame([*edges, (9, 9)], "a long, b long"), Scratch(spark, "test"), "c")
+    assert {x.node: x.root for x in found.collect()} == plain_roots(edges)
+    assert components.components(spark.createDataFrame([(9, 9)], "a long, b long"), Scratch(spark, "test"), "c").count() == 0
+
+
+def test_jaccard_of_repeated_rows_and_null_ids(spark):
+    t = " ".join(map(str, range(60)))
+    got = jaccard.join(frame(spark, [(4, t), (4, t), (None, "a b c"), (None, None), (None, "a b c"), (6, t)]), ["doc_id"]).collect()
+    assert sorted((str(r.doc_id), r.j_shingles, str(r.j_component)) for r in got) == [("4", 58, "4"), ("4", 58, "4"), ("6", 58, "4"), ("None", 0, "None"), ("None", 1, "None"), ("None", 1, "None")]
+
+
 def test_first_of_groups_keeps_one_row(spark):
     t, u = " ".join(map(str, range(60))), " ".join(map(str, range(61)))
     got = jaccard.first_of_groups(frame(spark, [(5, t), (5, t), (3, u), (9, None), (8, ""), (None, "alone here")])).collect()
@@ -250,6 +371,40 @@ def test_decontamination(spark, docs, rows, chunk, monkeypatch):
     assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got} == plain_contamination(rows, items)
 
 
+def test_contamination_of_repeated_rows_and_null_ids(spark):
+    bench = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c d"), (None, None)], "item_id long, text string")
+    got = decontam.report(frame(spark, [(1, "x a b"), (1, "x a b"), (None, "c d"), (None, None), (2, "A, b. C d")]), bench).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_hit, r.items) for r in got) == [("1", 3, 2, ["1"]), ("1", 3, 2, ["1"]), ("2", 4, 4, ["1", "null"]), ("None", 0, 0, []), ("None", 2, 2, ["null"])]
+
+
+def plain_near(rows, items, window, slop):
+    """Word ranges near phrases, by the definition: around each place of the rarest term."""
+    texts = {i: re.findall(WORD, lower(t or "")) for i, t in rows}
+    count = collections.Counter(w for ws in texts.values() for w in ws)
+    out = {i: set() for i in texts}
+    for _, t in items:
+        words = re.findall(WORD, lower(t or ""))
+        n = min(window, len(words))
+        for phrase in {tuple(words[j : j + n]) for j in range(len(words) - n + 1 if n else 0)}:
+            if all(count[w] for w in phrase):
+                o = min(range(n), key=lambda k: count[phrase[k]])
+                for i, ws in texts.items():
+                    for p in (p for p, w in enumerate(ws) if w == phrase[o]):
+                        if all(any(0 <= q < len(ws) and ws[q] == w for q in range(p - o + k - slop, p - o + k + slop + 1)) for k, w in enumerate(phrase) if k != o):
+                            out[i] |= set(range(max(p - o, 0), min(p - o + n, len(ws))))
+    return out
+
+
+@pytest.mark.parametrize("slop", [1, 3])
+def test_proximity_of_a_table(spark, slop):
+    r = np.random.default_rng(8)
+    pairs = [(i, " ".join(f"w{x}" for x in r.integers(0, 12, r.integers(0, 40)))) for i in range(60)]
+    items = [(k, " ".join(f"w{x}" for x in r.integers(0, 13, 5))) for k in range(6)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {x.doc_id: {w for a, b in zip(x.starts, x.ends) for w in range(a, b)} for x in decontam.contamination(frame(spark, pairs), bench, window=4, slop=slop).collect()}
+    assert got == plain_near(pairs, items, 4, slop) and any(got.values())
+
+
 def test_proximity():
     a, b, c = np.array([3, 10, 50]), np.array([4, 12, 70]), np.array([5, 13, 52])
     assert decontam.intersect([a, b, c], [0, 1, 2]).tolist() == [3]
