@@ -59,11 +59,62 @@ def test_cuts_stand_where_no_token_spans():
 
 def test_a_small_cache_changes_nothing(word, monkeypatch):
     mine = bpe.ForcedBoundaryCodec(WORD)
-    mine.cache = bpe.Cache(3)
+    mine.table = bpe.PieceTable(3)
     for t in ("one two three four five six", "six five seven one", "two two eight"):
         assert mine.encode(t) == word.encode(t, add_special_tokens=False).ids
 
 
+def test_ids_survive_colliding_hashes(word, monkeypatch):
+    from stratum.llm import pieces
+
+    monkeypatch.setattr(pieces, "span_hashes", lambda view, start, end, seed: [(end - start).astype(np.uint64) % np.uint64(3)])
+    mine = bpe.ForcedBoundaryCodec(WORD)
+    for t in ("one two three four five six", "six five seven one", "two two eight one", "on ho it is at as"):
+        assert mine.encode(t) == word.encode(t, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("n", [341, 1024, 4096])
+def test_pieces_that_cancel_out_in_polynomial_hashes(word, byte, n):
+    from tests.llm.test_texts import thue_morse
+
+    texts = thue_morse(n)
+    coder, mine = orctokens.BytePieces(BYTE), bpe.ForcedBoundaryCodec(WORD)
+    ids, size = coder.encode_block(np.frombuffer("".join(texts).encode(), np.uint8), np.array([0, n, 2 * n]))
+    assert [x.tolist() for x in np.split(ids, [size[0]])] == [byte.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [mine.encode(t) for t in texts] == [word.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_other_tokenizer_files(word, tmp_path):
+    import json
+
+    spec = json.load(open(WORD, encoding="utf-8"))
+    spec["normalizer"] = None  # splits as before, keeps case
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    library, mine = tokenizers.Tokenizer.from_file(str(path)), bpe.ForcedBoundaryCodec(str(path))
+    for t in ["The END's here", "", "a\u0301 B<|endoftext|>c", *odd_texts(200, 5)]:
+        assert mine.encode(t) == library.encode(t, add_special_tokens=False).ids
+    spec["model"]["unk_token"] = "<|endoftext|>"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    with pytest.raises(ValueError, match="unk_token"):
+        bpe.ForcedBoundaryCodec(str(path))
+
+
+def test_shown_ids_of_long_texts(word, monkeypatch):
+    monkeypatch.setattr(bpe, "SHOWN", 7)
+    mine, texts = bpe.ForcedBoundaryCodec(WORD), ["", "one", "a b c d e f g", "x " * 50, "", "y z", ""]
+    data = [t.encode() for t in texts]
+    ids, n = mine.encode_block(np.frombuffer(b"".join(data), np.uint8), np.r_[0, np.cumsum([len(d) for d in data])])
+    want = [word.encode(t, add_special_tokens=False).ids for t in texts]
+    assert mine.digests(ids, n, False) == [sha(" ".join(map(str, w))) for w in want]
+    assert mine.digests(ids, n, True) == [sha(word.decode(w, skip_special_tokens=False)) for w in want]
+
+
+def test_bpe_of_repeated_rows_and_null_ids(spark, word):
+    got = bpe.round_trip(frame(spark, [(1, "a b"), (1, "a b"), (None, None), (None, "c")]), WORD, ["doc_id"]).collect()
+    assert sorted((str(r.doc_id), r.b_n) for r in got) == [("1", 2), ("1", 2), ("None", 0), ("None", 1)]
+
+
 def test_bpe_of_a_table(docs, rows, none, word):
     got = {r.doc_id: r for r in bpe.round_trip(docs, WORD, ["doc_id", "b_n"], with_ids=True, with_decoded=True).drop("b_n").collect()}
     for i, t in rows:
