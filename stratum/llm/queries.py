@@ -87,7 +87,49 @@ _LOWER = f"translate(coalesce(text, ''), '{_UP}', '{_LOW}')"
 _LOWER_SPLIT = _WORDS.format(_LOWER, r"[\x20\x09-\x0D]+")
 _ALNUM_SPLIT = _WORDS.format(_LOWER, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
+_MEASURED = {
+    "symbol_share": "n_symbols * {u} // greatest(word_chars, 1)",
+    "dup_line_share": "n_dup_lines * {u} * 10 // greatest(n_words, 1)",
+    "repeat_share": "n_repeat_words * {u} // greatest(n_words, 1)",
+    "word_length": "word_chars * {u} // greatest(n_words, 1)",
+}
+_MEASURED = ", ".join(f"{v.format(u=quality.UNIT)} AS {m}" for m, v in _MEASURED.items())
+_STACKED = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS measure, {m} AS v FROM m WHERE NOT base_failed" for m in quality.MEASURES)
+_QUARTILES = ", ".join(f"CAST(min(bin) FILTER (4 * below >= {k} * total) AS DOUBLE) AS {{0}}{k}" for k in (1, 2, 3))
+_DRAWN = ", ".join(f"(g{k} * gn + ((l{k} * ln + w{k} * {quality.SHRINK}) / (ln + {quality.SHRINK})) * {quality.SHRINK}) / (gn + {quality.SHRINK}) AS d{k}" for k in (1, 2, 3))
+_REACH = f"{quality.REACH:.1f}::DOUBLE"
+_BOUNDS = ", ".join(
+    f"max(CASE WHEN measure = '{m}' THEN d2 + greatest((d3 - d2) * {_REACH}, {least}.0::DOUBLE) END) AS hi_{m}, " + (f"max(CASE WHEN measure = '{m}' THEN d2 - greatest((d2 - d1) * {_REACH}, {least}.0::DOUBLE) END)" if sides == "both" else "-1.0") + f" AS lo_{m}"
+    for m, (sides, least) in quality.MEASURES.items()
+)
+_WITHIN = " AND ".join(f"coalesce(CAST(m.{m} AS DOUBLE) BETWEEN lo_{m} AND hi_{m}, true)" for m in quality.MEASURES)
+
+
+def _quartiles(name: str, by: str) -> str:
+    keys = f"{by}, measure" if by else "measure"
+    return f"""{name}s AS (SELECT {keys}, bin, sum(n) OVER (PARTITION BY {keys}) AS total, sum(n) OVER (PARTITION BY {keys} ORDER BY bin) AS below FROM (SELECT {keys}, bin, sum(n) AS n FROM sketch GROUP BY ALL)),
+{name} AS (SELECT {keys}, max(total) AS {name}n, {_QUARTILES.format(name)} FROM {name}s GROUP BY {keys})"""
+
+
 ORACLE = {
+    "op10_quality_rules": f"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS body, {_SPLIT} AS ws FROM documents),
+win AS (SELECT rid, i, array_to_string(ws[i : i + 2], ' ') AS gram FROM t, unnest(range(1, len(ws) - 1)) u(i)),
+again AS (SELECT rid, i FROM win QUALIFY count(*) OVER (PARTITION BY rid, gram) > 1),
+r AS (SELECT rid, count(DISTINCT p) AS n FROM again, unnest(range(i, i + 3)) u(p) GROUP BY rid),
+c AS (SELECT rid, doc_id, lang, source, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(body) - length(regexp_replace(body, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+  list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t),
+b AS (SELECT rid, doc_id, lang, source, n_words, word_chars, n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words FROM c LEFT JOIN r USING (rid)),
+m AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {_MEASURED} FROM b),
+v AS ({_STACKED}),
+sketch AS (SELECT lang, source, measure, (v >> greatest(length(to_base(v, 2)) - {quality.BITS}, 0)) << greatest(length(to_base(v, 2)) - {quality.BITS}, 0) AS bin, count(*) AS n FROM v GROUP BY ALL),
+{_quartiles("g", "lang, source")},
+{_quartiles("l", "lang")},
+{_quartiles("w", "")},
+drawn AS (SELECT g.lang, g.source, g.measure, {_DRAWN} FROM g JOIN l ON g.lang IS NOT DISTINCT FROM l.lang AND g.measure = l.measure JOIN w ON g.measure = w.measure),
+bounds AS (SELECT lang, source, {_BOUNDS} FROM drawn GROUP BY lang, source)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+NOT base_failed AND {_WITHIN} AS kept FROM m LEFT JOIN bounds ON m.lang IS NOT DISTINCT FROM bounds.lang AND m.source IS NOT DISTINCT FROM bounds.source""",
     "op3_decontamination": f"""
 WITH d AS (SELECT doc_id, {_ALNUM_SPLIT} AS ws FROM documents),
 b AS (SELECT item_id, {_ALNUM_SPLIT} AS ws FROM benchmark),

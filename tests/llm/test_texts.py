@@ -464,11 +464,49 @@ def test_quality_errors_against_labels(spark):
     assert n[0, False] >= 0.9 * (n[0, False] + n.get((0, True), 0)) and n.get((1, False), 0) <= 0.02 * n[1, True]
 
 
-def test_quality_sketches_merge_to_near_exact_quantiles(spark):
-    df = spark.range(20_000).select((F.col("id") * 7919 % 20_000).cast("double").alias("x"), (F.col("id") % 9).alias("g"))
-    parts = df.groupBy("g").agg(F.kll_sketch_agg_double("x", quality.SKETCH_K).alias("s"))
-    q = parts.agg(F.kll_merge_agg_double("s", quality.SKETCH_K).alias("s")).select(F.kll_sketch_get_quantile_double("s", F.lit(0.95))).first()[0]
-    assert abs(q - 19_000) < 0.02 * 20_000
+def plain_verdicts(rows):
+    """rows: (text, lang, source). The rule written out: quartiles of bins, drawn towards language and corpus, then bounds."""
+    out, groups = [], collections.defaultdict(list)
+    for text, lang, source in rows:
+        w, chars, symbols, lines, repeat, failed = plain_measures(text)
+        m = (symbols * 10**6 // max(chars, 1), lines * 10**7 // max(w, 1), repeat * 10**6 // max(w, 1), chars * 10**6 // max(w, 1))
+        out.append((m, failed, lang, source))
+        if not failed:
+            groups[lang, source].append(m)
+
+    def quartile(values, k):
+        ranked = sorted(v >> max(v.bit_length() - 8, 0) << max(v.bit_length() - 8, 0) for v in values)
+        return float(ranked[-(-k * len(ranked) // 4) - 1])
+
+    whole, bounds = [m for ms in groups.values() for m in ms], {}
+    for (lang, source), own in groups.items():
+        tongue = [m for (x, _), ms in groups.items() if x == lang for m in ms]
+        for j, (sides, least) in enumerate(quality.MEASURES.values()):
+            d = []
+            for k in (1, 2, 3):
+                g, t, c = (quartile([m[j] for m in ms], k) for ms in (own, tongue, whole))
+                d.append((g * len(own) + ((t * len(tongue) + c * 200) / (len(tongue) + 200)) * 200) / (len(own) + 200))
+            bounds[lang, source, j] = (d[1] - max((d[1] - d[0]) * 10.0, least) if sides == "both" else -1.0, d[1] + max((d[2] - d[1]) * 10.0, least))
+    return [not failed and all(bounds[lang, source, j][0] <= m[j] <= bounds[lang, source, j][1] for j in range(4)) for m, failed, lang, source in out]
+
+
+def test_quality_verdicts(spark):
+    r = np.random.default_rng(5)
+    rows = []
+    for k in range(260):
+        n = int(r.choice([0, 10, 60, 90, 200]))
+        words = ["w" * int(x) + str(j) for j, x in enumerate(r.integers(1, 9 if k % 7 else 30, n))]
+        text = " ".join(w + "#" * int(r.integers(0, 2 + 4 * (k % 11 == 0))) for w in words) + "\nsame line" * int(r.integers(0, 3 + 40 * (k % 13 == 0)))
+        rows.append((text if n else None, ["en", "de", None][k % 3], ["a", None][k % 2]))
+    rows += rows[:20]
+    data = [(k, *x) for k, x in enumerate(rows)]
+    got = {x.doc_id: x.q_kept for x in quality.judge(spark.createDataFrame(data, "doc_id long, text string, lang string, source string").repartition(5), ["doc_id"]).collect()}
+    assert [got[k] for k in range(len(rows))] == plain_verdicts(rows) and len(set(got.values())) == 2
+
+
+def test_quality_is_native(spark, docs):
+    plan = quality.judge(docs, ["doc_id"])._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Arrow|Pandas", plan)
 
 
 # ---------------------------------------------------------------- empty tables
