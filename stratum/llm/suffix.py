@@ -3,7 +3,8 @@
 Strings that repeat have the same winnowed anchor (the least hash of SEED-byte runs in them), so all places of a string fall to the shard of its
 anchor. An anchor carries the stretch of strings that it stands for. Equal stretches repeat as a whole; an anchor with one stretch is
 done. Where an anchor has different stretches, the first place of each sends its bytes to the anchor's shard. An anchor with more than
-HOT such stretches is hot: its strings are dealt by two hashes of the whole string instead, so that equal ones still meet, in
+HOT such stretches is hot: they are cut into parts of PART strings, dealt by the bytes that all strings of a part share, and treated like stretches; where
+even these are hot, strings are dealt by two hashes of the whole string, so that equal ones still meet, in
 runs that are passed in constant memory. Each shard is one
 text, whose suffixes and common prefixes come from external induced sorting (see induced.py); a suffix repeats if it shares
 LENGTH bytes with a neighbour in the order.
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import BLOCK_BYTES, Scratch, buffers, byte_windows, lanes, mix, release, schema_of, signed, slices, span_hashes, union_spans
 from .induced import Disk, Tape, repeated
+from .pieces import spread
 from .runs import _columns, map_runs, with_neighbours
 from .substring import keyed, stretches
 
@@ -37,7 +39,8 @@ SEED = 64
 SHARD_BYTES = 8 << 20
 MARKS = 1 << 20  # places of a shard looked at at once
 CHUNK = 1000  # stretches whose strings are hashed at once
-HOT = 1000  # different stretches of an anchor beyond which its strings are dealt by their own hashes
+HOT = 1000  # different stretches of an anchor beyond which they are cut into parts
+PART = 16  # strings of a part
 
 SEEDS = pa.schema([("h", pa.int64()), ("s", pa.int64()), ("v", pa.int64()), ("doc", pa.int64()), ("tie", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("kind", pa.int8())])
 FOUND = pa.schema([("doc", pa.int64()), ("tie", pa.int64()), ("h", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("kind", pa.int8())])
@@ -121,28 +124,51 @@ def _cut(length: int):
     return map_runs(run, PIECES)
 
 
+def _open_bytes(batches, length: int):
+    """(doc, tie, text, open) -> some open stretches at a time: ids, ties, anchors' hashes, firsts, numbers of strings, lanes() of the stretches' bytes one after another, and where each begins there."""
+    for part, body, at in slices(batches, "text"):
+        ids, ties = part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_numpy(zero_copy_only=False)
+        spans = part.column(3)
+        d = np.repeat(np.arange(len(at) - 1), np.diff(spans.offsets.to_numpy()))
+        flat = spans.flatten()
+        h, first, last = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
+        for i in range(0, len(d), CHUNK):
+            own, low, size = d[i : i + CHUNK], first[i : i + CHUNK], last[i : i + CHUNK] - first[i : i + CHUNK] + 1
+            width = size + length - 1
+            yield ids[own], ties[own], h[i : i + CHUNK], low, size, lanes(body[spread(at[own] + low, width)]), np.cumsum(width) - width
+
+
+def _parts(length: int, seed: int):
+    """(doc, tie, text, open) -> the open stretches of hot anchors, cut into parts of at most PART strings by their distance from the anchor. All strings of a
+    part have its core in common, the bytes that any string of such a part has, so equal strings meet by the hash of the core."""
+
+    def run(batches):
+        for ids, ties, h, low, size, view, begin in _open_bytes(batches, length):
+            # The anchor is the last run of its hash in the first string.
+            reach = length - seed
+            runs = byte_windows(view, seed, 7)[begin[:, None] + np.arange(reach + 1)] == h.view(np.uint64)[:, None]
+            anchor = reach - np.argmax(runs[:, ::-1], axis=1)
+            most, least = anchor // PART, (anchor - size + 1) // PART  # of the distances from first and last
+            n = most - least + 1
+            k, which = np.repeat(most, n) - spread(np.zeros(len(n), np.int64), n), np.repeat(np.arange(len(n)), n)
+            a = np.maximum(anchor[which] - (k + 1) * PART + 1, 0)
+            b = np.minimum(anchor[which] - k * PART, size[which] - 1)
+            at = begin[which]
+            (core,) = span_hashes(view, at + anchor[which] - k * PART, at + anchor[which] - (k + 1) * PART + 1 + length, 11)
+            s, v = span_hashes(view, at + a, at + b + length, 8, 9)
+            yield {"h": signed(mix(core + k.astype(np.uint64))), "s": signed(s), "v": signed(v), "doc": ids[which], "tie": ties[which], "first": (low[which] + a).astype(np.int32), "last": (low[which] + b).astype(np.int32), "kind": np.zeros(len(k), np.int8)}
+
+    return map_runs(run, SEEDS)
+
+
 def _strings(length: int):
     """(doc, tie, text, open) -> one row for each string of the open stretches: two independent hashes of its bytes."""
 
     def run(batches):
-        for part, body, at in slices(batches, "text"):
-            ids, ties = part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_numpy(zero_copy_only=False)
-            spans = part.column(3)
-            d = np.repeat(np.arange(len(at) - 1), np.diff(spans.offsets.to_numpy()))
-            flat = spans.flatten()
-            first, last = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (1, 2))
-            for i in range(0, len(d), CHUNK):
-                low, size = first[i : i + CHUNK], last[i : i + CHUNK] - first[i : i + CHUNK] + 1
-                skip, own = np.cumsum(size) - size, d[i : i + CHUNK]
-                # The stretches one after another, each with the bytes of its last string.
-                width = size + length - 1
-                edge = np.cumsum(width) - width
-                view = lanes(body[np.repeat(at[own] + low - edge, width) + np.arange(width.sum())])
-                step = np.arange(size.sum()) - np.repeat(skip, size)
-                a = np.repeat(edge, size) + step
-                own = np.repeat(own, size)
-                w, v = (signed(byte_windows(view, length, s)[a]) for s in (8, 9))
-                yield {"w": w, "v": v, "doc": ids[own], "tie": ties[own], "first": (np.repeat(low, size) + step).astype(np.int32)}
+        for ids, ties, _, low, size, view, begin in _open_bytes(batches, length):
+            own, step = np.repeat(np.arange(len(size)), size), spread(np.zeros(len(size), np.int64), size)
+            w, v = (signed(byte_windows(view, length, s)[begin[own] + step]) for s in (8, 9))
+            yield {"w": w, "v": v, "doc": ids[own], "tie": ties[own], "first": (low[own] + step).astype(np.int32)}
 
     return map_runs(run, STRINGS)
 
@@ -234,22 +260,26 @@ def _sorted_shards(length: int):
 
 def repeated_ranges(docs: DataFrame, scratch: Scratch, length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """doc, tie, gone: an array of (first, last) starts, by byte, of strings that also start elsewhere. docs: doc, tie, text."""
-    seeds = docs.mapInArrow(_seed_rows(length, seed), _ddl(SEEDS))
-    met = seeds.repartition("h").sortWithinPartitions("h", "s", "v").mapInArrow(map_runs(_meet, FOUND), _ddl(FOUND))
-    met = scratch.save(met, "met")
-    open_ = met.where("kind = 2")
-    # The hot anchors are at most one in HOT open stretches.
-    hot = scratch.save(open_.groupBy("h").agg(F.count(F.lit(1)).alias("stretches")).where(F.col("stretches") > HOT).select("h"), "hot")
 
     def texts(spans: DataFrame) -> DataFrame:
         spans = spans.groupBy("doc", "tie").agg(F.collect_list(F.struct("h", "first", "last")).alias("open"))
         return docs.join(spans, ["doc", "tie"]).select("doc", "tie", "text", "open")
 
-    pieces = texts(open_.join(hot, "h", "left_anti")).mapInArrow(_cut(length), _ddl(PIECES)).repartition("h").sortWithinPartitions("h")
-    more = pieces.mapInArrow(_sorted_shards(length), _ddl(RANGES))
-    strings = texts(open_.join(hot, "h", "left_semi")).mapInArrow(_strings(length), _ddl(STRINGS)).repartition("w").sortWithinPartitions("w", "v")
+    def met(seeds: DataFrame, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Ranges known to repeat, the open stretches of hot anchors, those of others. There is at most one hot anchor for HOT open stretches."""
+        found = scratch.save(seeds.repartition("h").sortWithinPartitions("h", "s", "v").mapInArrow(map_runs(_meet, FOUND), _ddl(FOUND)), name)
+        open_ = found.where("kind = 2").select("doc", "tie", "h", "first", "last")
+        hot = scratch.save(open_.groupBy("h").agg(F.count(F.lit(1)).alias("stretches")).where(F.col("stretches") > HOT).select("h"), f"hot_{name}")
+        return found.where("kind = 1").select("doc", "tie", "first", "last"), open_.join(hot, "h", "left_semi"), open_.join(hot, "h", "left_anti")
+
+    whole, hot, cold = met(docs.mapInArrow(_seed_rows(length, seed), _ddl(SEEDS)), "stretches")
+    parts, hot_parts, cold_parts = met(texts(hot).mapInArrow(_parts(length, seed), _ddl(SEEDS)), "parts")
+    columns = ["doc", "tie", "h", "first", "last"]
+    pieces = texts(cold.select(columns).union(cold_parts.select(columns))).mapInArrow(_cut(length), _ddl(PIECES)).repartition("h").sortWithinPartitions("h")
+    sorted_ = pieces.mapInArrow(_sorted_shards(length), _ddl(RANGES))
+    strings = texts(hot_parts).mapInArrow(_strings(length), _ddl(STRINGS)).repartition("w").sortWithinPartitions("w", "v")
     again = strings.mapInArrow(map_runs(_again, RANGES), _ddl(RANGES))
-    gone = met.where("kind = 1").select("doc", "tie", "first", "last").union(more).union(again)
+    gone = whole.union(parts).union(sorted_).union(again)
     return scratch.save(gone.groupBy("doc", "tie").agg(F.collect_list(F.struct("first", "last")).alias("gone")), "gone")
 
 

@@ -69,9 +69,10 @@ def test_suffix_dedup(docs, rows, length, seed, monkeypatch):
     assert all(sha(bytes(r.s_kept)) == r.s_kept_sha256 for r in got)
 
 
-@pytest.mark.parametrize("hot", [0, 3])
-def test_suffix_dedup_with_hot_anchors(docs, rows, hot, monkeypatch):
+@pytest.mark.parametrize("hot, part", [(0, 4), (3, 16)])
+def test_suffix_dedup_with_hot_anchors(docs, rows, hot, part, monkeypatch):
     monkeypatch.setattr(suffix, "HOT", hot)
+    monkeypatch.setattr(suffix, "PART", part)
     monkeypatch.setattr(suffix, "CHUNK", 7)
     got = suffix.strip(docs, ["doc_id"], length=30, seed=8).collect()
     assert {r.doc_id: (r.s_bytes, r.s_removed, r.s_spans, r.s_kept_sha256) for r in got} == plain_suffix(rows, 30)
