@@ -1,7 +1,11 @@
 """From raw documents to training documents: each stage works on what the one before kept.
 
 Stages take (spark, docs, sf_dir); all but the last return the columns of documents. Each result is written as Parquet and read
-again for the next stage, in the shared folder of spark.checkpoint.dir.
+again for the next stage, in the shared folder of spark.checkpoint.dir; what a stage has read goes once its result is written.
+
+Defined results, for every stage: a null text is an empty one (the first stage rejects it); rows with a null id are documents of their own texts; rows that repeat
+id and text are one document and share its fate, but for the second stage, where one of them stays; of equal texts that with the least id stays; an empty
+table gives no rows; other columns of the input come out as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,16 +40,12 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which benchmark passages are less than a twentieth of the words, without these passages."""
+    """Documents without any benchmark passage: one window of an item is enough for a document to go."""
     key = F.xxhash64("doc_id", "text")
     found = decontam.contamination(docs.select(key.alias("key"), "text"), table(spark, sf_dir, "benchmark"), doc_id="key").where(F.size("starts") > 0)
-    found = found.select(F.col("doc_id").alias("hit"), "starts", "ends").dropDuplicates(["hit"])
-    rest = [c for c in docs.columns if c != "text"]
-    rows = docs.select(F.struct(*rest).alias("row"), "text", key.alias("key"))
-    out = decontam.cut(rows.join(found, rows["key"] == found["hit"], "left"), ["row"]).where("d_hit = 0 or 20 * d_hit < d_words")
-    n_chars = F.when(F.col("d_hit") > 0, F.length("d_text")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
-    made = {"text": F.col("d_text"), "n_chars": n_chars}
-    return out.select(*[made.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
+    found = found.select(F.col("doc_id").alias("hit")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), key.alias("key"))
+    return rows.join(found, rows["key"] == found["hit"], "left_anti").select("row.*")
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +62,7 @@ STAGES = [
     ("BPE encoding and decoding", token_ids),
 ]
 
-#: The bounds of the first stage are quantile sketches, which SQL does not have; the tests compare each stage with a brute-force version.
+#: SQL has no byte-pair encoding; the tests compare each stage with a brute-force version.
 ORACLE_SQL = None
 
 
@@ -71,4 +71,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES[:-1]):
         docs = scratch.save(stage(spark, docs, sf_dir), f"stage{i}")
+        if i:
+            scratch.drop(f"stage{i - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)
