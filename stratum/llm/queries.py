@@ -42,9 +42,10 @@ def op4_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "warc")
-    per_file = warc.write_responses(table(spark, sf_dir, "pages"), scratch.path("responses"))
-    warc.derive(spark, scratch.path("responses"), scratch.path("derived"), 2 * per_file)
-    out = warc.linked(warc.read_records(spark, scratch.path("derived")), bodies=False)
+    warc.write_responses(table(spark, sf_dir, "pages"), scratch.path("responses"))
+    warc.derive(spark, scratch.path("responses"), scratch.path("derived"))
+    scratch.drop("responses")
+    out = warc.linked(spark, scratch.path("derived"), bodies=False)
     return out.select("page_id", "refers_to", "uri", "metadata_id", "metadata_digest", "conversion_id", "conversion_digest", (F.col("concurrent_to") == F.col("metadata_id")).alias("linked"), "text_chars", "text_sha256")
 
 
