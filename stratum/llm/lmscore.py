@@ -7,7 +7,9 @@ the more it resembles the target, the higher.
 
 Scale: documents are dealt once to blocks of about BLOCK_BYTES. A block sends each of its n-grams once, with its counts, to the
 n-gram's partition, where all blocks' counts are summed, and gets the sums back only where they differ from its own. So the
-models grow with the corpus, no table is broadcast, and a common n-gram has one row for each block. The blocks' shuffle is used by both passes.
+models grow with the corpus, no table of n-grams is broadcast, and a common n-gram has one row for each block, far fewer than a partition's share of all n-grams.
+The blocks' shuffle is used by both passes. Rows without an id, and those of an id with more than one in HOT of the rows (there are fewer than HOT such ids, which
+are broadcast), are dealt by their texts, so that no block is larger than others because of one id.
 
 Defined results: a null or empty text has only its end sign; ids that occur several times are scored row by row and are target documents together; a null id
 is never a target; without target documents the target model is uniform; an empty table gives no rows; other columns do not matter.
@@ -27,6 +29,7 @@ from .orctokens import pieces
 BLOCK_BYTES = 4 << 20  # a worker holds about 50 times as much
 PARTITIONS = 20_000  # at most; then a partition has several blocks, one after another
 MASS = 2.0
+HOT = 4096
 UNIGRAM = np.int64(0xFFFFFFFF)  # in place of a second token
 TOTAL = np.int64(-1)
 
@@ -72,7 +75,7 @@ def _block_counts(seq: Sequences, table: pa.RecordBatch, targets: np.ndarray, se
         ids = part.column(part.schema.get_field_index("doc"))
         every, count = _counted(keys)
         parts.append((every, count, np.zeros_like(count)))
-        chosen = np.isin(ids.to_numpy(zero_copy_only=False), targets)
+        chosen = np.isin(ids.to_numpy(zero_copy_only=False), targets) | part.column(part.schema.get_field_index("chosen")).to_numpy(zero_copy_only=False)
         if chosen.any():
             some, count = _counted(keys[np.repeat(chosen, n)])
             parts.append((some, np.zeros_like(count), count))
@@ -89,21 +92,28 @@ def _with_unigrams(keys, a, b):
 
 def score(docs: DataFrame, targets: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", target_id: str = "doc_id") -> DataFrame:
     """doc_id, n_tokens, loss_background, loss_target, score for each row of docs. targets: ids of the target documents."""
-    total = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
+    total, n_rows = docs.agg(F.sum(F.octet_length(F.col(text))), F.count(F.lit(1))).first()
+    total = total or 0
     blocks = max(8, -(-int(total) // BLOCK_BYTES))
     parts = min(blocks, PARTITIONS)
     none = F.lit(None)
-    deal = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
-    rows = docs.select(long_id(docs, doc_id).alias("doc"), F.col(text).alias("text"), F.lit(False).alias("mark"))
-    marks = targets.select(long_id(targets, target_id).alias("doc"), none.cast("string").alias("text"), F.lit(True).alias("mark")).where("doc is not null")
-    dealt = rows.union(marks).withColumn("blk", deal(F.col("doc"))).repartitionById(parts, F.col("blk"))  # as even as the blocks
+    deal = lambda *c: F.pmod(F.xxhash64(*c), F.lit(blocks)).cast("int")
+    ids = docs.select(long_id(docs, doc_id).alias("doc"), F.col(text).alias("text"))
+    wanted = targets.select(long_id(targets, target_id).alias("doc")).where("doc is not null")
+    # Ids of many rows, and whether they are targets: fewer than HOT rows.
+    hot = ids.where("doc is not null").groupBy("doc").count().where(F.col("count") > 1 + n_rows / HOT).select("doc")
+    hot = hot.join(wanted.distinct().withColumn("is_target", F.lit(True)), "doc", "left").select(F.col("doc").alias("hot"), F.coalesce("is_target", F.lit(False)).alias("hot_target"))
+    rows = ids.join(F.broadcast(hot), F.col("doc") == F.col("hot"), "left")
+    rows = rows.select("doc", "text", F.lit(False).alias("mark"), F.coalesce("hot_target", F.lit(False)).alias("chosen"), F.when(F.col("doc").isNull() | F.col("hot").isNotNull(), deal("text")).otherwise(deal("doc")).alias("blk"))
+    marks = wanted.select("doc", none.cast("string").alias("text"), F.lit(True).alias("mark"), F.lit(False).alias("chosen"), deal("doc").alias("blk"))
+    dealt = rows.union(marks).repartitionById(parts, F.col("blk"))  # as even as the blocks
 
     def is_target(table: pa.Table) -> tuple[pa.RecordBatch, np.ndarray]:
         one = table.combine_chunks()
         mark = one.column("mark").to_numpy(zero_copy_only=False).astype(bool)
-        texts = one.filter(pa.array(~mark)).select(["doc", "text"]).combine_chunks()
+        texts = one.filter(pa.array(~mark)).select(["doc", "text", "chosen"]).combine_chunks()
         batches = texts.to_batches()
-        batch = batches[0] if batches else pa.RecordBatch.from_pydict({"doc": pa.array([], pa.int64()), "text": pa.array([], pa.string())})
+        batch = batches[0] if batches else pa.RecordBatch.from_pydict({"doc": pa.array([], pa.int64()), "text": pa.array([], pa.string()), "chosen": pa.array([], pa.bool_())})
         return batch, one.filter(pa.array(mark)).column("doc").to_numpy()
 
     def count(key, table):

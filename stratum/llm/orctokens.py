@@ -1,12 +1,13 @@
 """Token ids in ORC files: ascending document ids, integer run-length encoding, row indexes and Bloom filters.
 
-Texts are dealt by ranges of the document id, sorted within each range, encoded and written, one file for each range.
+Texts are dealt by ranges of the document id (and a hash of the text, so that an id of many rows is no range of its own), about RANGE_BYTES each,
+sorted within each range, encoded and written, one file for each range.
 Each row has the ids of one document (end id appended) and their place within its range; the table of
-ranges, one row for each file, gives the place of the range. Readers work stripe by stripe, and a filter on the id is
+ranges, one row for each file, gives the place of the range. It is stored beside the files, and Spark broadcasts it only if it is small enough. Readers work stripe by stripe, and a filter on the id is
 answered from stripe statistics, row indexes and Bloom filters.
 
 Defined results: a null or empty text is only the end id; rows with a null document id come first; rows with equal ids keep their
-own entries, in no fixed order among themselves; an empty table gives an empty set of files.
+own entries, in the order of a hash of their texts; an empty table gives an empty set of files.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from .common import long_id, slices
 from .pieces import PieceTable, spread
 
+RANGE_BYTES = 64 << 20
 STRIPE_BYTES = 32 << 20
 ROW_INDEX_STRIDE = 2000
 BLOCK_BYTES = 2 << 20
@@ -153,6 +155,10 @@ def pieces(path: str) -> BytePieces:
     return _PIECES[path]
 
 
+STORED = "doc_id long, part int, place long, n_tokens long, ids array<int>"
+RANGES = "_ranges"  # the table of the ranges' places, which readers of the files pass over
+
+
 def write(docs: DataFrame, tokenizer: str, to: str, doc_id: str = "doc_id", text: str = "text", end_id: int = 0) -> None:
     """Writes the ORC files of all rows to the folder `to`."""
 
@@ -168,18 +174,21 @@ def write(docs: DataFrame, tokenizer: str, to: str, doc_id: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.full(len(n), part_no, np.int32)), pa.array(at[:-1] + place), pa.array(n), values], ["doc_id", "part", "place", "n_tokens", "ids"])
             place += int(at[-1])
 
-    rows = docs.select(long_id(docs, doc_id).alias("o_id"), F.col(text).alias("o_text"))
-    ordered = rows.repartitionByRange("o_id").sortWithinPartitions("o_id")
-    tokens = ordered.mapInArrow(run, "doc_id long, part int, place long, n_tokens long, ids array<int>")
+    rows = docs.select(long_id(docs, doc_id).alias("o_id"), F.col(text).alias("o_text"), F.xxhash64(F.col(text)).alias("o_tie"))
+    total = rows.agg(F.sum(F.octet_length("o_text"))).first()[0] or 0
+    ranges = max(docs.sparkSession.sparkContext.defaultParallelism, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // RANGE_BYTES))
+    ordered = rows.repartitionByRange(ranges, "o_id", "o_tie").sortWithinPartitions("o_id", "o_tie").drop("o_tie")
+    tokens = ordered.mapInArrow(run, STORED)
     tokens.write.mode("overwrite").option("orc.bloom.filter.columns", "doc_id").option("orc.create.index", "true").option("orc.row.index.stride", ROW_INDEX_STRIDE).option("orc.stripe.size", STRIPE_BYTES).option("compression", "zstd").orc(to)
+    stored = docs.sparkSession.read.schema(STORED).orc(to)
+    ends = stored.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    ends.select(F.col("part").alias("p"), (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("base")).write.mode("overwrite").parquet(f"{to}/{RANGES}")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids. The ranges' places are summed over one row for each file."""
-    stored = spark.read.schema("doc_id long, part int, place long, n_tokens long, ids array<int>").orc(path)
-    ends = stored.groupBy("part").agg(F.sum("n_tokens").alias("p_n"))
-    bases = ends.select(F.col("part").alias("p"), (F.sum("p_n").over(W.orderBy("part")) - F.col("p_n")).alias("base"))
-    return stored.join(F.broadcast(bases), F.col("part") == F.col("p")).select("doc_id", (F.col("base") + F.col("place")).alias("start"), "n_tokens", "ids")
+    """doc_id, start (ids of all documents before it), n_tokens, ids."""
+    stored, bases = spark.read.schema(STORED).orc(path), spark.read.schema("p int, base long").parquet(f"{path}/{RANGES}")
+    return stored.join(bases, F.col("part") == F.col("p")).select("doc_id", (F.col("base") + F.col("place")).alias("start"), "n_tokens", "ids")
 
 
 def checksums(tokens: DataFrame) -> DataFrame:

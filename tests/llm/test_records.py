@@ -170,6 +170,36 @@ def test_orc_of_null_and_repeated_ids(spark, tmp_path):
     assert got == [(0, None, 2), (2, 1, 1), (3, 4, 3), (6, 4, 3)]
 
 
+def test_orc_indexes_prune(spark, tmp_path, monkeypatch):
+    """Run-length encoding, row indexes and Bloom filters are in the files, and a filter on the id reads one row group of many."""
+    monkeypatch.setattr(orctokens, "ROW_INDEX_STRIDE", 1000)
+    path = f"file://{tmp_path}/orc"
+    docs = spark.range(0, 12_000, 2).selectExpr("id as doc_id", "concat('text ', id) as text")
+    orctokens.write(docs, BYTE, path)
+    jvm, kinds, encodings = spark._jvm, set(), set()
+    for f in tmp_path.glob("orc/*.orc"):
+        conf = jvm.org.apache.hadoop.conf.Configuration()
+        reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(str(f)), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        assert reader.getRowIndexStride() == 1000
+        rows = reader.rows()
+        for stripe in reader.getStripes():
+            footer = rows.readStripeFooter(stripe)
+            kinds |= {(s.getColumn(), s.getKind().toString()) for s in footer.getStreamsList()}
+            encodings |= {e.getKind().toString() for e in footer.getColumnsList()}
+        rows.close()
+    assert {(1, "BLOOM_FILTER_UTF8"), (1, "ROW_INDEX"), (4, "ROW_INDEX")} <= kinds and "DIRECT_V2" in encodings
+
+    def scanned(condition):
+        found = spark.read.schema(orctokens.STORED).orc(path).where(condition).select("doc_id", "n_tokens")
+        n = len(found.collect())
+        leaf = found._jdf.queryExecution().executedPlan().collectLeaves().head()
+        return n, leaf.metrics().get("numOutputRows").get().value()
+
+    assert scanned("doc_id >= 0") == (6000, 6000)
+    assert scanned("doc_id = 5000")[0] == 1 and scanned("doc_id = 5000")[1] <= 1000
+    assert scanned("doc_id = 5001") == (0, 0)  # within the range of a row group: the Bloom filter says no
+
+
 # ---------------------------------------------------------------- URLs
 def plain_verdict(url, rules, default="allow"):
     host = path = ""
@@ -420,6 +450,17 @@ def test_lm_scores(spark, docs, rows, none, byte):
     assert all(math.isclose(r.loss_target, math.log(byte.get_vocab_size() + 1)) for r in alone)
 
 
+def test_scores_of_an_id_with_many_rows(spark, byte, monkeypatch):
+    monkeypatch.setattr(lmscore, "BLOCK_BYTES", 200)
+    monkeypatch.setattr(lmscore, "HOT", 4)
+    r = random.Random(3)
+    pairs = [(i, " ".join(r.choice("abcdefgh") for _ in range(r.randrange(30)))) for i in [7] * 40 + [8] * 40 + list(range(20)) + [None] * 30]
+    for targets in ({7, 3}, {5}):
+        marks = spark.createDataFrame([(i,) for i in targets], "doc_id long")
+        got = sorted((repr(x.doc_id), x.n_tokens, round(x.loss_background, 9), round(x.loss_target, 9)) for x in lmscore.score(frame(spark, pairs), marks, BYTE).collect())
+        assert got == sorted((repr(i), n, round(b, 9), round(t, 9)) for i, n, b, t in plain_scores(pairs, targets, byte))
+
+
 def test_scores_do_not_depend_on_blocks(spark, docs, rows, monkeypatch):
     marks = spark.createDataFrame([(i,) for i, _ in rows[::4]], "doc_id long")
     want = sorted(map(tuple, lmscore.score(docs, marks, BYTE).collect()))
