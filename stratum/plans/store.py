@@ -2,28 +2,43 @@
 
 Writes are batches: each becomes a log folder with sequence numbers. flush() resolves the logs into one sorted run of level 0; compact()
 merges levels until none is over its limit. Reads take the manifest's runs that can hold the keys, and the logs, and let the
-highest sequence number win, so no order among files is needed.
+highest sequence number win, so no order among files is needed. With background(), a thread of the driver flushes and compacts what is due; writes, flushes,
+merges and point reads take turns.
 """
 
 from __future__ import annotations
 
+import functools
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratum.functions.bloom import parquet_options
-from stratum.operators import compact, resolve
+from stratum.operators import compact, prune, resolve
 from stratum.operators.resolve import octets
 from stratum.sources import manifest
 from stratum.sources.manifest import FileMeta, Folder, Snapshot
 from stratum.sources.mutations import numbered
 
+from .maintenance import PAUSE, Maintenance
 from .model import MUTATION, Config, Corrupt, file_name
 
 
+def _in_turn(method):
+    @functools.wraps(method)
+    def call(self, *args, **named):
+        with self.turn:
+            return method(self, *args, **named)
+
+    return call
+
+
 class Store:
     def __init__(self, spark: SparkSession, path: str, config: Config | None = None):
         """Opens or creates. Partial files and runs that the manifest does not name are deleted; runs without a manifest are refused."""
         self.spark, self.config, self.folder = spark, config or Config(), Folder(spark, path)
+        self.turn, self.maintenance = threading.RLock(), None
         names = self.folder.names()
         for n in names:
             if n.endswith(".tmp"):
@@ -43,13 +58,23 @@ class Store:
         self.seq = self.snapshot.last_seq
         if self.logs:
             self.seq = max(self.seq, self.log().agg(F.max("seq")).first()[0] or 0)
-        self.opened_written, self.files_read = self.snapshot.written, 0
+        self.opened_written, self.groups_read, self.commits = self.snapshot.written, 0, 0
 
     def __enter__(self) -> Store:
         return self
 
     def __exit__(self, *_) -> None:
-        """Nothing to save: what was not flushed is in the logs."""
+        self.close()
+
+    def close(self) -> None:
+        """Ends the background loop. There is nothing to save: what was not flushed is in the logs."""
+        if self.maintenance is not None:
+            self.maintenance.close()
+            self.maintenance = None
+
+    def background(self, pause: float = PAUSE) -> None:
+        """Flushes and compacts what is due from now on, beside the writers."""
+        self.maintenance = self.maintenance or Maintenance(self, pause)
 
     def dir(self) -> str:
         return self.folder.path
@@ -60,12 +85,21 @@ class Store:
         return self.next_number - 1
 
     def apply(self, batch: DataFrame, order: list[str] | None = None) -> None:
-        """Appends rows (key, value; null deletes), numbered in the given order or that of arrival. All or nothing."""
+        """Appends rows (key, value; null deletes), numbered in the given order or that of arrival. All or nothing. Reports what the background loop failed on."""
+        if self.maintenance is not None:
+            self.maintenance.report()
+        self._append(batch, order)
+        if self.maintenance is not None:
+            self.maintenance.notify()
+
+    @_in_turn
+    def _append(self, batch: DataFrame, order: list[str] | None) -> None:
         rows = numbered(batch.select(F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"), *(order or [])), self.seq, order).select("key", "seq", "value")
         name = file_name(self._number(), "log")
         rows.write.mode("overwrite").parquet(f"{self.folder.path}/{name}.tmp")
         self.folder.rename(f"{name}.tmp", name)
         self.logs.append(name)
+        self.commits += 1
         self.seq = max(self.seq, self.spark.read.schema(MUTATION).parquet(f"{self.folder.path}/{name}").agg(F.max("seq")).first()[0] or 0)
 
     def set(self, key: bytes, value: bytes) -> None:
@@ -95,20 +129,39 @@ class Store:
     def view(self) -> DataFrame:
         return resolve.live(self.versions())
 
+    def row_groups(self, file: FileMeta, key: bytes, filters: bool = True) -> int:
+        """How many row groups of a run a read of this key opens: those whose statistics and, with filters, Bloom filters let it pass."""
+        jvm = self.spark.sparkContext._jvm
+        parquet, n = jvm.org.apache.parquet, 0
+        value = parquet.io.api.Binary.fromConstantByteArray(key)
+        wanted = parquet.filter2.compat.FilterCompat.get(parquet.filter2.predicate.FilterApi.eq(parquet.filter2.predicate.FilterApi.binaryColumn("key"), value))
+        options = parquet.ParquetReadOptions.builder().withRecordFilter(wanted).useStatsFilter(True).useDictionaryFilter(False).useBloomFilter(filters).build()
+        for part in self.folder.parts(file_name(file.number), ".parquet"):
+            reader = parquet.hadoop.ParquetFileReader.open(parquet.hadoop.util.HadoopInputFile.fromPath(part, self.folder.conf), options)
+            n += reader.getRowGroups().size()
+            reader.close()
+        return n
+
+    @_in_turn
     def get(self, key: bytes) -> bytes | None:
-        """Reads the runs whose range covers the key; the filter, statistics and Bloom filters prune within them."""
-        files = [f for f in self.snapshot.files if f.covers(key)]
-        self.files_read += len(files)
+        """Reads the runs whose range covers the key and whose row groups may hold it; the filter, statistics and Bloom filters prune within them too."""
+        groups = {f: self.row_groups(f, key) for f in self.snapshot.files if f.covers(key)}
+        files = [f for f, n in groups.items() if n]
+        self.groups_read += sum(groups.values())
         row = resolve.get(self.versions(files), key).select("value").first()
         return None if row is None else bytes(row[0])
 
     def lookup(self, requests: DataFrame) -> DataFrame:
         """key, status, value of many keys (column key)."""
-        low, high = requests.agg(F.min("key"), F.max("key")).first()
-        files = [] if low is None else [f for f in self.snapshot.files if f.overlaps(bytes(low), bytes(high))]
-        self.files_read += len(files)
+        files = list(self.snapshot.files)
+        if files:
+            covering = prune.candidates(requests.select("key").distinct(), manifest.files_frame(self.spark, self.snapshot).select("number", "min_key", "max_key"))
+            numbers = {r[0] for r in covering.select("number").distinct().collect()}
+            files = [f for f in files if f.number in numbers]
+        self.groups_read += len(files)
         return resolve.lookup(requests, self.versions(files))
 
+    @_in_turn
     def remove(self, *keys: bytes) -> int:
         """Deletes the keys that are present and says how many were; a key asked for twice counts once."""
         wanted = self.spark.createDataFrame([(k,) for k in dict.fromkeys(keys)], "key binary")
@@ -149,6 +202,12 @@ class Store:
         manifest.store(self.folder, new)
         self.snapshot = new
 
+    def flush_due(self) -> bool:
+        """Whether the logs are as large as a run may be."""
+        with self.turn:
+            return sum(self.folder.size(n) for n in self.logs) >= self.config.memtable_bytes
+
+    @_in_turn
     def flush(self) -> None:
         """The logs become one run of level 0; they go only after the manifest has it."""
         if not self.logs:
@@ -158,15 +217,26 @@ class Store:
             self.folder.delete(n)
         self.logs = []
 
-    wait_for_flush = flush
+    def wait_for_flush(self) -> None:
+        """Until nothing is due; without the background loop, by flushing."""
+        if self.maintenance is None:
+            self.flush()
+        else:
+            self.maintenance.wait()
 
-    def compact_once(self) -> bool:
-        files = manifest.files_frame(self.spark, self.snapshot)
+    def compaction_due(self) -> int | None:
+        """The level most in need of compaction."""
         c = self.config
-        due = compact.plan_level(files, c.l0_trigger, c.level_bytes, c.fanout).first()
-        if due is None:
+        with self.turn:
+            due = compact.plan_level(manifest.files_frame(self.spark, self.snapshot), c.l0_trigger, c.level_bytes, c.fanout).first()
+        return None if due is None else due["level"]
+
+    @_in_turn
+    def compact_once(self) -> bool:
+        level = self.compaction_due()
+        if level is None:
             return False
-        level = due["level"]
+        files = manifest.files_frame(self.spark, self.snapshot)
         numbers = {r[0] for r in compact.inputs_for(files, level).select("number").collect()}
         inputs = [f for f in self.snapshot.files if f.number in numbers]
         merged = compact.merge(self.runs(inputs))
@@ -191,8 +261,12 @@ class Store:
         return self.seq
 
     def block_reads(self) -> int:
-        """Runs opened by reads since the store was opened."""
-        return self.files_read
+        """Row groups that point reads, and runs that lookups, have opened since the store was opened."""
+        return self.groups_read
+
+    def commit_count(self) -> int:
+        """Batches written since the store was opened."""
+        return self.commits
 
     def bytes_written(self) -> int:
         return self.snapshot.written - self.opened_written

@@ -14,6 +14,11 @@ from pyspark.sql.streaming import StreamingQuery
 from stratum.plans.store import Store
 
 
+def logs(spark: SparkSession, path: str, schema, pending_bytes: int = 64 << 10) -> DataFrame:
+    """A folder of Parquet logs as a stream; a micro-batch takes files until it has `pending_bytes`, one at least."""
+    return spark.readStream.schema(schema).option("maxBytesPerTrigger", f"{pending_bytes}b").parquet(path)
+
+
 def latest_stream(log: DataFrame) -> DataFrame:
     """Newest version of each key so far, in update mode: only changed keys come out."""
     return log.groupBy("key").agg(F.max(F.struct("seq", "value")).alias("_v")).select("key", "_v.seq", "_v.value")
