@@ -130,12 +130,13 @@ class Store:
         return resolve.live(self.versions())
 
     def row_groups(self, file: FileMeta, key: bytes, filters: bool = True) -> int:
-        """How many row groups of a run a read of this key opens: those whose statistics and, with filters, Bloom filters let it pass."""
+        """How many row groups of a run a read of this key opens: those whose statistics and, with filters, Bloom filters (or dictionaries, where
+        a column is encoded by them as a whole) let it pass."""
         jvm = self.spark.sparkContext._jvm
         parquet, n = jvm.org.apache.parquet, 0
         value = parquet.io.api.Binary.fromConstantByteArray(key)
         wanted = parquet.filter2.compat.FilterCompat.get(parquet.filter2.predicate.FilterApi.eq(parquet.filter2.predicate.FilterApi.binaryColumn("key"), value))
-        options = parquet.ParquetReadOptions.builder().withRecordFilter(wanted).useStatsFilter(True).useDictionaryFilter(False).useBloomFilter(filters).build()
+        options = parquet.ParquetReadOptions.builder().withRecordFilter(wanted).useStatsFilter(True).useDictionaryFilter(filters).useBloomFilter(filters).build()
         for part in self.folder.parts(file_name(file.number), ".parquet"):
             reader = parquet.hadoop.ParquetFileReader.open(parquet.hadoop.util.HadoopInputFile.fromPath(part, self.folder.conf), options)
             n += reader.getRowGroups().size()
@@ -173,14 +174,14 @@ class Store:
     # ------------------------------------------------------------ flush and compaction
     def _write_runs(self, entries: DataFrame, level: int) -> list[FileMeta]:
         """Sorted runs with Bloom filters on the key, in files of about memtable_bytes that do not overlap: all one run at level 0, a run each below."""
-        total = entries.agg(F.sum(octets("key", "value"))).first()[0]
+        total, count = entries.agg(F.sum(octets("key", "value")), F.count(F.lit(1))).first()
         if total is None:
             return []
         pieces = max(1, -(-int(total) // self.config.memtable_bytes))
         stage = f"{file_name(self._number())}.tmp"
         staged = f"{self.folder.path}/{stage}"
         ranged = entries.repartitionByRange(pieces, "key").sortWithinPartitions("key")
-        options = parquet_options(ndv=max(64, int(total) // pieces // 64))
+        options = parquet_options(ndv=max(64, -(-2 * count // pieces)))  # ranges are sampled, so files differ in size
         stats = [F.min("key").alias("a"), F.max("key").alias("b"), F.count(F.lit(1)).alias("n")]
         if level == 0:
             ranged.write.mode("overwrite").options(**options).parquet(staged)

@@ -16,7 +16,7 @@ from stratum.plans.store import Store
 
 def logs(spark: SparkSession, path: str, schema, pending_bytes: int = 64 << 10) -> DataFrame:
     """A folder of Parquet logs as a stream; a micro-batch takes files until it has `pending_bytes`, one at least."""
-    return spark.readStream.schema(schema).option("maxBytesPerTrigger", f"{pending_bytes}b").parquet(path)
+    return spark.readStream.schema(schema).option("maxBytesPerTrigger", pending_bytes).parquet(path)
 
 
 def latest_stream(log: DataFrame) -> DataFrame:

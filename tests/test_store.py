@@ -111,11 +111,26 @@ def test_commands(spark, path):
     assert run("CONFIG", b"get", b"x") == [] and run("CONFIG", b"set") == Failure("ERR only CONFIG GET is supported") and run("COMMAND", b"docs") == []
     assert len(run("HELLO")) == 12 and run("HELLO", b"3").startswith("NOPROTO") and run("SELECT", b"0") == Simple("OK") and run("SELECT", b"1") == Failure("ERR DB index is out of range")
     assert run("NOPE") == Failure("ERR unknown command 'NOPE', with args beginning with:") and run("QUIT") == Simple("OK")
-    assert b"last_sequence:2\r\n" in run("INFO")
+    assert b"last_sequence:2\r\n" in run("INFO") and s.block_reads() == 0
     out, rest, closed = run_batch(s, b"SET a 1\r\nGET a\r\n*1\r\n:")
     assert out == b"+OK\r\n$1\r\n1\r\n-Protocol error: expected '$', got something else\r\n" and closed
 
 
+def test_background_loop(spark, path):
+    with Store(spark, path, Config(memtable_bytes=1024, l0_trigger=2)) as s:
+        s.background()
+        for r in range(2):
+            put(s, [(b"key:%04d" % i, b"round:%d" % r) for i in range(60)])
+        s.wait_for_flush()
+        assert s.logs == [] and s.table_count() >= 1 and s.commit_count() == 2
+        real, s.flush = s.flush, lambda: (_ for _ in ()).throw(OSError("disk"))
+        put(s, [(b"last", b"x")])
+        with pytest.raises(OSError, match="disk"):
+            s.wait_for_flush()
+        s.flush = real
+    assert state(Store(spark, path)) == {b"key:%04d" % i: b"round:1" for i in range(60)} | {b"last": b"x"}
+
+
 def test_lookup_of_many_keys(spark, path):
     s = Store(spark, path)
     put(s, [(b"a", b"1"), (b"b", b"2")])
