@@ -2,10 +2,13 @@
 
 import re
 
+import tokenizers
+from pyspark.sql import functions as F
+
 import corpus_pipeline as p
 from stratum.llm import decontam, queries
 from tests.llm.conftest import CLASH
-from tests.llm.test_texts import plain_contamination, plain_jaccard, plain_substring
+from tests.llm.test_texts import plain_contamination, plain_jaccard, plain_substring, plain_verdicts
 
 SF = "/root/testdata/sf0.001"
 
@@ -30,7 +33,12 @@ def test_stages_keep_columns_and_follow_their_rules(spark, docs, rows, none, tmp
     assert all(r.n_chars == (len(r.text) if removed[i][1] else len(texts[i] or "")) for i, r in left.items())
     bench = [(r.item_id, r.text) for r in queries.table(spark, SF, "benchmark").collect()]
     clean = {r.doc_id for r in p.benchmark_passages(spark, docs, SF).collect()}
-    assert clean == {i for i, x in plain_contamination(rows, bench).items() if not x[4]}
+    assert clean == {i for i, x in plain_contamination(rows, bench).items() if not x[1]}
+    judged = docs.select("doc_id", "text", "lang", "source").collect()
+    good = {r.doc_id for r, kept in zip(judged, plain_verdicts([(r.text, r.lang, r.source) for r in judged])) if kept}
+    assert {r.doc_id for r in p.quality_rules(spark, docs, SF).collect()} == good and good
+    library = tokenizers.Tokenizer.from_file(queries.tokenizer("word_bpe_49k.json"))
+    assert {r.doc_id: r.ids for r in p.token_ids(spark, docs, SF).collect()} == {i: library.encode(t or "", add_special_tokens=False).ids for i, t in rows}
     assert all(r[c] == "c" for r in left.values() for c in CLASH)
 
 
@@ -47,17 +55,31 @@ def test_planted_cases(spark):
     assert 90_004 not in {r.doc_id for r in p.benchmark_passages(spark, whole, SF).collect()}
 
 
-def test_benchmark_passages_are_cut_out_of_long_documents(spark):
-    docs = queries.table(spark, SF, "documents")
-    item = max((r.text for r in queries.table(spark, SF, "benchmark").collect()), key=len)
+def test_no_benchmark_passage_is_left(spark):
+    docs, bench = queries.table(spark, SF, "documents"), queries.table(spark, SF, "benchmark")
+    item = max((r.text for r in bench.collect()), key=len)
     head, tail = (" ".join(f"{w}{i}" for i in range(900)) for w in ("käse", "end"))
     texts = {1: f"{head}, {item}. {tail}", 2: f"{head} {tail}", 3: None, 4: f"{item} {head} {tail} {head} {item}", 5: f"{item} x"}
-    rows = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in texts.items()] + [(1, texts[1], "en", "s", 0)], docs.schema)
-    got = sorted((r.doc_id, r.text, r.n_chars) for r in p.benchmark_passages(spark, rows, SF).collect())
+    rows = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in texts.items()] + [(1, texts[1], "en", "s", 0), (2, texts[2], "en", "s", 7), (None, texts[1], "en", "s", 0)], docs.schema)
+    left = p.benchmark_passages(spark, rows, SF)
+    assert sorted((r.doc_id, r.text, r.n_chars) for r in left.collect()) == [(2, texts[2], 7), (2, texts[2], len(texts[2])), (3, None, 0)]
+    assert not any(r.n_hit for r in decontam.report(p.benchmark_passages(spark, docs, SF), bench).collect())
+    # The operator can cut passages out as well.
+    found = decontam.contamination(rows.where("doc_id in (1, 4)").distinct(), bench).select(F.col("doc_id").alias("hit"), "starts", "ends")
+    got = decontam.cut(rows.dropDuplicates(["doc_id"]).join(found, F.col("doc_id") == F.col("hit"), "left"), ["doc_id"]).collect()
     flat = lambda t: [x for x in re.split("[^0-9a-zA-Z\x80-\U0010ffff]+", t or "") if x]
-    assert [(i, flat(t)) for i, t, _ in got] == [(1, flat(texts[2])), (1, flat(texts[2])), (2, flat(texts[2])), (3, []), (4, flat(f"{head} {tail} {head}"))]
-    assert all(n == len(t or "") for _, t, n in got) and got[2][1] == texts[2] and got[3][1] is None
-    assert not any(r.n_hit for r in decontam.report(p.benchmark_passages(spark, rows, SF), queries.table(spark, SF, "benchmark")).collect())
+    assert {r.doc_id: flat(r.d_text) for r in got if r.doc_id in (1, 2, 3, 4)} == {1: flat(texts[2]), 2: flat(texts[2]), 3: [], 4: flat(f"{head} {tail} {head}")}
+
+
+def test_repeated_rows_and_null_ids_go_through_all_stages(spark, tmp_path):
+    docs = queries.table(spark, SF, "documents")
+    some = docs.limit(40).collect()
+    extra = [(None, *r[1:]) for r in some[:5]] + [tuple(r) for r in some[:5]] + [(None, None, None, None, None)]
+    (tmp_path / "sf").mkdir()
+    docs.union(spark.createDataFrame(extra, docs.schema)).write.parquet(f"{tmp_path}/sf/documents.parquet")
+    queries.table(spark, SF, "benchmark").write.parquet(f"{tmp_path}/sf/benchmark.parquet")
+    got = p.run(spark, f"{tmp_path}/sf").collect()
+    assert len(got) > 20 and len({r.ids_sha256 for r in got}) == len(got)
 
 
 def test_the_whole(spark):
