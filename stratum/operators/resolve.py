@@ -11,6 +11,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stratum.plans.model import DELETED, FOUND, MISSING
+from stratum.sources.mutations import numbered
+
+ARRIVALS = 1 << 20  # rows of a block
 
 
 def latest(log: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -40,10 +43,15 @@ def get(log: DataFrame, key) -> DataFrame:
     return live(log.where(F.col("key") == F.lit(key)))
 
 
-def was_newest(log: DataFrame, *arrival: Column) -> DataFrame:
-    """Whether each row was the newest of its key when it arrived."""
-    seen = W.partitionBy("key").orderBy(*arrival).rowsBetween(W.unboundedPreceding, -1)
-    return log.withColumn("newest", F.coalesce(F.col("seq") > F.max("seq").over(seen), F.lit(True)))
+def was_newest(log: DataFrame, *arrival: Column, block: int = ARRIVALS) -> DataFrame:
+    """Whether each row was the newest of its key when it arrived. The arrivals of a key are taken in blocks, and only the greatest number of each block meets
+    the others, so a key with most of the rows is spread over tasks. Rows must differ in `arrival`."""
+    placed = numbered(log.withColumnRenamed("seq", "_seq"), 0, list(arrival)).withColumnsRenamed({"seq": "_n", "_seq": "seq"}).withColumn("_b", F.expr(f"_n div {block}"))
+    tops = placed.groupBy("key", "_b").agg(F.max("seq").alias("_top"))
+    before = tops.select("key", "_b", F.max("_top").over(W.partitionBy("key").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)).alias("_before"))
+    seen = F.max("seq").over(W.partitionBy("key", "_b").orderBy("_n").rowsBetween(W.unboundedPreceding, -1))
+    joined = placed.withColumn("_seen", seen).join(before, ["key", "_b"])
+    return joined.select(*log.columns, F.coalesce(F.col("seq") > F.greatest("_seen", "_before"), F.lit(True)).alias("newest"))
 
 
 def octets(*names: str) -> Column:

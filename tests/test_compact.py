@@ -47,7 +47,7 @@ def test_range_join_by_slots_equals_the_broadcast(spark, monkeypatch):
         monkeypatch.setattr(prune, "BROADCAST_FILES", 20_000)
         want = sorted(map(str, prune.candidates(keys, f, how).collect()))
         monkeypatch.setattr(prune, "BROADCAST_FILES", 3)
-        monkeypatch.setattr(prune, "SLOT_FILES", 20)
+        monkeypatch.setattr(prune, "SLOTS", 20)
         assert sorted(map(str, prune.candidates(keys, f, how).collect())) == want
 
 

@@ -65,8 +65,9 @@ def test_lookup_tells_deleted_from_missing(spark):
 def test_was_newest_follows_arrival(spark):
     arrived = [(b"k", 3, b"", 0), (b"k", 1, b"", 1), (b"k", 4, b"", 2), (b"j", 2, b"", 3)]
     df = spark.createDataFrame(arrived, LOG + ", at int")
-    got = {r.at: r.newest for r in resolve.was_newest(df, F.col("at")).collect()}
-    assert got == {0: True, 1: False, 2: True, 3: True}
+    for block in (1, 2, 100):
+        got = {r.at: r.newest for r in resolve.was_newest(df, F.col("at"), block=block).collect()}
+        assert got == {0: True, 1: False, 2: True, 3: True}
 
 
 def test_scan_is_in_byte_order(spark):
