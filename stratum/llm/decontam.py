@@ -7,7 +7,7 @@ lists of a phrase by the terms' offsets and intersects them from the rarest on.
 matches; with a slop, the places near enough (proximity matches): a phrase is near the place of its rarest term where each other term
 has a place at most `slop` words from its own, in the same document.
 
-A term is two independent 64-bit hashes of the word's bytes.
+A term is two independent hashes of the word's bytes, of 64 and 32 bits.
 
 Scale: one pass over the texts, no shuffle of texts; a hot term has a list in each block and none is longer than its block.
 The phrases come to the executors in chunks of at most CHUNK_BYTES of benchmark text, a pass of the index each; the driver holds one
@@ -44,7 +44,8 @@ BREAKS[0x80:] = False
 def _terms(body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Both hashes of each word, and the first word of each text."""
     starts, ends, doc_words = word_spans(body, at, BREAKS)
-    return *word_hashes(body, starts, ends, 3, 4, lower=True), doc_words
+    terms, checks = word_hashes(body, starts, ends, 3, 4, lower=True)
+    return terms, checks.astype(np.uint32), doc_words
 
 
 def _order(terms: np.ndarray, checks: np.ndarray) -> np.ndarray:
@@ -95,13 +96,13 @@ def build_index(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text:
             for a, b in zip(edge[:-1], edge[1:], strict=True):
                 first, last = (head[a] if a < len(head) else len(places)), (head[b] if b < len(head) else len(places))
                 rows["terms"].append(keys[a:b].astype("<u8").tobytes())
-                rows["checks"].append(its[a:b].astype("<u8").tobytes())
+                rows["checks"].append(its[a:b].astype("<u4").tobytes())
                 rows["counts"].append(count[a:b].astype("<i4").tobytes())
                 rows["places"].append(places[first:last].tobytes())
             yield pa.RecordBatch.from_pydict(rows, INDEX)
             block += 1
 
-    return scratch.save(docs.select(long_id(docs, doc_id).alias("d_id"), F.col(text).alias("d_text")).mapInArrow(run, INDEX_SQL), "index", **{"parquet.block.size": ROW_GROUP_BYTES})
+    return scratch.save(docs.select(long_id(docs, doc_id).alias("d_id"), F.col(text).alias("d_text")).mapInArrow(run, INDEX_SQL), "index", **{"parquet.block.size": ROW_GROUP_BYTES, "compression": "zstd"})
 
 
 def phrases_of(items: list[tuple[str, str]], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -150,7 +151,7 @@ def term_counts(index: DataFrame, terms: np.ndarray, checks: np.ndarray) -> np.n
 
     def run(batches):
         for b in batches:
-            keys, its, n = (np.concatenate([np.frombuffer(x, t) for x in b.column(i).to_pylist()] or [np.zeros(0, t)]) for i, t in enumerate(("<u8", "<u8", "<i4")))
+            keys, its, n = (np.concatenate([np.frombuffer(x, t) for x in b.column(i).to_pylist()] or [np.zeros(0, t)]) for i, t in enumerate(("<u8", "<u4", "<i4")))
             k, hit = _find(terms, checks, keys, its)
             sums = np.bincount(k[hit], n[hit], len(terms)).astype(np.int64)
             some = np.flatnonzero(sums)
@@ -190,7 +191,7 @@ def search(index: DataFrame, items: list[tuple[str, str]], window: int = WINDOW,
                     yield pa.RecordBatch.from_arrays([row.column(k) for k in (0, 1, 3, 4, 5, 6)], schema=schema)
                     continue
                 n = np.frombuffer(counts, "<i4")
-                k, keep = _find(vocabulary, checks, np.frombuffer(terms, "<u8"), np.frombuffer(its, "<u8"))
+                k, keep = _find(vocabulary, checks, np.frombuffer(terms, "<u8"), np.frombuffer(its, "<u4"))
                 if keep.any():
                     mine = np.frombuffer(places, "<i4")[np.repeat(keep, n)]
                     cells = [row.column(0), *(pa.array([x.tobytes()], pa.binary()) for x in (k[keep].astype("<i4"), n[keep], mine)), row.column(5), row.column(6)]

@@ -315,9 +315,10 @@ def plain_roots(edges):
     return {x: find(x) for x in root}
 
 
-@pytest.mark.parametrize("hubs", [1, 4, 4096])
-def test_components_of_hubs_and_chains(spark, monkeypatch, hubs):
+@pytest.mark.parametrize("hubs, edges", [(4, 0), (4096, 0), (4, 50_000)])
+def test_components_of_hubs_and_chains(spark, monkeypatch, hubs, edges):
     monkeypatch.setattr(components, "HUBS", hubs)
+    monkeypatch.setattr(components, "HUB_EDGES", edges)
     r = np.random.default_rng(3)
     big = 1 << 62  # ids whose sums overflow
     edges = [(big + 5, big + k) for k in range(6, 300)] + [(-big - k, -big - k - 1) for k in range(40)] + [(int(a), int(b)) for a, b in r.integers(0, 80, (60, 2)) if a != b] + [(big + 5, big + 7)] * 3
