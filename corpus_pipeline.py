@@ -43,7 +43,8 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Documents without any benchmark passage: one window of an item is enough for a document to go."""
     key = F.xxhash64("doc_id", "text")
     found = decontam.contamination(docs.select(key.alias("key"), "text"), table(spark, sf_dir, "benchmark"), doc_id="key").where(F.size("starts") > 0)
-    found = found.select(F.col("doc_id").alias("hit")).distinct()
+    # As a table, so that Spark knows its size: the documents are shuffled only if the hits are too many to be broadcast.
+    found = Scratch(spark, "hits").save(found.select(F.col("doc_id").alias("hit")).distinct(), "hits")
     rows = docs.select(F.struct(*docs.columns).alias("row"), key.alias("key"))
     return rows.join(found, rows["key"] == found["hit"], "left_anti").select("row.*")
 
