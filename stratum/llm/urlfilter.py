@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 SHORT = 8  # hex digits of the join key
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -48,8 +50,12 @@ def judge(pages: DataFrame, rules: DataFrame, keep: list[str], url: str = "url",
     hits = expanded.withColumn("short", F.substring("digest", 1, SHORT)).join(known, F.col("short") == F.col("r_short")).where((F.col("digest") == F.col("r_digest")) & (F.col("eh") == F.col("r_host")) & (F.col("ep") == F.col("r_path")))
     rank = F.struct((F.length("r_host") + F.length("r_path")).alias("n"), F.length("r_host").alias("h"), "r_host", "r_path", "r_action")
     best = hits.groupBy(F.col("u_url").alias("b_url")).agg(F.max(rank).alias("b"))
+    # As a table, so that Spark broadcasts it if it is small and can split the rows of a common URL if it is not.
+    best = Scratch(pages.sparkSession, "urls").save(best, "best")
     host, path = parts("u_url")
     rows = pages.select(*[F.col(c).alias(f"u_keep{i}") for i, c in enumerate(keep)], F.col(url).alias("u_url"))
-    return rows.join(best, F.col("u_url") == F.col("b_url"), "left").select(
+    known = rows.where("u_url is not null").join(best, F.col("u_url") == F.col("b_url"), "left")
+    none = rows.where("u_url is null").withColumns({c.name: F.lit(None).cast(c.dataType) for c in best.schema})  # these meet nothing
+    return known.unionByName(none).select(
         *[F.col(f"u_keep{i}").alias(c) for i, c in enumerate(keep)], host.alias("u_host"), path.alias("u_path"), F.concat("b.r_host", "b.r_path").alias("u_rule"), F.coalesce("b.r_action", F.lit(default)).alias("u_verdict")
     )
