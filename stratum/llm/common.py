@@ -46,10 +46,20 @@ class Scratch:
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 
+    def _reach(self, path: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
     def drop(self, name: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        fs, path = self._reach(self.path(name))
+        fs.delete(path, True)
+
+    def only(self, name: str) -> None:
+        """Deletes all tables but this one, once nothing reads them any more."""
+        fs, root = self._reach(self.root)
+        for found in fs.listStatus(root):
+            if found.getPath().getName() != name:
+                fs.delete(found.getPath(), True)
 
 
 def long_id(df: DataFrame, name: str) -> Column:

@@ -316,6 +316,7 @@ def _known(docs: DataFrame, doc_id: str, text: str, size: int, num: int, den: in
     """doc, tie, n, root, is_first."""
     scratch = Scratch(docs.sparkSession, "jaccard")
     found = scratch.save(clusters(keyed(docs, doc_id, text), scratch, size, num, den), "found")
+    scratch.only("found")
     # The first row of a component is found by its own key, so a component of any size is no hot key.
     lead = found.where("n > 0").groupBy("root").agg(F.min(F.struct("doc", "tie")).alias("lead")).select(F.col("lead.doc").alias("doc"), F.col("lead.tie").alias("tie"), F.lit(True).alias("leads"))
     return found.join(lead, ["doc", "tie"], "left").select("doc", "tie", "n", "root", ((F.col("n") == 0) | F.coalesce("leads", F.lit(False))).alias("is_first"))

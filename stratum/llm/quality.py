@@ -137,6 +137,7 @@ def judge(df: DataFrame, keep: list[str], text: str = "text", lang: str = "lang"
     rows = scratch.save(rows, "measures")  # read twice instead of measuring twice
     # One row for each group. Spark broadcasts the table only if its files are small enough, and then the documents are not shuffled.
     bounds = scratch.save(thresholds(rows.where(~F.col("q_base_failed")), f"q_keep{n}", f"q_keep{n + 1}", scratch), "bounds")
+    scratch.drop("sketches")
     within = F.lit(True)
     for m in MEASURES:
         within &= F.coalesce(F.col(m).cast("double").between(F.col(f"lo_{m}"), F.col(f"hi_{m}")), F.lit(True))

@@ -177,7 +177,9 @@ def removed_ranges(docs: DataFrame, scratch: Scratch, window: int = WINDOW, seed
     windows = texts.mapInArrow(_extend_rows(window), "w long, v long, doc long, tie long, start int")
     later = windows.repartition("w").sortWithinPartitions("w", "v", "doc", "tie", "start").mapInArrow(map_runs(_later, GONE), "doc long, tie long, first int, last int")
     gone = met.where("kind = 1").select("doc", "tie", "first", "last").union(later)
-    return scratch.save(gone.groupBy("doc", "tie").agg(F.collect_list(F.struct("first", "last")).alias("gone")), "gone")
+    gone = scratch.save(gone.groupBy("doc", "tie").agg(F.collect_list(F.struct("first", "last")).alias("gone")), "gone")
+    scratch.only("gone")
+    return gone
 
 
 def keyed(docs: DataFrame, doc_id: str, text: str, keep: list[str] | None = None) -> DataFrame:

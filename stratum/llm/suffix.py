@@ -280,7 +280,9 @@ def repeated_ranges(docs: DataFrame, scratch: Scratch, length: int = LENGTH, see
     strings = texts(hot_parts).mapInArrow(_strings(length), _ddl(STRINGS)).repartition("w").sortWithinPartitions("w", "v")
     again = strings.mapInArrow(map_runs(_again, RANGES), _ddl(RANGES))
     gone = whole.union(parts).union(sorted_).union(again)
-    return scratch.save(gone.groupBy("doc", "tie").agg(F.collect_list(F.struct("first", "last")).alias("gone")), "gone")
+    gone = scratch.save(gone.groupBy("doc", "tie").agg(F.collect_list(F.struct("first", "last")).alias("gone")), "gone")
+    scratch.only("gone")
+    return gone
 
 
 def strip(docs: DataFrame, keep: list[str], doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, seed: int = SEED, with_bytes: bool = False) -> DataFrame:
