@@ -35,7 +35,7 @@ NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # of URLs
 GZIP, NOTHING = b"\x1f\x8b", bytes.fromhex("1f8b08000000000000030300") + bytes(8)
 
 BUNDLE_BYTES, PER_FILE = 4 << 20, 4
-CHUNK = 1 << 20  # bytes that are decompressed at once
+CHUNK, FEED = 1 << 20, 1 << 13  # bytes that a step of decompression gives at most, and takes
 HELD_BYTES = 4 << 20  # records that are handed on at once
 
 # Each of these looks at a character once: tags hold no other "<", and what an element is closed by is looked for once.
@@ -57,7 +57,8 @@ def record_id(*parts: str) -> str:
 
 def record(kind: str, name: str, headers: list[tuple[str, str]], block: bytes) -> bytes:
     """One record, without the two line ends that follow it."""
-    clean = [("WARC-Type", kind), ("WARC-Record-ID", name), *[(k, re.sub(r"[\r\n]+", " ", v)) for k, v in headers], ("WARC-Block-Digest", digest(block)), ("Content-Length", str(len(block)))]
+    line = lambda v: re.sub(r"[\r\n]+", " ", v) if "\n" in v or "\r" in v else v
+    clean = [("WARC-Type", kind), ("WARC-Record-ID", name), *[(k, line(v)) for k, v in headers], ("WARC-Block-Digest", digest(block)), ("Content-Length", str(len(block)))]
     return VERSION + b"\r\n" + b"".join(f"{k}: {v}\r\n".encode() for k, v in clean) + b"\r\n" + block
 
 
@@ -69,15 +70,17 @@ def _chunks(data: bytes) -> Iterator[tuple[int | None, bytes]]:
     at = 0
     while data[at : at + 2] == GZIP:
         member, start = zlib.decompressobj(31), at
-        rest = memoryview(data)[at:]
-        while not member.eof and len(rest):
-            part = member.decompress(rest, CHUNK)
-            used = len(rest) - len(member.unconsumed_tail) - len(member.unused_data)
-            rest, at = rest[used:], at + used
-            yield start, part
-            start = None
-            if not part and not used:
-                break
+        while not member.eof and at < len(data):
+            # Little at a time, as the library copies what follows the member.
+            feed = data[at : at + FEED]
+            part = member.decompress(feed, CHUNK)
+            used = len(feed) - len(member.unused_data if member.eof else member.unconsumed_tail)
+            at += used
+            if part or member.eof:
+                yield start, part
+                start = None
+            elif not used:
+                return
         if not member.eof:
             return
 
@@ -149,7 +152,9 @@ def links_of(markup: str) -> Iterator[str]:
 
 def plain_text(markup: str) -> str:
     """Text of visible markup: blocks on lines of their own, white space collapsed, entities resolved."""
-    bare = html_.unescape(_TAG.sub(lambda m: "\n" if m[1] else "", markup))
+    parts = _TAG.split(markup)
+    parts[1::2] = ["\n" if block else "" for block in parts[1::2]]
+    bare = html_.unescape("".join(parts))
     lines = (" ".join(x.split()) for x in bare.split("\n"))
     return "\n".join(x for x in lines if x)
 
@@ -176,7 +181,7 @@ def bundles(made: Iterator[bytes]) -> Iterator[bytes]:
     """Records as gzip members, many together, without the last byte, which is 0: the writer puts it between bundles."""
     held, n = [], 0
     for x in made:
-        member = zlib.compressobj(1, zlib.DEFLATED, 31)
+        member = zlib.compressobj(1, zlib.DEFLATED, 16 + 14, 7)  # a small window: records are small, and each begins anew
         held.append(member.compress(x) + member.compress(END) + member.flush())
         n += len(held[-1])
         if n >= BUNDLE_BYTES:
@@ -201,8 +206,9 @@ def _write(rows: DataFrame, make, to: str) -> None:
 def write_responses(pages: DataFrame, to: str, page_id: str = "page_id", url: str = "url", html: str = "html") -> None:
     def make(batches):
         for b in batches:
-            for i in range(b.num_rows):
-                yield response(*(c[i].as_py() for c in b.columns))
+            for i in range(0, b.num_rows, 64):
+                for row in zip(*(c.to_pylist() for c in b.slice(i, 64).columns), strict=True):
+                    yield response(*row)
 
     _write(pages.select(F.col(page_id).alias("p"), F.col(url).alias("u"), F.col(html).alias("h")), make, to)
 
