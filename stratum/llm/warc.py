@@ -42,7 +42,7 @@ HELD_BYTES = 4 << 20  # records that are handed on at once
 _OPEN = re.compile(r"(?i)<!--|<!doctype[^<>]*>|<(script|style|noscript|template|head)\b[^<>]*>")
 _CLOSE = {k: re.compile(rf"(?i)</{k}\s*>") for k in ("script", "style", "noscript", "template", "head", "title")} | {"<!--": re.compile("-->")}
 _TAG = re.compile(r"(?i)<(?:/?(p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|header|footer|nav|main|blockquote|pre)\b)?[^<>]*>")
-_BLANKS = re.compile(r"[^\S\n]+")
+_BLANKS = re.compile(r"[^\S\n ][^\S\n]*| [^\S\n]+")  # all but single spaces
 _TITLE = re.compile(r"(?i)<title\b[^<>]*>")
 _LINK = re.compile(r"(?i)<a\b[^<>]*>")
 _HREF = re.compile(r"""(?i)\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""")
