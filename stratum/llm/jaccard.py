@@ -2,9 +2,9 @@
 
 The n-grams of all documents have one global order (that of their hashes), which is cut into F fragments. Two sets whose
 Jaccard similarity reaches the threshold differ in at most d elements, so with F > d at least one fragment of both is equal:
-documents meet on equal fragments (F grows with the size of the set; a set near a step takes part in both). Each run of meeting sets
-is tied to its first one, and the ties' connected components bound the verification. There the overlaps are counted fragment by
-fragment, each on its own, and summed for each pair.
+documents meet on equal fragments (F grows with the size of the set in steps of about 1.4, so that it is little over d and fragments are long; a set
+near a step takes part in the next one too, to meet larger sets only). Each run of meeting sets is tied to its first one, and the ties' connected components
+bound the verification. There the overlaps are counted fragment by fragment, each on its own, and summed for each pair.
 
 N-grams of passages that many documents share would tie documents that are not similar. So the fragments leave out the heavy n-grams (those
 in LOCAL of the documents that a task gathers at once, at most HEAVY of them, one fixed set for the run): what is left of two similar sets differs in at most d
@@ -14,8 +14,10 @@ the result does not depend on which n-grams are heavy.
 
 Scale: identical sets are one class from the start. The fragments' rows are about a sixth of the n-grams at 0.9 (a half at 0.8), equal
 rows of a block collapsed. No pairs are emitted: a run of any length is passed in constant memory. A component is verified in
-blocks of about BLOCK_GRAMS n-grams and BLOCK_SETS sets, each pair of blocks a unit of its own, which emits a spanning forest of the true links. The heavy n-grams
-are the only thing sent to the executors, 8 bytes each.
+blocks of about BLOCK_GRAMS n-grams and BLOCK_SETS sets, each pair of blocks a unit of its own, which emits a spanning forest of the true links. A set is sent once
+for each block of its component, so chance ties (documents that share a passage, which shares a fragment now and then) must not grow into components
+of the whole corpus: sets of components of several blocks meet again, each with those of its component, under other global orders of the n-grams. Similar sets meet
+under every order, others only by chance. The heavy n-grams are the only thing sent to the executors, 8 bytes each.
 
 Defined results: null and empty texts have an empty set and no links, and are components of their own; rows with equal ids are one node, which has the links of
 all of them; a null id is the least; other columns do not matter.
@@ -37,10 +39,13 @@ from .substring import keyed
 BLOCK_GRAMS, BLOCK_SETS = 600_000, 500
 LOCAL, GATHER = 3, 4_000_000  # documents that share an n-gram, among those that a task gathers at once: so many n-grams
 HEAVY = 500_000
+ORDERS, LESS = 6, 0.75  # times that sets of large components meet again at most, and while that leaves less than this share of the copies to send
 COLUMNS = 2048  # n-grams whose overlaps are counted at once
+FRAGMENTS = np.ceil(2.0 ** (np.arange(4, 61) / 2)).astype(np.int64)
 _SECOND = np.uint64(0xA0761D6478BD642F)
 _PREFIX = np.uint64(0xE7037ED1A0B428DB)
 _WHOLE = np.uint64(1 << 62)
+_ORDER = 0x8EBC6AF09C88C6E3
 
 
 def grams_of(body: np.ndarray, at: np.ndarray, size: int, other: bool = False) -> tuple[np.ndarray, ...]:
@@ -74,11 +79,11 @@ def grams_of(body: np.ndarray, at: np.ndarray, size: int, other: bool = False) -
     return grams[0][keep], offsets, *(g[keep] for g in grams[1:])
 
 
-def fragments_for(n: np.ndarray, num: int, den: int) -> np.ndarray:
-    """log2 of the number of fragments for pairs whose larger set has n elements: a power of two that leaves some more equal fragments than
+def level_for(n: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The level of pairs whose larger set has n elements: at level k a set is cut into FRAGMENTS[k - 1], which leaves some more equal fragments than
     the greatest difference d needs, so that a few empty ones do no harm; 0 where only equal sets are similar."""
     d = (den - num) * 2 * n // (den + num)
-    return np.where(d > 0, np.ceil(np.log2(d + 1.0 + np.maximum(2, d // 8))), 0).astype(np.int64)
+    return np.where(d > 0, np.searchsorted(FRAGMENTS, d + 1 + np.maximum(2, d // 8)) + 1, 0)
 
 
 def set_key(grams: np.ndarray, edge: np.ndarray) -> np.ndarray:
@@ -91,36 +96,45 @@ def set_key(grams: np.ndarray, edge: np.ndarray) -> np.ndarray:
     return mix(sums ^ n.astype(np.uint64))
 
 
-def _fragments(grams: np.ndarray, doc: np.ndarray, bits: np.ndarray, salt: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+def _fragments(grams: np.ndarray, doc: np.ndarray, level: np.ndarray, salt: np.uint64) -> tuple[np.ndarray, np.ndarray]:
     """(signature, set) of the filled fragments; grams sorted within each set."""
     if not len(grams):
         return grams, doc
-    fragment = grams >> (np.uint64(64) - bits[doc].astype(np.uint64))
+    fragment = (grams >> np.uint64(32)) * FRAGMENTS[level - 1].astype(np.uint64)[doc] >> np.uint64(32)
     head = np.flatnonzero(np.r_[True, (fragment[1:] != fragment[:-1]) | (doc[1:] != doc[:-1])])
     d = doc[head]
-    return mix(np.add.reduceat(mix(grams), head) ^ mix((fragment[head] + (bits[d].astype(np.uint64) << np.uint64(40))) ^ salt)), d
+    return mix(np.add.reduceat(mix(grams), head) ^ mix((fragment[head] + (level[d].astype(np.uint64) << np.uint64(40))) ^ salt)), d
 
 
-def signatures(grams: np.ndarray, edge: np.ndarray, num: int, den: int, heavy: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def signatures(grams: np.ndarray, edge: np.ndarray, num: int, den: int, heavy: np.ndarray | None = None, order: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(signature, number of the set): two sets of the block or of any other that reach num/den share a signature, if they are not equal.
 
-    heavy: sorted n-grams to leave out where that is safe.
+    heavy: sorted n-grams to leave out where that is safe; order: number of the global order of the n-grams.
     """
+    return levelled(grams, edge, num, den, heavy, order)[:2]
+
+
+def levelled(grams: np.ndarray, edge: np.ndarray, num: int, den: int, heavy: np.ndarray | None = None, order: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """signatures(), and whether each is of the set's own level: that of the larger set is, where two similar sets share a signature."""
     n = np.diff(edge)
-    own, most = fragments_for(n, num, den), fragments_for(n * den // num, num, den)
+    own, most = level_for(n, num, den), level_for(n * den // num, num, den)
     doc = np.repeat(np.arange(len(n)), n)
     light = np.ones(len(grams), bool)
     if heavy is not None and len(heavy):
         light = heavy[np.minimum(np.searchsorted(heavy, grams), len(heavy) - 1)] != grams
-    sigs, sets = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    if order:
+        grams = mix(grams + np.uint64(order * _ORDER & (1 << 64) - 1))
+        by = np.lexsort((grams, doc))
+        grams, light = grams[by], light[by]
+    sigs, sets, owns = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
     for step in range(int((most - own).max()) + 1 if len(n) else 0):
-        bits = own + step
-        left = (bits <= most) & (bits > 0) & (n > 0)
+        level = own + step
+        left = (level <= most) & (level > 0) & (n > 0)
         # Two sets of this number of fragments differ in so many at most; as many empty ones, and one more, may be equal without meaning it.
-        differ = np.minimum((den - num) * (n + n * den // num) // (den + num), (1 << np.maximum(bits, 0)) - 3)
+        differ = np.minimum((den - num) * (n + n * den // num) // (den + num), FRAGMENTS[np.maximum(level, 1) - 1] - 3)
         for salt, part in ((np.uint64(0), light), (_WHOLE, None)):
             at = np.flatnonzero(left[doc] if part is None else left[doc] & part)
-            sig, which = _fragments(grams[at], doc[at], bits, salt)
+            sig, which = _fragments(grams[at], doc[at], level, salt)
             sigs.append(sig)
             sets.append(which)
             left = left & (np.bincount(which, minlength=len(n)) <= differ)
@@ -133,7 +147,8 @@ def signatures(grams: np.ndarray, edge: np.ndarray, num: int, den: int, heavy: n
             place = at[np.repeat(skip, size) + np.arange(size.sum()) - np.repeat(np.r_[0, np.cumsum(size)[:-1]], size)]
             sigs.append(mix(grams[place] ^ _PREFIX))
             sets.append(np.repeat(weak, size))
-    return np.concatenate(sigs), np.concatenate(sets)
+        owns.append(np.full(sum(map(len, sigs)) - sum(map(len, owns)), step == 0))
+    return np.concatenate(sigs), np.concatenate(sets), np.concatenate(owns)
 
 
 SETS = pa.schema([("doc", pa.int64()), ("tie", pa.int64()), ("n", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
@@ -179,24 +194,47 @@ def _marks(often: np.ndarray) -> dict[str, np.ndarray]:
     return {"doc": none, "tie": none, "n": none - 1, "a": signed(often), "b": none}
 
 
-def _signatures(size: int, num: int, den: int, heavy: np.ndarray):
+def _signatures(size: int, num: int, den: int, heavy: np.ndarray, order: int = 0):
+    """(text), or with an order (text, root) -> signatures, those of a root apart from others'; even where they are of the set's own level."""
+
     def run(batches):
-        for _, body, at in slices(batches, "text"):
+        for part, body, at in slices(batches, "text"):
             grams, edge = grams_of(body, at, size)
             a = set_key(grams, edge)
             _, one = np.unique(a, return_index=True)  # one of each class of the block
             keep = np.zeros(len(a), bool)
             keep[one] = True
-            sig, which = signatures(grams, edge, num, den, heavy)
+            sig, which, own = levelled(grams, edge, num, den, heavy, order)
+            if order:
+                root = part.column(part.schema.get_field_index("root")).to_numpy().view(np.uint64)
+                sig = mix(sig ^ mix(root + np.uint64(_ORDER))[which])
+            sig = sig & ~np.uint64(1) | (~own).astype(np.uint64)
             keep = keep[which]
             yield {"sig": signed(sig[keep]), "a": signed(a[which[keep]])}
 
     return map_runs(run, SIGS)
 
 
+def _own_runs(batches):
+    """The runs of rows (signature, member) that begin with a member of that level: others have no larger set of a similar pair. Without the mark of the level."""
+    last, good = None, False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sig, member = (c.to_numpy() for c in batch.columns[:2])
+        key = sig >> 1
+        start = np.maximum.accumulate(np.where(np.r_[True, key[1:] != key[:-1]], np.arange(len(key)), 0))
+        fine = sig[start] & 1 == 0
+        if last is not None and key[0] == last:
+            fine[start == 0] = good
+        last, good = key[-1], bool(fine[-1])
+        if fine.any():
+            yield pa.RecordBatch.from_arrays([pa.array(key[fine]), pa.array(member[fine])], ["sig", "a"])
+
+
 def _meet(batches):
     """Ties every member of a run of equal signatures to the run's first."""
-    for _, member, lead in first_of_run(batches):
+    for _, member, lead in first_of_run(_own_runs(batches)):
         other = member != lead
         pairs = np.unique(np.stack([lead[other], member[other]], 1), axis=0)
         yield {"a": pairs[:, 0], "b": pairs[:, 1]}
@@ -290,19 +328,39 @@ def clusters(docs: DataFrame, scratch: Scratch, size: int = 3, num: int = 90, de
     classes = sets.where("n > 0").groupBy("n", "a", "b").agg(F.min(F.struct("doc", "tie")).alias("least")).select("n", "a", "b", F.col("least.doc").alias("rep"), F.col("least.tie").alias("rep_tie"))
     classes = scratch.save(classes, "classes")  # a plain table, so that Spark can split the rows of a class of many copies when they join it
 
-    sigs = docs.mapInArrow(_signatures(size, num, den, heavy), "sig long, a long")
-    ties = sigs.repartition("sig").sortWithinPartitions("sig", "a").mapInArrow(map_runs(_meet, EDGES), "a long, b long")
-    near = components(ties, scratch, "near")
-    del sigs, ties
-    scratch.free()
+    def met(texts: DataFrame, name: str, order: int = 0) -> DataFrame:
+        sigs = texts.mapInArrow(_signatures(size, num, den, heavy, order), "sig long, a long")
+        ties = sigs.repartition(F.shiftright("sig", 1)).sortWithinPartitions("sig", "a").mapInArrow(map_runs(_meet, EDGES), "a long, b long")
+        return components(ties, scratch, name)
+
+    def loads(member: DataFrame) -> DataFrame:
+        return member.groupBy("root").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_GRAMS), F.ceil(F.count(F.lit(1)) / BLOCK_SETS)).cast("int").alias("blocks"), F.count(F.lit(1)).alias("m")).where("m > 1")
 
-    member = classes.join(near, classes["a"] == near["node"]).select("rep", "rep_tie", "a", "root", "n")
-    load = member.groupBy("root").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_GRAMS), F.ceil(F.count(F.lit(1)) / BLOCK_SETS)).cast("int").alias("blocks"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    member = member.join(load, "root").withColumn("block", F.pmod(F.xxhash64("rep", "rep_tie"), F.col("blocks")).cast("int"))
+    near = met(docs, "near")
+    scratch.free()
+    cols = ["rep", "rep_tie", "a", "n", "root"]
+    member = scratch.save(classes.join(near, classes["a"] == near["node"]).select(*cols), "member")
+    wanted = member.select("rep", "rep_tie", "a")
+    held = scratch.save(wanted.hint("merge").join(docs, (wanted["rep"] == docs["doc"]) & (wanted["rep_tie"] == docs["tie"])).select("rep", "rep_tie", "a", "text"), "texts")
+    scratch.free()
+    sent, order = None, 0
+    while order < ORDERS:
+        large = loads(member).where("blocks > 1").select("root", "blocks", "m")
+        now = large.agg(F.sum(F.col("m") * F.col("blocks"))).first()[0] or 0
+        if not now or (sent is not None and now > LESS * sent):
+            break
+        sent, order = now, order + 1
+        among = member.join(large.select("root"), "root", "left_semi").select(*cols)
+        found = met(held.join(among.select("rep", "rep_tie", "root"), ["rep", "rep_tie"]).select("text", "root"), f"near{order}-", order).withColumnRenamed("root", "to")
+        finer = among.join(found, among["a"] == found["node"]).select("rep", "rep_tie", "a", "n", F.col("to").alias("root"))
+        member = scratch.save(member.join(large.select("root"), "root", "left_anti").select(*cols).union(finer), f"member{order}")
+        scratch.free()
+
+    member = member.join(loads(member), "root").withColumn("block", F.pmod(F.xxhash64("rep", "rep_tie"), F.col("blocks")).cast("int"))
     # Each block meets every block of its component, itself included: unit (least, greatest).
     units = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("rep", "rep_tie", F.xxhash64("root", F.least("block", "other"), F.greatest("block", "other")).alias("unit"))
     units = scratch.save(units, "units")
-    texts = units.hint("merge").join(docs, (units["rep"] == docs["doc"]) & (units["rep_tie"] == docs["tie"])).select("unit", "rep", "rep_tie", "text")
+    texts = units.join(held, ["rep", "rep_tie"]).select("unit", "rep", "rep_tie", "text")
     links = texts.repartition("unit").sortWithinPartitions("unit", "rep", "rep_tie").mapInArrow(_verify(size, num, den), "a long, b long")
     # Copies join their class by its least id.
     copies = sets.where("n > 0").join(classes.withColumnsRenamed({"n": "cn", "a": "ca", "b": "cb"}), (F.col("n") == F.col("cn")) & (F.col("a") == F.col("ca")) & (F.col("b") == F.col("cb"))).where("doc <> rep").select(F.col("rep").alias("a"), F.col("doc").alias("b"))

@@ -172,6 +172,7 @@ def removed_ranges(docs: DataFrame, scratch: Scratch, window: int = WINDOW, seed
     seeds = docs.mapInArrow(_seed_rows(window, seed), "h long, s long, v long, doc long, tie long, first int, last int, kind tinyint")
     met = seeds.repartition("h").sortWithinPartitions("h", "s", "v", "doc", "tie", "first").mapInArrow(map_runs(_meet, FOUND), "doc long, tie long, h long, first int, last int, kind tinyint")
     met = scratch.save(met, "met")
+    scratch.free()  # or the anchors stay beside the texts and windows that meet next
     open_ = met.where("kind = 2").groupBy("doc", "tie").agg(F.collect_list(F.struct("first", "last")).alias("open"))
     texts = docs.join(open_, ["doc", "tie"]).select("doc", "tie", "text", "open")
     windows = texts.mapInArrow(_extend_rows(window), "w long, v long, doc long, tie long, start int")
@@ -179,6 +180,7 @@ def removed_ranges(docs: DataFrame, scratch: Scratch, window: int = WINDOW, seed
     gone = met.where("kind = 1").select("doc", "tie", "first", "last").union(later)
     gone = scratch.save(gone.groupBy("doc", "tie").agg(F.collect_list(F.struct("first", "last")).alias("gone")), "gone")
     scratch.only("gone")
+    scratch.free()
     return gone
 
 

@@ -107,3 +107,18 @@ def test_sql_agrees(spark):
     for name, sql in queries.ORACLE.items():
         got, want = queries.QUERIES[name](spark, SF), con.execute(sql)
         assert table(got.collect(), got.columns) == table(want.fetchall(), [c[0] for c in want.description]), name
+
+
+def test_quality_rules_write_no_documents(spark, docs, monkeypatch):
+    written, save = [], p.Scratch.save
+    monkeypatch.setattr(p.Scratch, "save", lambda self, df, name, **options: (written.append(df.schema.simpleString()), save(self, df, name, **options))[1])
+    left = p.quality_rules(spark, docs, SF)
+    assert written and not any("text:" in x for x in written)
+    # The same id and text in other groups is judged apart: one source of long words, nulls on either side.
+    odd, even = "incomprehensibilities " * 3, [" ".join(f"w{i}{j}" for j in range(60)) for i in range(400)]
+    long = " ".join(f"{odd.split()[0]}{j}" for j in range(60))
+    data = [(i, t, None, "x", 1) for i, t in enumerate(even)] + [(1000 + i, f"{long} {i}", "x", None, 1) for i in range(400)] + [(5000, long, None, "x", 1), (5000, long, "x", None, 1)]
+    rows = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.lang, r.source) for r in p.quality_rules(spark, rows, SF).where("doc_id = 5000").collect()]
+    judged = [(r.lang, r.source) for r in p.quality.judge(rows, ["doc_id", "lang", "source"]).where("doc_id = 5000 and q_kept").collect()]
+    assert sorted(got, key=str) == sorted(judged, key=str) and len(left.columns) == len(docs.columns)

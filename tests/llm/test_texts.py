@@ -520,3 +520,48 @@ def test_empty_tables(spark, none):
     assert quality.judge(none, ["doc_id"]).count() == 0 and decontam.report(none, bench).count() == 0
     some = frame(spark, [(1, "one two"), (2, None)])
     assert sorted((r.doc_id, r.n_words, r.n_hit) for r in decontam.report(some, no_bench).collect()) == [(1, 2, 0), (2, 0, 0)]
+
+
+def test_chance_ties_do_not_multiply_the_texts_to_verify(spark, monkeypatch):
+    """Documents of 250 words share passages of 60 with some others each, as in a corpus whose passages are too rare to be heavy."""
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 20)
+    monkeypatch.setattr(jaccard, "LOCAL", 1 << 20)  # none is heavy
+    sent, save = {}, Scratch.save
+
+    def spy(self, df, name, **options):
+        out = save(self, df, name, **options)
+        if name in ("units", "classes"):
+            sent[name] = out.count()
+        return out
+
+    monkeypatch.setattr(Scratch, "save", spy)
+    r = np.random.default_rng(5)
+    words = lambda n: " ".join(f"w{x}" for x in r.integers(0, 1 << 40, n))
+    passages = [words(60) for _ in range(120)]
+    pairs = [(i, f"{words(65)} {passages[r.integers(120)]} {passages[r.integers(120)]} {words(65)}") for i in range(600)]
+    pairs += [(1000 + i, f"{t} more") for i, t in pairs[:40]]
+    got = jaccard.first_of_groups(frame(spark, pairs)).collect()
+    assert {x.doc_id for x in got} == {i for i, _ in pairs[:600]}
+    assert sent["classes"] == 640 and sent["units"] <= 2 * 640
+
+
+def test_similar_sets_meet_at_the_larger_ones_level_under_every_order():
+    r = np.random.default_rng(2)
+    for order in (0, 1, 2, 5):
+        for _ in range(300):
+            num, n = int(r.choice([80, 90])), int(r.integers(2, 700))
+            x = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64))
+            y = np.sort(r.choice(x, max(1, -(-num * len(x) // 100)), replace=False))
+            if len(y) == len(x):
+                continue
+            heavy = np.sort(x[r.random(len(x)) < r.choice([0, 0.3, 0.8, 1])])
+            sig, which, own = jaccard.levelled(np.r_[y, x], np.r_[0, len(y), len(x) + len(y)].astype(np.int64), num, 100, heavy, order)
+            assert set(sig[which == 0].tolist()) & set(sig[(which == 1) & own].tolist())
+
+
+def test_substring_passes_free_what_they_have_shuffled(spark, docs, monkeypatch):
+    calls, free, save = [], Scratch.free, Scratch.save
+    monkeypatch.setattr(Scratch, "free", lambda self: (calls.append("free"), free(self)))
+    monkeypatch.setattr(Scratch, "save", lambda self, df, name, **options: (calls.append(name), save(self, df, name, **options))[1])
+    substring.dedup(docs, ["doc_id"])
+    assert calls == ["met", "free", "gone", "free"]
