@@ -65,3 +65,9 @@ def test_numbering_is_dense_and_in_order(spark):
     df = spark.range(0, 1000, 1, 7).selectExpr("id")
     got = sorted((r.id, r.seq) for r in m.numbered(df, 40).collect())
     assert got == [(i, 41 + i) for i in range(1000)]
+
+
+def test_numbering_is_dense_where_wide_rows_are_cut_into_other_partitions(spark, narrow_cut):
+    df = spark.range(0, 20_000, 1, 4).selectExpr("20000 - id AS id", "repeat(md5(cast(id AS string)), 4) AS value", "0 AS more")
+    got = sorted((r.id, r.seq) for r in m.numbered(df, 40, ["id"]).select("id", "value", "seq").collect())
+    assert got == [(i, 40 + i) for i in range(1, 20_001)]
