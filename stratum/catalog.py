@@ -88,7 +88,7 @@ def q05_memtable_scan(spark, d):
 
 @_query("""SELECT event_id, coalesce(event_id + 1 > max(event_id + 1) OVER (PARTITION BY user_id ORDER BY value, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS newest FROM events""")
 def q06_insert_is_newest(spark, d):
-    return resolve.was_newest(log_m(spark, d), F.col("event_value"), F.col("event_id")).select("event_id", "newest")
+    return resolve.was_newest(log_m(spark, d).select("key", "seq", "event_value", "event_id"), F.col("event_value"), F.col("event_id")).select("event_id", "newest")
 
 
 @_query(f"WITH {M} SELECT file, count(*) AS appends, min(seq) AS first_seq, max(seq) AS last_seq FROM m GROUP BY file")

@@ -70,6 +70,16 @@ def test_was_newest_follows_arrival(spark):
         assert got == {0: True, 1: False, 2: True, 3: True}
 
 
+def test_was_newest_keeps_every_row_of_a_large_log(spark, narrow_cut):
+    df = spark.range(0, 20_000, 1, 4).selectExpr("19999 - id AS at", "repeat(md5(cast(id AS string)), 4) AS value").selectExpr("at % 10 AS key", "(at * 7919) % 20000 AS seq", "value", "at")
+    top, want = {}, []
+    for i in range(20_000):
+        seq = (i * 7919) % 20_000
+        want.append((i, seq > top.get(i % 10, -1)))
+        top[i % 10] = max(seq, top.get(i % 10, -1))
+    assert sorted((r.at, r.newest) for r in resolve.was_newest(df, F.col("at"), block=64).select("at", "newest").collect()) == want
+
+
 def test_scan_is_in_byte_order(spark):
     log = random_log(2)
     got = [bytes(r.key) for r in resolve.scan(spark.createDataFrame(log, LOG)).collect()]
