@@ -94,10 +94,12 @@ class Store:
 
     @_in_turn
     def _append(self, batch: DataFrame, order: list[str] | None) -> None:
-        rows = numbered(batch.select(F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"), *(order or [])), self.seq, order).select("key", "seq", "value")
         name = file_name(self._number(), "log")
+        staged = f"{name}.placed.tmp"
+        rows = numbered(batch.select(F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"), *(order or [])), self.seq, order, f"{self.folder.path}/{staged}").select("key", "seq", "value")
         rows.write.mode("overwrite").parquet(f"{self.folder.path}/{name}.tmp")
         self.folder.rename(f"{name}.tmp", name)
+        self.folder.delete(staged)
         self.logs.append(name)
         self.commits += 1
         self.seq = max(self.seq, self.spark.read.schema(MUTATION).parquet(f"{self.folder.path}/{name}").agg(F.max("seq")).first()[0] or 0)

@@ -46,6 +46,13 @@ def test_writes_survive_reopening_flush_and_compaction(spark, path):
         assert sum(f.entries for f in s.snapshot.files) == len(want)
 
 
+def test_a_large_batch_is_written_whole(spark, path, narrow_cut):
+    s = Store(spark, path)
+    s.apply(spark.range(0, 20_000, 1, 4).selectExpr("20000 - id AS at", "CAST(lpad(cast(20000 - id AS string), 8, '0') AS binary) AS key", "CAST(repeat(md5(cast(id AS string)), 4) AS binary) AS value"), ["at"])
+    assert s.last_sequence() == 20_000 and sorted((int(bytes(r.key)), r.seq) for r in s.view().collect()) == [(i, i) for i in range(1, 20_001)]
+    assert s.folder.names() == s.logs
+
+
 def test_sequence_numbers_go_on_after_reopening_without_logs(spark, path):
     s = Store(spark, path)
     put(s, [(b"a", b"1"), (b"b", b"2")])
