@@ -32,7 +32,7 @@ def spark(tmp_path_factory):
 @pytest.fixture
 def narrow_cut(spark):
     """Shuffles are cut into partitions of a few kilobytes, so a plan of few columns has other partitions than one of many."""
-    named = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k"}
+    named = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k"}
     before = {k: spark.conf.get(k) for k in named}
     for k, v in named.items():
         spark.conf.set(k, v)

@@ -5,17 +5,26 @@ import pytest
 
 from stratum import catalog, conformance
 
-SF = "/root/testdata/sf0.001"
+SF, MORE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
 
-@pytest.fixture(scope="module")
-def duck():
+def tables(d):
     con = duckdb.connect()
     for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
     return con
 
 
+@pytest.fixture(scope="module")
+def duck():
+    return tables(SF)
+
+
+@pytest.fixture(scope="module")
+def duck_of_more():
+    return tables(MORE)
+
+
 def table(rows, names):
     order = sorted(range(len(names)), key=names.__getitem__)
     cell = lambda v: round(v, 9) if isinstance(v, float) else v
@@ -35,6 +44,13 @@ def test_query(spark, duck, name):
         assert table(rows, got.columns) == table(want.fetchall(), [c[0] for c in want.description])
 
 
+@pytest.mark.parametrize("name", ["q35_store_reopened"])
+def test_store_where_partitions_are_cut_by_size(spark, duck_of_more, narrow_cut, name):
+    got = QUERIES[name](spark, MORE)
+    rows, want = got.collect(), duck_of_more.execute(ORACLE[name])
+    assert table(rows, got.columns) == table(want.fetchall(), [c[0] for c in want.description])
+
+
 def test_crc_of_whole_documents(spark):
     """SQL takes minutes for the checksums of whole texts, so they are held against the library's."""
     import zlib
