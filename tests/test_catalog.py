@@ -44,7 +44,7 @@ def test_query(spark, duck, name):
         assert table(rows, got.columns) == table(want.fetchall(), [c[0] for c in want.description])
 
 
-@pytest.mark.parametrize("name", ["q35_store_reopened", "q36_store_compacted", "q38_store_lookup", "q39_store_get"])
+@pytest.mark.parametrize("name", ["q35_store_reopened", "q36_store_compacted", "q38_store_lookup", "q39_store_get", "q40_store_counters"])
 def test_store_where_partitions_are_cut_by_size(spark, duck_of_more, narrow_cut, name):
     got = QUERIES[name](spark, MORE)
     rows, want = got.collect(), duck_of_more.execute(ORACLE[name])
