@@ -1,7 +1,11 @@
+import threading
+
 import pytest
 
+from stratum import conformance
 from stratum.functions.resp import Command, Failure, Simple
 from stratum.plans.commands import execute, run_batch
+from stratum.plans.maintenance import Maintenance
 from stratum.plans.model import Config, Corrupt
 from stratum.plans.store import Store
 from stratum.sources import manifest
@@ -138,6 +142,57 @@ def test_background_loop(spark, path):
     assert state(Store(spark, path)) == {b"key:%04d" % i: b"round:1" for i in range(60)} | {b"last": b"x"}
 
 
+def test_what_is_written_while_the_loop_looks_is_not_missed():
+    class Slow:
+        due, flushes, looked, go = False, 0, threading.Event(), threading.Event()
+
+        def flush_due(self):
+            due = self.due
+            self.looked.set()
+            self.go.wait(10)
+            return due
+
+        def compaction_due(self):
+            return None
+
+        def flush(self):
+            self.due, self.flushes = False, self.flushes + 1
+
+    store = Slow()
+    loop = Maintenance(store)
+    assert store.looked.wait(10)
+    store.due = True
+    loop.notify()
+    store.go.set()
+    loop.wait()
+    assert store.flushes == 1
+    loop.close()
+
+
+def test_the_background_query_flushes_and_merges_while_batches_come_in(spark, monkeypatch):
+    stores = []
+
+    class Watched(Store):
+        def __init__(self, *args):
+            super().__init__(*args)
+            stores.append(self)
+            self.merges = self.beside = 0
+
+        def apply(self, *args):
+            self.beside += self.maintenance is not None
+            super().apply(*args)
+
+        def compact_once(self):
+            done = super().compact_once()
+            self.merges += done and threading.current_thread().name == "maintenance"
+            return done
+
+    monkeypatch.setattr(conformance, "Store", Watched)
+    rows = conformance.q41_store_in_the_background(spark, "/root/testdata/sf0.001").count()
+    (store,) = stores
+    assert store.beside > 1 and store.merges and store.snapshot.deepest_level() and not store.logs and sum(f.entries for f in store.snapshot.files) >= rows > 0
+
+
 def test_lookup_of_many_keys(spark, path):
     s = Store(spark, path)
     put(s, [(b"a", b"1"), (b"b", b"2")])
