@@ -32,6 +32,27 @@ def test_every_torn_length_keeps_the_whole_records_before_it():
         assert torn == (None if n == ends[k] else ends[k])
 
 
+def test_a_log_read_in_pieces_is_the_log_read_at_once():
+    whole = m.write_log(RECORDS)
+    flipped = bytearray(whole)
+    flipped[len(m.write_log(RECORDS[:2])) + 5] ^= 1  # a length that reaches beyond the record
+    for data in (whole, whole[:-3], bytes(flipped), whole[:12], whole[:5], b""):
+        for size in (1, 7, 4096):
+            reader, got = m.LogReader(), []
+            for at in range(0, len(data), size):
+                got += reader.feed(data[at : at + size])
+                assert reader.held < reader.needed or reader.torn is not None
+            reader.finish()
+            assert (got, reader.end, reader.torn) == m.read_log(data)
+
+
+def test_no_row_of_the_replayed_logs_holds_a_whole_log(spark):
+    from stratum import conformance
+
+    rows = conformance._logs(spark, "/root/testdata/sf0.01").collect()
+    assert max(len(r.log) for r in rows) <= 4096 < sum(len(r.log) for r in rows if r.file == 4)
+
+
 def test_a_flipped_bit_ends_replay_even_before_intact_records():
     data = bytearray(m.write_log(RECORDS[:4]))
     data[len(m.write_log(RECORDS[:1])) + 10] ^= 1
